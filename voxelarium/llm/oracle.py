@@ -37,4 +37,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM c
 """
 
-ORACLE_SQL = {"op2_quality_rules": OP2}
+#: A private-use character marks the cuts, which DuckDB then splits at.
+OP3 = r"""
+WITH p AS (
+  SELECT doc_id, string_split(replace(regexp_replace(coalesce(text, ''), '([.!?])([ \t\r])', '\1' || chr(57344) || '\2', 'g'), chr(10), chr(10) || chr(57344)), chr(57344)) AS ps
+  FROM documents),
+u AS (SELECT doc_id, unnest(ps) AS unit, unnest(range(1, len(ps) + 1)) AS k FROM p),
+o AS (SELECT doc_id, unit, sum(len(unit)) OVER (PARTITION BY doc_id ORDER BY k) AS end_at FROM u),
+n AS (SELECT doc_id, CAST(end_at - len(unit) AS BIGINT) AS start_at, CAST(end_at AS BIGINT) AS end_at, lower(array_to_string(w, ' ')) AS norm
+  FROM (SELECT *, regexp_extract_all(unit, '[^\x20\x09-\x0D]+') AS w FROM o) x WHERE len(w) >= 6),
+r AS (SELECT doc_id, start_at, end_at, row_number() OVER g AS rn, first_value(doc_id) OVER g AS first_doc_id, first_value(start_at) OVER g AS first_start_at
+  FROM n WINDOW g AS (PARTITION BY norm ORDER BY doc_id, start_at))
+SELECT doc_id, start_at, end_at, first_doc_id, first_start_at FROM r WHERE rn > 1
+"""
+
+OP9 = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS k FROM documents),
+w AS (SELECT doc_id, line, k, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM l),
+n AS (SELECT doc_id, k, len(ws) AS c, array_to_string(ws, ' ') AS s FROM w WHERE len(ws) > 0),
+win AS (SELECT doc_id, k, c, s, lead(s, 1) OVER d AS s1, lead(s, 2) OVER d AS s2, lead(k, 1) OVER d AS k1, lead(k, 2) OVER d AS k2
+  FROM n WINDOW d AS (PARTITION BY doc_id ORDER BY k)),
+t AS (SELECT *, row_number() OVER (PARTITION BY s, s1, s2 ORDER BY doc_id, k) AS rn FROM win WHERE s2 IS NOT NULL),
+g AS (
+  SELECT doc_id, k FROM t WHERE rn > 1 UNION SELECT doc_id, k1 FROM t WHERE rn > 1 UNION SELECT doc_id, k2 FROM t WHERE rn > 1
+  UNION SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY s ORDER BY doc_id, k) AS rn FROM n WHERE c >= 50) x WHERE rn > 1)
+SELECT l.doc_id, count(*) AS n_lines, count(g.k) AS n_removed,
+  coalesce(string_agg(CAST(g.k AS VARCHAR), ',' ORDER BY g.k), '') AS removed_lines,
+  md5(coalesce(string_agg(l.line, chr(10) ORDER BY l.k) FILTER (WHERE g.k IS NULL), '')) AS clean_md5
+FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.k = g.k GROUP BY l.doc_id
+"""
+
+ORACLE_SQL = {"op2_quality_rules": OP2, "op3_substring_dedup": OP3, "op9_line_dedup": OP9}

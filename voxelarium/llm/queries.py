@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash
+from . import linededup, quality, simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +22,20 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.COLUMNS, "n_lines_failed", "n_words_lost")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = substring.repeated_spans(_table(spark, sf_dir, "documents"))
+    return spans.select("doc_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "first_doc_id", F.col("first_start").alias("first_start_at"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = linededup.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.array_join(F.transform("removed_lines", lambda x: x.cast("string")), ",")
+    return cleaned.select("doc_id", "n_lines", "n_removed", removed.alias("removed_lines"), F.md5("clean_text").alias("clean_md5"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_quality_rules": op2_quality_rules,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op9_line_dedup": op9_line_dedup,
 }
