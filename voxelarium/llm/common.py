@@ -68,4 +68,4 @@ def local_file(uri: str):
     """``(filesystem, path)`` of a URI, for reading and writing binary files in tasks."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else "file://" + uri[5:])
+    return fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, quality, simhash, substring
+from . import bpe, linededup, mixing, packing, quality, simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,27 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "first_doc_id", F.col("first_start").alias("first_start_at"))
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(spark, _table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), end_id=0)
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.digests(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = linededup.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.array_join(F.transform("removed_lines", lambda x: x.cast("string")), ",")
@@ -37,5 +58,8 @@ QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_quality_rules": op2_quality_rules,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_token_packing": op4_token_packing,
+    "op5_source_mixing": op5_source_mixing,
     "op9_line_dedup": op9_line_dedup,
+    "op10_byte_bpe": op10_byte_bpe,
 }
