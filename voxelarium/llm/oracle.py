@@ -67,4 +67,16 @@ SELECT l.doc_id, count(*) AS n_lines, count(g.k) AS n_removed,
 FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.k = g.k GROUP BY l.doc_id
 """
 
-ORACLE_SQL = {"op2_quality_rules": OP2, "op3_substring_dedup": OP3, "op9_line_dedup": OP9}
+#: Five hexadecimal digits are four of base 32.
+OP6 = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h)) AS n, sha1(h) AS x FROM p),
+b AS (SELECT page_id, n, list_aggregate(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((CAST('0x' || substr(x, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> (15 - 5 * (i % 4))::INT) & 31), 1)), 'string_agg', '') AS payload_digest FROM d),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, n) AS first FROM b)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
+ORACLE_SQL = {"op2_quality_rules": OP2, "op3_substring_dedup": OP3, "op6_warc_revisits": OP6, "op9_line_dedup": OP9}

@@ -184,7 +184,7 @@ def write_tokens(
                     if writer is None:
                         files, local = local_file(path)
                         files.create_dir(local.rpartition("/")[0], recursive=True)
-                        writer = Writer(files.open_output_stream(local), width_of(encoder.vocabulary))
+                        writer = Writer(files.open_output_stream(local, compression=None), width_of(encoder.vocabulary))
                     writer.add(doc_id, np.append(ids, np.uint32(end_id)))
         if writer is not None:
             writer.close()

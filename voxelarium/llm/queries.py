@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, mixing, packing, quality, simhash, substring
+from . import bpe, linededup, mixing, packing, quality, simhash, substring, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.deduplicated_archives(spark, _table(spark, sf_dir, "pages"), min_payload=0)
+    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = linededup.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.array_join(F.transform("removed_lines", lambda x: x.cast("string")), ",")
@@ -60,6 +65,7 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_token_packing": op4_token_packing,
     "op5_source_mixing": op5_source_mixing,
+    "op6_warc_revisits": op6_warc_revisits,
     "op9_line_dedup": op9_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
