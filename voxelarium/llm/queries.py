@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, linededup, mixing, packing, quality, simhash, substring, warc
+from . import ann, bpe, linededup, mixing, packing, quality, simhash, substring, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = linededup.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.array_join(F.transform("removed_lines", lambda x: x.cast("string")), ",")
@@ -66,6 +70,7 @@ QUERIES = {
     "op4_token_packing": op4_token_packing,
     "op5_source_mixing": op5_source_mixing,
     "op6_warc_revisits": op6_warc_revisits,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op9_line_dedup": op9_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
