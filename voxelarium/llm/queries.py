@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, linededup, mixing, packing, quality, simhash, substring, warc
+from . import ann, bpe, linededup, mixing, packing, quality, simhash, substring, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,15 @@ def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    model = toxicity.learn(documents, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score(documents, model)
+    predicted = F.when(F.col("score") >= 0.5, 1).otherwise(0)
+    spans = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"], x["end"])), " ")
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"), spans.alias("toxic_spans"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = linededup.line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     removed = F.array_join(F.transform("removed_lines", lambda x: x.cast("string")), ",")
@@ -71,6 +80,7 @@ QUERIES = {
     "op5_source_mixing": op5_source_mixing,
     "op6_warc_revisits": op6_warc_revisits,
     "op7_nearest_neighbours": op7_nearest_neighbours,
+    "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
 }
