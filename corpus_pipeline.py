@@ -1,19 +1,32 @@
-"""The corpus pipeline: each stage works on all that the one before it kept."""
+"""The corpus pipeline: each stage works on all that the one before it kept.
+
+All stages but the last return the columns of ``documents``, and no others.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxelarium.llm import common, quality, simhash
+from voxelarium.llm import bpe, common, linededup, mixing, quality, simhash
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def _with_text(docs: DataFrame, text) -> DataFrame:
+    """The columns of documents with a new text and its length."""
+    return docs.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go, and so do the failing lines of those that stay."""
-    judged = quality.quality_rules(docs.select(*COLUMNS)).where("kept")
-    return judged.withColumns({"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast("long")}).select(*COLUMNS)
+    return _with_text(quality.quality_rules(docs.select(*COLUMNS)).where("kept"), F.col("clean_text"))
+
+
+def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of later repeated runs go; documents of which no word is left go too."""
+    cleaned = linededup.line_dedup(docs.select(*COLUMNS))
+    return _with_text(cleaned.where((F.col("n_removed") == 0) | F.col("clean_text").rlike(common.WORD_PATTERN)), F.col("clean_text"))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,9 +34,28 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return simhash.keep_one_of_each(docs.select(*COLUMNS), width=4, max_distance=4)
 
 
-STAGES = [("quality rules", quality_stage), ("simhash near-dedup", simhash_stage)]
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document stands as often as the mix takes it."""
+    return mixing.repeat_documents(docs.select(*COLUMNS))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``(doc_id, ids)`` of each row's text."""
+    import public_tokenizers
+
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_dedup_stage),
+    ("simhash near-dedup", simhash_stage),
+    ("source mixing", mixing_stage),
+    ("byte-level BPE", encoding_stage),
+]
 
-#: SQL can't express fingerprints of hashed shingles or byte pair merges; tests hold the rows against brute force.
+#: SQL can't express fingerprints of hashed shingles, a seeded knapsack or byte pair merges; tests hold the rows
+#: of every stage against brute force.
 ORACLE_SQL = None
 
 
