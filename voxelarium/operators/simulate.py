@@ -1,0 +1,47 @@
+"""Synthetic series."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from ..image import Image
+from ..space import Space
+from .stencils import gaussian_blur
+
+
+def simulate_fmri(mask: Image, n_time: int, ar: float = 0.45, noise_sd: float = 1.0, spatial_fwhm: float = 6.0, global_amp: float = 0.2, global_rho: float = 0.85, n_factors: int = 4, factor_rho: float = 0.8, seed: int = 1, centered: bool = True) -> Image:
+    """A first-order autoregression in each voxel with smooth innovations, a global one and latent factors.
+
+    All draws are hashes of (seed, voxel, time), so any partitioning gives the same image.
+    """
+    spark = mask.data.sparkSession
+    space = Space((*mask.space.space_dims, n_time), trans=mask.space.trans)
+
+    def normal(*of):
+        u = [(F.pmod(F.xxhash64(F.lit(seed), F.lit(k), *of), F.lit(1 << 40)) + 0.5) / (1 << 40) for k in (1, 2)]
+        return F.sqrt(-2 * F.log(u[0])) * F.cos(2 * math.pi * u[1])
+
+    times = spark.range(1, n_time + 1).select(F.col("id").cast("int").alias("t"))
+    raw = mask.data.select("vox").crossJoin(F.broadcast(times)).withColumn("value", normal("vox", "t"))
+    smooth = gaussian_blur(Image(space, raw), mask, fwhm=spatial_fwhm) if spatial_fwhm > 0 else Image(space, raw)
+
+    def fold(values, rho, sd):
+        step = sd * math.sqrt(1 - rho * rho)
+        start = F.struct(F.lit(0.0).alias("last"), F.array().cast("array<double>").alias("out"))
+        return F.aggregate(values, start, lambda a, e: F.struct((a["last"] * rho + e * step).alias("last"), F.concat(a["out"], F.array(a["last"] * rho + e * step)).alias("out")), lambda a: a["out"])
+
+    own = smooth.series_arrays().select("vox", fold(F.col("values"), ar, noise_sd).alias("own"))
+    every = F.sequence(F.lit(1), F.lit(n_time))
+    common = fold(F.transform(every, lambda t: normal(F.lit("global"), t)), global_rho, global_amp)
+    total = F.zip_with("own", common, lambda a, b: a + b)
+    for f in range(n_factors):
+        course = fold(F.transform(every, lambda t, f=f: normal(F.lit(f"factor{f}"), t)), factor_rho, 0.2)
+        load = normal(F.lit(f"load{f}"), "vox")
+        total = F.zip_with(total, F.transform(course, lambda c, load=load: c * load), lambda a, b: a + b)
+    made = own.select("vox", total.alias("x"))
+    if centered:
+        mean = F.aggregate("x", F.lit(0.0), lambda a, b: a + b) / n_time
+        made = made.withColumn("m", mean).select("vox", F.transform("x", lambda v: v - F.col("m")).alias("x"))
+    return Image(space, made.select("vox", F.posexplode("x").alias("t", "value")).select("vox", (F.col("t") + 1).cast("int").alias("t"), "value"))
