@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..image import Image
 from ..runtime import materialize
-from .filters import apply_mask, clip_level, mask_not, peel_restore
+from .filters import apply_mask, clip_level, gradual_clip, mask_not, peel_restore
 from .neighbourhoods import shifted
 
 CONNECTIVITY = {"6-connect": 1, "18-connect": 2, "26-connect": 3}
@@ -88,7 +88,9 @@ def fill_holes(mask: Image) -> Image:
     return mask.with_data(mask.data.select("vox").union(holes))
 
 
-def automask(image: Image, fraction: float = 0.5, connect: str = "26-connect", peels: int = 1, peel_threshold: int = 17, representative: str = "mean_abs") -> Image:
+def automask(
+    image: Image, fraction: float = 0.5, gradual: bool = True, representative: str = "mean_abs", peels: int = 1, peel_threshold: int = 17, connect: str = "26-connect"
+) -> Image:
     """A mask of the object: clip a representative volume, keep the largest part, peel and restore, fill holes."""
     if image.is_series:
         pick = F.avg(F.abs("value")) if representative == "mean_abs" else F.median("value")
@@ -96,9 +98,13 @@ def automask(image: Image, fraction: float = 0.5, connect: str = "26-connect", p
     else:
         volume = image
     level = clip_level(volume, fraction)
-    mask = volume.with_data(volume.data.where(F.col("value") >= level).select("vox"))
+    if level <= 0:
+        return volume.with_data(volume.data.where(F.lit(False)).select("vox"))
+    at = gradual_clip(volume, fraction) if gradual else F.lit(level)
+    mask = volume.with_data(volume.gridded().where(F.col("value") >= at).select("vox"))
     mask = largest_component(mask, connect)
-    mask = largest_component(peel_restore(mask, peels, peel_threshold), connect)
+    if peels > 0:
+        mask = largest_component(peel_restore(mask, peels, peel_threshold), connect)
     return largest_component(fill_holes(mask), connect)
 
 

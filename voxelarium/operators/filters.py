@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..image import Image
+from ..runtime import materialize
 
 COMPARISONS = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "==": operator.eq, "!=": operator.ne}
 
@@ -78,31 +79,91 @@ def clip_histogram(image: Image, bins: int = 255):
     return positive.crossJoin(F.broadcast(top)).groupBy(share.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def clip_level(image: Image, fraction: float = 0.5, bins: int = 10000) -> float:
-    """The threshold between background and object by repeated halving of the median above it; 0 with 222 positives or fewer.
-
-    Only the histogram, of a fixed number of bins, comes to the driver.
-    """
+def _threshold(counts, fraction: float) -> int:
+    """The bin at which repeated halving of the median above it comes to rest."""
     import numpy as np
 
-    top = image.data.where("value > 0").agg(F.max("value")).first()[0]
-    counts = np.zeros(bins, np.int64)
-    for r in clip_histogram(image, bins).collect():
-        counts[r.bin] = r.n
+    n = len(counts) - 1
+    bins = np.arange(n + 1)
     total = counts.sum()
-    if total <= 222:
-        return 0.0
-    # start where 65 percent of the sum of squares lies below
-    tail = np.cumsum(counts[::-1])[::-1]
-    cut = int(np.flatnonzero(tail >= 0.65 * total)[-1])
+    lowest = int(round(0.5 * float(np.sqrt((counts * bins.astype(float) ** 2).sum() / total))))
+    down = np.cumsum(counts[lowest:n][::-1])
+    enough = np.flatnonzero(down >= int(0.65 * total))
+    cut = max(0, n - 2 - int(enough[0]) if len(enough) else lowest - 1)
     for _ in range(66):
-        above = counts[cut:]
-        half = np.searchsorted(np.cumsum(above), above.sum() / 2.0) + cut
-        new = int(fraction * half)
+        above = np.cumsum(counts[cut:n])
+        half = int(above[-1]) // 2 if len(above) else 0
+        steps = int(np.searchsorted(above, half)) + 1 if half else 0
+        new = int(fraction * min(cut + steps, n))
         if new == cut:
             break
         cut = new
-    return float(cut) * float(top) / bins
+    return cut
+
+
+def _clip_levels(rows, fraction: float, bins: int) -> dict[int, float]:
+    """The threshold of each ``region`` of ``(region, value)``; 0 for one of 222 positive values or fewer.
+
+    Only the histograms come to the driver, of at most 32768 bins a region.
+    """
+    import numpy as np
+
+    good = rows.where((F.col("value") > 0) & ~F.isnan(F.col("value").cast("double")) & (F.col("value").cast("double") < float("inf")))
+    whole = F.min(F.abs(F.col("value") - F.rint("value")) < 1e-8)
+    tops = {r.region: r for r in good.groupBy("region").agg(F.max("value").alias("top"), whole.alias("whole"), F.count("*").alias("n")).collect()}
+    out, sizes = {}, {}
+    for region, r in tops.items():
+        plain = r.whole and r.top <= 32767
+        sizes[region] = (255 if r.top <= 255 else 32767, 1.0, 0.5) if plain else (bins, bins / float(r.top), 0.499)
+    if not sizes:
+        return {}
+    scale = F.create_map(*[F.lit(x) for region, (_, f, _) in sizes.items() for x in (region, f)])
+    shift = F.create_map(*[F.lit(x) for region, (_, _, f) in sizes.items() for x in (region, f)])
+    at = F.floor(F.col("value") * scale[F.col("region")] + shift[F.col("region")]).cast("int")
+    counts = {region: np.zeros(n + 1, np.int64) for region, (n, _, _) in sizes.items()}
+    for r in good.groupBy("region", at.alias("bin")).agg(F.count("*").alias("n")).collect():
+        if r.bin < len(counts[r.region]):
+            counts[r.region][r.bin] = r.n
+    for region, (_, f, _) in sizes.items():
+        out[region] = _threshold(counts[region], fraction) / f if counts[region].sum() > 222 else 0.0
+    return out
+
+
+def clip_level(image: Image, fraction: float = 0.5, bins: int = 10000) -> float:
+    """The threshold between background and object."""
+    return _clip_levels(image.data.select(F.lit(0).alias("region"), "value"), fraction, bins).get(0, 0.0)
+
+
+def gradual_clip(image: Image, fraction: float = 0.5) -> Column:
+    """The threshold at each voxel, as a column over ``i``, ``j`` and ``k``.
+
+    Eight overlapping parts around the center of mass have levels of their own, a third of the whole's at least, and
+    a voxel's is blended from them along the three axes.
+    """
+    dims = image.space.space_dims
+    g = image.gridded()
+    w = F.when((F.col("value") > 0) & ~F.isnan(F.col("value").cast("double")), F.col("value")).otherwise(0)
+    mass = g.agg(F.sum(w), *[F.sum(w * (F.col(a) - 1)) for a in "ijk"]).first()
+    center = [round(m / mass[0]) if mass[0] else round((d - 1) / 2) for m, d in zip(mass[1:], dims)]
+    center = [min(max(c, 0), d - 1) for c, d in zip(center, dims)]
+    over = [max(1, round(0.01 * d)) for d in dims]
+    parts = []
+    for region in range(8):
+        inside = F.lit(True)
+        for n, (a, c, o) in enumerate(zip("ijk", center, over)):
+            inside = inside & ((F.col(a) - 1 >= c - o) if region >> n & 1 else (F.col(a) - 1 <= c + o))
+        parts.append(F.when(inside, F.lit(region)))
+    held = g.select(F.explode(F.array(*parts)).alias("region"), "value").where(F.col("region").isNotNull())
+    levels, least = _clip_levels(held, fraction, 10000), 0.333 * clip_level(image, fraction)
+    total = F.lit(0.0)
+    for region in range(8):
+        weight = F.lit(1.0)
+        for n, (a, c, d) in enumerate(zip("ijk", center, dims)):
+            low, high = 0.5 * c, 0.5 * (c + d - 1)
+            far = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(a) - 1 - low) / (high - low))) if high > low else F.lit(0.0)
+            weight = weight * (far if region >> n & 1 else 1 - far)
+        total = total + max(levels.get(region, 0.0), least) * weight
+    return total
 
 
 def neighbour_count_18(mask: Image):
@@ -119,23 +180,27 @@ def neighbour_count_18(mask: Image):
 
 
 def peel_restore(mask: Image, peels: int = 1, threshold: int = 17) -> Image:
-    """Erodes voxels with fewer neighbours than the threshold, then brings back those that touch what is left."""
-    layers, now = [], mask
+    """Takes away layers of voxels with fewer neighbours than the threshold, then gives back those that still touch.
+
+    The last layer taken comes back with one neighbour, earlier ones with two.
+    """
+    layers, now = [], mask.with_data(mask.data.select("vox"))
     for _ in range(peels):
-        counted = neighbour_count_18(now)
-        layers.append(now.with_data(counted.where(F.col("n") < threshold).select("vox")))
-        now = now.with_data(counted.where(F.col("n") >= threshold).select("vox"))
-    for layer in reversed(layers):
-        both = mask.with_data(now.data.select("vox").union(layer.data.select("vox")))
-        touched = neighbour_touch(layer, now)
-        now = both.with_data(now.data.select("vox").union(touched.select("vox")).distinct())
+        counted = materialize(neighbour_count_18(now), "peeled")
+        layers.append(counted.where(F.col("n") < min(18, max(1, threshold))).select("vox"))
+        now = mask.with_data(counted.where(F.col("n") >= min(18, max(1, threshold))).select("vox"))
+    gone = None
+    for n, layer in enumerate(reversed(layers)):
+        gone = layer if gone is None else gone.union(layer)
+        touched = _touching(mask.with_data(gone.join(now.data, "vox", "left_anti")), now, 1 if n == 0 else 2)
+        now = mask.with_data(materialize(now.data.union(touched), "restored"))
     return now
 
 
-def neighbour_touch(layer: Image, core: Image):
-    """Voxels of ``layer`` with one of 18 neighbours in ``core``."""
+def _touching(layer: Image, core: Image, least: int):
+    """Voxels of ``layer`` with at least so many of their 18 neighbours in ``core``."""
     from .neighbourhoods import shifted
 
     offsets = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if 0 < abs(x) + abs(y) + abs(z) <= 2]
-    near = shifted(layer.with_data(layer.data.select("vox")), offsets).select(F.col("vox").alias("own"), "near")
-    return near.join(core.data.select(F.col("vox").alias("near")), "near", "left_semi").select(F.col("own").alias("vox")).distinct()
+    near = shifted(layer, offsets).join(core.data.select(F.col("vox").alias("near")), "near", "left_semi")
+    return near.groupBy("vox").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("vox")

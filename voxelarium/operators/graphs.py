@@ -79,7 +79,7 @@ def graph_filter(runs: list[Image], mask: Image | None = None, spatial_sigma: fl
     if not leave_one_out:
         graph = make(runs)
         return [graph_smooth(r, graph, passes, strength) for r in runs]
-    return [graph_smooth(r, make([x for x in runs if x is not r]), passes, strength) for r in runs]
+    return [graph_smooth(r, make([x for m, x in enumerate(runs) if m != n]), passes, strength) for n, r in enumerate(runs)]
 
 
 def partial_correlations(image: Image, pairs: DataFrame, basis: DataFrame) -> DataFrame:

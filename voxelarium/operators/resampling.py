@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -46,14 +44,14 @@ def resample(image: Image, target: Space, method: str = "linear") -> Image:
                 1: (u + 4 * u * u - 3 * u * u * u) / 2,
                 2: (-u * u + u * u * u) / 2,
             }
-    per = [weights(F.col(n) - F.floor(n)) for n in "xyz"]
-    taps = F.array(*[
-        F.struct(*[(F.floor(n) + s).alias(n) for n, s in zip("xyz", o)], (per[0][o[0]] * per[1][o[1]] * per[2][o[2]]).alias("w"))
-        for o in itertools.product(*[sorted(p) for p in per])
-    ])
-    spread = at.select("vox", F.explode(taps).alias("o")).where(F.col("o.w") != 0)
-    spot = [F.col(f"o.{n}") for n in "xyz"]
-    asked = spread.where(source.inside(*spot)).select("vox", source.to_index(*spot).alias("tap"), F.col("o.w").alias("w"))
+    spread = at.withColumn("w", F.lit(1.0))
+    for n, d in zip("xyz", source.space_dims):  # one axis after the other, so expressions stay small
+        u = F.col(n) - F.floor(n)
+        taps = F.array(*[F.struct((F.floor(n) + s).alias("at"), w.alias("w")) for s, w in weights(u).items()])
+        kept = spread.withColumn("o", F.explode(taps)).where((F.col("o.w") != 0) & F.col("o.at").between(1, d))
+        spread = kept.withColumns({n: F.col("o.at").cast("double"), "w": F.col("w") * F.col("o.w")}).drop("o")
+    spot = [F.col(n) for n in "xyz"]
+    asked = spread.select("vox", source.to_index(*spot).alias("tap"), "w")
     found = asked.join(image.data.withColumnRenamed("vox", "tap"), "tap")
     value = found.groupBy(*image.keys).agg(F.sum(F.col("w") * F.col("value")).alias("value"))
     return Image(Space((*target.space_dims, *image.space.dims[3:]), trans=target.trans), value, image.labels)
