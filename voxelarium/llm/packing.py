@@ -21,6 +21,9 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -151,15 +154,29 @@ class PieceEncoder:
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [PIECES.findall(t or "") for t in texts]
+        pieces = list(chain.from_iterable(cut))
         if len(self.known) > self.bound:
             self.known.clear()
-        fresh = list({p for pieces in cut for p in pieces}.difference(self.known))
-        for at in range(0, len(fresh), 8192):
-            some = fresh[at : at + 8192]
-            for piece, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self.known[piece] = np.array(found.ids, np.uint32).tobytes()
-        get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, pieces)), np.uint32) for pieces in cut]
+        found = list(map(self.known.get, pieces))
+        fresh = [i for i, ids in enumerate(found) if ids is None]
+        if fresh:
+            words = list({pieces[i] for i in fresh})
+            encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+            new = {w: array("I", e.ids).tobytes() for w, e in zip(words, encoded)}
+            self.known.update(new)
+            for i in fresh:
+                found[i] = new[pieces[i]]
+        out, at = [], 0
+        for own in cut:
+            out.append(np.frombuffer(b"".join(found[at : at + len(own)]), np.uint32))
+            at += len(own)
+        return out
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> PieceEncoder:
+    """The worker's encoder, which keeps what it knows from one task to the next."""
+    return PieceEncoder(path)
 
 
 def write_tokens(
@@ -175,7 +192,7 @@ def write_tokens(
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, part, writer = PieceEncoder(tokenizer_path), TaskContext.get().partitionId(), None
+        encoder, part, writer = encoder_of(tokenizer_path), TaskContext.get().partitionId(), None
         path = f"{folder}/tokens-{part:06d}-{uuid.uuid4().hex}.vxt"
         for b in batches:
             for at in range(0, b.num_rows, 256):
