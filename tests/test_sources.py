@@ -101,3 +101,27 @@ def test_stream_of_volumes(spark, tmp_path, sf_dir):
     last = {r.vox: r for r in spark.table("scores").collect()}
     means = {r.vox: r.m for r in events.groupBy((F.col("user_id") + 1).alias("vox")).agg(F.avg("value").alias("m")).collect()}
     assert all(abs(last[v].mean - m) < 1e-9 for v, m in means.items())
+
+
+def test_afni_dataset(spark, tmp_path):
+    from voxelarium.sources import afni
+
+    x = np.random.default_rng(2).integers(-500, 500, (4, 5, 6, 2)).astype("<i2")
+    attributes = [("integer", "DATASET_DIMENSIONS", [4, 5, 6]), ("integer", "DATASET_RANK", [3, 2]), ("integer", "ORIENT_SPECIFIC", [0, 3, 4]), ("float", "ORIGIN", [0, 0, 0]), ("float", "DELTA", [1, 1, 1]), ("integer", "BRICK_TYPES", [1, 1]), ("float", "BRICK_FLOAT_FACS", [0, 0.5])]
+    (tmp_path / "d.HEAD").write_text("\n\n".join(f"type = {k}-attribute\nname = {n}\ncount = {len(v)}\n {' '.join(map(str, v))}" for k, n, v in attributes))
+    (tmp_path / "d.BRIK").write_bytes(x.tobytes(order="F"))
+    got = afni.read_afni(spark, str(tmp_path / "d.HEAD")).to_numpy()
+    assert np.array_equal(got[..., 0], x[..., 0]) and np.array_equal(got[..., 1], x[..., 1] * 0.5)
+    assert afni.format_of("a.nii.gz") == "NIFTI_GZ" and afni.format_of("a.BRIK") == "AFNI" and afni.stem_of("x/a.hdr") == "x/a"
+    with pytest.raises(ValueError):
+        afni.format_of("a.txt")
+
+
+def test_five_dimensions(spark, tmp_path):
+    x = np.arange(2 * 2 * 2 * 3 * 2, dtype=float).reshape(2, 2, 2, 3, 2)
+    image = from_numpy(spark, x.reshape(2, 2, 2, 6, order="F"), Space((2, 2, 2, 3, 2)))
+    path = str(tmp_path / "h.nii")
+    nifti.write_image(image, path)
+    for r in nifti.read_hyper(spark, path).collect():
+        i, j, k = np.unravel_index(r.vox - 1, (2, 2, 2), order="F")
+        assert r.value == x[i, j, k, r.trial - 1, r.feature - 1]

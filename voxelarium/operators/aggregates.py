@@ -206,3 +206,16 @@ def cluster_neighbours(space: Space, parcels: DataFrame, k: int | None = 10, rad
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy("distance", "near"))
     out = ranked.withColumn("rank", rank)
     return out if radius is not None else out.where(F.col("rank") <= k)
+
+
+def cluster_searchlight_series(image: Image, parcels: DataFrame, k: int | None = 10, radius: float | None = None) -> DataFrame:
+    """``(cluster, near, rank, t, value)``: for each parcel the mean series of those near it, itself included."""
+    means = parcel_series(image, parcels).withColumnRenamed("cluster", "near")
+    return cluster_neighbours(image.space, parcels, k, radius).join(means, "near").select("cluster", "near", "rank", "t", "value")
+
+
+def to_matrix(image: Image, times: list[int] | None = None) -> DataFrame:
+    """A row a voxel and a column ``t<n>`` a time, absent values 0; for series of few times."""
+    times = times or list(range(1, int(image.space.dims[3]) + 1))
+    columns = [F.coalesce(F.max(F.when(F.col("t") == t, F.col("value"))), F.lit(0)).alias(f"t{t}") for t in times]
+    return image.data.groupBy("vox").agg(*columns)

@@ -122,3 +122,32 @@ def resampled_searchlight(mask: Image, radius: float, draws: int, seed: int = 1,
 def ellipsoid_shape(scales: tuple[float, float, float]):
     """A shape whose radius is scaled on each axis."""
     return lambda radius, spacing: [o for o in sphere_offsets(spacing, radius * max(scales)) if sum((x * s / (radius * c)) ** 2 for x, s, c in zip(o, spacing, scales)) <= 1]
+
+
+def cube_shape(radius: float, spacing: tuple[float, ...]) -> list[tuple[int, int, int]]:
+    """All offsets of the cube that holds the sphere."""
+    reach = [range(-math.floor(radius / s), math.floor(radius / s) + 1) for s in spacing]
+    return list(itertools.product(*reach))
+
+
+def blobby_shape(drop: float = 0.3, edge: float = 0.7, seed: int = 1):
+    """A sphere some of whose outer offsets, beyond ``edge`` of the radius, are dropped at random."""
+    import random
+
+    def shape(radius: float, spacing: tuple[float, ...]) -> list[tuple[int, int, int]]:
+        rng = random.Random(seed)
+        far = lambda o: math.sqrt(sum((x * s) ** 2 for x, s in zip(o, spacing))) > edge * radius
+        return [o for o in sphere_offsets(spacing, radius) if not far(o) or rng.random() >= drop]
+
+    return shape
+
+
+def clustered_searchlight(mask: Image, parcels: DataFrame | None = None, k: int | None = None) -> DataFrame:
+    """``(center, vox)``: a neighbourhood for each parcel, or for each of ``k`` made by k-means."""
+    from .aggregates import partition
+
+    if parcels is None:
+        if k is None:
+            raise ValueError("give parcels or their number")
+        parcels = partition(mask, k)
+    return parcels.join(mask.data.select("vox"), "vox", "left_semi").select(F.col("cluster").alias("center"), "vox")

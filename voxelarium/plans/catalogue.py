@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import runtime
+from ..functions import colours
 from ..image import Image
 from ..operators import aggregates, components, filters, graphs, joins, neighbourhoods, resampling, sets, simulate, stencils, windows
+from ..sources import nifti
 from ..space import Space
 from . import tables as T
 
@@ -670,9 +674,53 @@ def emb_corr(spark, sf_dir):
     return graphs.correlations(image, pairs).select("a", "b", F.round("r", 5).alias("r"))
 
 
+@query("SELECT vox, CAST(coalesce(MAX(CASE WHEN t = 1 THEN v END), 0) AS BIGINT) AS t1, CAST(coalesce(MAX(CASE WHEN t = 7 THEN v END), 0) AS BIGINT) AS t7 FROM vec_li GROUP BY vox")
+def to_matrix(spark, sf_dir):
+    return aggregates.to_matrix(T.vec_li(spark, sf_dir), [1, 7])
+
+
+@query("""WITH c AS (SELECT cluster, AVG(i) AS x, AVG(j) AS y, AVG(k) AS z FROM parcel GROUP BY cluster),
+  n AS (SELECT a.cluster, b.cluster AS near FROM c a, c b WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) <= 0.05),
+  m AS (SELECT cluster, t, AVG(v) AS m FROM vec_li JOIN parcel USING (vox) GROUP BY cluster, t)
+  SELECT CAST(n.cluster AS INT) AS cluster, CAST(near AS INT) AS near, t, round(m, 6) AS v FROM n JOIN m ON m.cluster = n.near""")
+def cluster_searchlight_series(spark, sf_dir):
+    image = T.vec_li(spark, sf_dir)
+    found = aggregates.cluster_searchlight_series(image, T.parcels(T.vol_qty(spark, sf_dir)), radius=0.05)
+    return found.select("cluster", "near", "t", F.round("value", 6).alias("v"))
+
+
+@query("WITH m AS (SELECT MIN(v) AS a, MAX(v) AS b FROM vol_qty) SELECT vox, CAST(greatest(1, least(16, FLOOR((v - a) / CAST(b - a AS DOUBLE) * 16) + 1)) AS INT) AS bin FROM vol_qty, m")
+def colour_bins(spark, sf_dir):
+    data = T.vol_qty(spark, sf_dir).data
+    low, high = data.agg(F.min("value"), F.max("value")).first()
+    return data.select("vox", colours.colour_bin(F.col("value"), low, high, 16).alias("bin"))
+
+
 # by draw; rows only
 
 
+@query(None)
+def nifti_round_trip(spark, sf_dir):
+    """An image written to a file in the shared folder and read back."""
+    import os
+
+    folder = runtime.shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, f"vol_qty-{uuid.uuid4().hex}.nii.gz")
+    nifti.write_image(T.vol_qty(spark, sf_dir), path)
+    return _out(nifti.read_image(spark, path))
+
+
+@query(None)
+def clustered_searchlight(spark, sf_dir):
+    return neighbourhoods.clustered_searchlight(_mask(spark, sf_dir), k=6)
+
+
+@query(None)
+def blobby_searchlight(spark, sf_dir):
+    return neighbourhoods.resampled_searchlight(_mask(spark, sf_dir), 2.0, draws=20, shape=neighbourhoods.blobby_shape())
+
+
 @query(None)
 def random_searchlight(spark, sf_dir):
     return neighbourhoods.random_searchlight(_mask(spark, sf_dir), 2.0)

@@ -124,6 +124,19 @@ def read_image(spark: SparkSession, path: str, times: list[int] | None = None, m
     return image
 
 
+def read_hyper(spark: SparkSession, path: str, mask: Image | None = None, volumes: int = 8) -> DataFrame:
+    """``(feature, trial, vox, value)`` of a file of five dimensions, trials before features."""
+    h = read_header(path)
+    if len(h.dims) != 5:
+        raise ValueError(f"{path} has {len(h.dims)} dimensions, not 5")
+    spark.dataSource.register(NiftiDataSource)
+    rows = spark.read.format("nifti").option("volumes", volumes).load(path)
+    if mask is not None:
+        rows = rows.join(mask.data.select("vox").distinct(), "vox", "left_semi")
+    at = F.col("t") - 1
+    return rows.select((F.floor(at / h.dims[3]) + 1).cast("int").alias("feature"), (at % h.dims[3] + 1).alias("trial"), "vox", "value")
+
+
 def read_volumes(spark: SparkSession, paths: list[str]) -> Image:
     """Files of one grid each, one after the other in time."""
     from ..operators.sets import concat
