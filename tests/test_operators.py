@@ -24,8 +24,8 @@ def test_component_fixture(spark):
     assert sorted(r.n for r in found.groupBy("component").agg(F.count("*").alias("n")).collect()) == [1, 4, 4]
 
 
-@pytest.mark.parametrize("connect", ["6-connect", "18-connect", "26-connect"])
-def test_components_against_flood_fill(spark, connect):
+@pytest.mark.parametrize("connect,block", [("6-connect", 64), ("18-connect", 3), ("26-connect", 2), ("6-connect", 2)])
+def test_components_against_flood_fill(spark, connect, block):
     x = np.random.default_rng(3).random((7, 6, 5)) > 0.6
     reach = components.CONNECTIVITY[connect]
     offsets = [o for o in itertools.product((-1, 0, 1), repeat=3) if 0 < sum(map(abs, o)) <= reach]
@@ -40,7 +40,7 @@ def test_components_against_flood_fill(spark, connect):
                 continue
             label[q] = p
             stack += [tuple(a + b for a, b in zip(q, o)) for o in offsets]
-    rows = components.label_components(from_numpy(spark, x.astype(float)).mask(), connect).collect()
+    rows = components.label_components(from_numpy(spark, x.astype(float)).mask(), connect, block).collect()
     got = {tuple(int(v) for v in np.unravel_index(r.vox - 1, x.shape, order="F")): r.root for r in rows}
     assert set(got) == set(label)
     pairs = {(label[p], got[p]) for p in got}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,30 +24,85 @@ def half_offsets(connect: str) -> list[tuple[int, int, int]]:
     return [o for o in every if 0 < sum(map(abs, o)) <= reach and o > (0, 0, 0)]
 
 
-def label_components(mask: Image, connect: str = "26-connect") -> DataFrame:
-    """``(vox, root)``: the smallest voxel of each voxel's component.
+def _close(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(node, root)``: the smallest node of each part of a graph with edges ``(a, b)``.
 
     Each round takes the smallest label of the neighbours and then that label's own label, so chains shorten by more
     than half. A round is written to the shared folder; it ends when no label has changed.
     """
-    voxels = mask.data.select("vox").distinct()
-    near = shifted(mask.with_data(voxels), half_offsets(connect)).join(voxels.select(F.col("vox").alias("near")), "near", "left_semi")
-    edges = materialize(near.select("vox", "near").union(near.select(F.col("near").alias("vox"), F.col("vox").alias("near"))), "edges")
-    labels = materialize(voxels.select("vox", F.col("vox").alias("root")), "labels")
+    both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    labels = materialize(nodes.select("node", F.col("node").alias("root")), "labels")
     while True:
-        seen = edges.join(labels.select(F.col("vox").alias("near"), F.col("root").alias("other")), "near").groupBy("vox").agg(F.min("other").alias("other"))
-        lower = labels.join(seen, "vox", "left").select("vox", "root", F.least("root", F.coalesce("other", "root")).alias("low"))
+        seen = both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("other")), "b").groupBy("a").agg(F.min("other").alias("other"))
+        lower = labels.join(seen.withColumnRenamed("a", "node"), "node", "left").select("node", "root", F.least("root", F.coalesce("other", "root")).alias("low"))
         # a root takes the smallest label that any of its members saw
         hooks = lower.groupBy("root").agg(F.min("low").alias("hook"))
-        hooked = lower.join(hooks, "root").select("vox", F.col("root").alias("old"), F.least("low", "hook").alias("root"))
-        up = hooked.select(F.col("vox").alias("root"), F.col("root").alias("above"))
-        jumped = hooked.join(up, "root").select("vox", "old", F.least("root", "above").alias("root"))
-        step = materialize(jumped, "labels")
-        labels = step.select("vox", "root")
+        hooked = lower.join(hooks, "root").select("node", F.col("root").alias("old"), F.least("low", "hook").alias("root"))
+        up = hooked.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        step = materialize(hooked.join(up, "root").select("node", "old", F.least("root", "above").alias("root")), "labels")
+        labels = step.select("node", "root")
         if not step.where("root <> old").take(1):
             return labels
 
 
+def _label_block(offsets, dims, block: int):
+    """Labels the voxels of one block by the smallest voxel of their part within it; ``rim`` marks its outer voxels."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        vox = np.sort(pdf["vox"].to_numpy(np.int64))
+        at = np.stack(np.unravel_index(vox - 1, dims, order="F"))
+        low = at.min(axis=1) // block * block
+        place = np.full((block + 1,) * 3, -1, np.int64)
+        inner = at - low[:, None]
+        place[tuple(inner)] = np.arange(len(vox))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for o in offsets:
+            there = inner + np.array(o)[:, None]
+            ok = ((there >= 0) & (there < block)).all(axis=0)
+            hit = place[tuple(there[:, ok])]
+            a.append(np.flatnonzero(ok)[hit >= 0])
+            b.append(hit[hit >= 0])
+        a, b = np.concatenate(a), np.concatenate(b)
+        root = np.arange(len(vox))
+        while True:
+            low_of = np.minimum(root[a], root[b])
+            new = root.copy()
+            for end in (a, b):
+                np.minimum.at(new, root[end], low_of)
+            while not np.array_equal(jumped := new[new], new):
+                new = jumped
+            if np.array_equal(new, root):
+                break
+            root = new
+        rim = ((inner == 0) | (inner == block - 1)).any(axis=0)
+        return pd.DataFrame({"vox": vox, "root": vox[root], "rim": rim})
+
+    return run
+
+
+def label_components(mask: Image, connect: str = "26-connect", block: int = 64) -> DataFrame:
+    """``(vox, root)``: the smallest voxel of each voxel's component.
+
+    Blocks of ``block`` voxels a side are labelled by a task each. What meets across blocks is a graph of the parts'
+    roots, far smaller than the image, which is closed in rounds; an image within one block needs none.
+    """
+    offsets, space = half_offsets(connect), mask.space
+    i, j, k = space.to_grid(F.col("vox"))
+    cell = [F.floor((x - 1) / block).alias(n) for x, n in zip((i, j, k), ("bi", "bj", "bk"))]
+    voxels = mask.data.select("vox").distinct().select("vox", *cell)
+    local = voxels.groupBy("bi", "bj", "bk").applyInPandas(_label_block(offsets, space.space_dims, block), "vox long, root long, rim boolean")
+    local = materialize(local, "blocks")
+    rim = local.where("rim").select("vox", "root")
+    near = shifted(mask.with_data(rim), offsets).select(F.col("root").alias("a"), "near")
+    edges = near.join(rim.select(F.col("vox").alias("near"), F.col("root").alias("b")), "near").where("a <> b").select("a", "b").distinct()
+    if max(space.space_dims) <= block or not (edges := materialize(edges, "across")).take(1):
+        return local.select("vox", "root")
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    closed = _close(edges, nodes).withColumnRenamed("root", "final")
+    joined = local.join(closed, local["root"] == closed["node"], "left")
+    return joined.select("vox", F.coalesce("final", "root").alias("root"))
+
+
 def connected_components(mask: Image, connect: str = "26-connect") -> DataFrame:
     """``(vox, component, size)``: components numbered by size, the largest first, ties by their smallest voxel."""
     labels = label_components(mask, connect)
