@@ -17,6 +17,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from functools import lru_cache
 from heapq import heappop, heappush
 
 import numpy as np
@@ -161,11 +162,17 @@ class Encoder:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str, pattern: str) -> Encoder:
+    """The worker's encoder, which keeps what it knows from one task to the next."""
+    return Encoder(path, pattern)
+
+
 def encode_documents(documents: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, ids)`` of every row, the ids as ``array<int>``."""
 
     def run(batches):
-        encoder = Encoder(path, pattern)
+        encoder = encoder_of(path, pattern)
         for b in batches:
             rows = [encoder.encode(t.as_py()).astype(np.int32) for t in b.column(1)]
             offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
@@ -180,7 +187,7 @@ def digests(documents: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of every row, after encoding and decoding its text."""
 
     def run(batches):
-        encoder = Encoder(path, pattern)
+        encoder = encoder_of(path, pattern)
         decimal = [str(i) for i in range(len(encoder.tokens))]
         for b in batches:
             n, of_ids, of_bytes = [], [], []
