@@ -276,23 +276,21 @@ def split_reduce_time(spark, sf_dir):
 @query("SELECT CAST(cluster AS BIGINT) AS level, t, round(AVG(v), 6) AS v FROM vec_li JOIN parcel USING (vox) GROUP BY cluster, t")
 def split_reduce_vox(spark, sf_dir):
     image = T.vec_li(spark, sf_dir)
-    factor = T.parcels(image).select("vox", F.col("cluster").cast("long").alias("level"))
+    factor = T.parcel_grid(spark, image.space).select("vox", F.col("cluster").cast("long").alias("level"))
     return aggregates.split_reduce(image, factor).select("level", "t", F.round("value", 6).alias("v"))
 
 
 @query("SELECT vox, CAST(SUM(v) OVER (PARTITION BY cluster) AS BIGINT) AS v FROM vol_qty JOIN parcel USING (vox)")
 def split_fill(spark, sf_dir):
     image = T.vol_qty(spark, sf_dir)
-    return _out(aggregates.split_fill(image, T.parcels(image).withColumnRenamed("cluster", "level"), F.sum))
+    return _out(aggregates.split_fill(image, T.parcel_grid(spark, image.space).withColumnRenamed("cluster", "level"), F.sum))
 
 
 @query("SELECT CAST(cluster AS INT) AS cluster, t, CAST(SUM(v) AS BIGINT) AS total, round(AVG(v), 6) AS mean FROM vec_li JOIN parcel USING (vox) GROUP BY cluster, t")
 def parcel_series(spark, sf_dir):
     image = T.vec_li(spark, sf_dir)
-    p = T.parcels(image)
-    total = aggregates.parcel_series(image, p, F.sum).withColumnRenamed("value", "total")
-    mean = aggregates.parcel_series(image, p).select("cluster", "t", F.round("value", 6).alias("mean"))
-    return total.join(mean, ["cluster", "t"])
+    both = aggregates.parcel_series(image, T.parcel_grid(spark, image.space), lambda v: F.struct(F.sum(v).alias("total"), F.avg(v).alias("mean")))
+    return both.select("cluster", "t", "value.total", F.round("value.mean", 6).alias("mean"))
 
 
 @query("SELECT CAST(cluster AS INT) AS cluster, COUNT(*) AS n, round(AVG(i - 1), 6) AS x, round(AVG(j - 1), 6) AS y, round(AVG(k - 1), 6) AS z FROM parcel GROUP BY cluster")
@@ -314,7 +312,7 @@ def num_clusters(spark, sf_dir):
 @query("SELECT CAST(cluster AS INT) AS cluster, vox, t, v FROM vec_li JOIN parcel USING (vox)")
 def split_clusters(spark, sf_dir):
     image = T.vec_li(spark, sf_dir)
-    return aggregates.split_clusters(image, T.parcels(image)).withColumnRenamed("value", "v")
+    return aggregates.split_clusters(image, T.parcel_grid(spark, image.space)).withColumnRenamed("value", "v")
 
 
 @query("""WITH n AS (SELECT UNNEST(range(0, 5)) AS c), m AS (SELECT UNNEST(range(0, 3)) AS c),
@@ -322,9 +320,10 @@ def split_clusters(spark, sf_dir):
     (least((a.c + 1) * 3.2, i) - greatest(a.c * 3.2, i - 1)) * (least((b.c + 1) * 3.2, j) - greatest(b.c * 3.2, j - 1)) * (least((d.c + 1) * 7 / 3.0, k) - greatest(d.c * 7 / 3.0, k - 1)) AS w
     FROM vol_qty, n a, n b, m d
     WHERE least((a.c + 1) * 3.2, i) > greatest(a.c * 3.2, i - 1) AND least((b.c + 1) * 3.2, j) > greatest(b.c * 3.2, j - 1) AND least((d.c + 1) * 7 / 3.0, k) > greatest(d.c * 7 / 3.0, k - 1))
-  SELECT CAST(ni + 1 + nj * 5 + nk * 25 AS BIGINT) AS vox, round(SUM(w * v) / SUM(w), 4) AS v FROM w GROUP BY ni, nj, nk""")
+  SELECT CAST(ni + 1 + nj * 5 + nk * 25 AS BIGINT) AS vox, round(SUM(w * v) / SUM(w) + 1e-7, 5) AS v FROM w GROUP BY ni, nj, nk""")
 def downsample_box(spark, sf_dir):
-    return _out(aggregates.downsample(T.vol_qty(spark, sf_dir), outdim=(5, 5, 3)), 4)
+    # means of whole numbers can end in an exact half, which the shift keeps off the edge of rounding
+    return _out(aggregates.downsample(T.vol_qty(spark, sf_dir), outdim=(5, 5, 3)).map(lambda v: v + 1e-7), 5)
 
 
 @query("SELECT CAST((i - 1) // 2 + 1 + ((j - 1) // 2) * 8 + ((k - 1) * 3 // 7) * 64 AS BIGINT) AS vox, t, round(AVG(v), 6) AS v FROM vec_li GROUP BY 1, 2")
@@ -370,7 +369,7 @@ def robust_weights(spark, sf_dir):
 @query("SELECT CAST(cluster AS INT) AS cluster, arg_max(vox, v * 10000 - vox) AS vox, max(v) AS v FROM vol_qty JOIN parcel USING (vox) GROUP BY cluster")
 def argmax_per_cluster(spark, sf_dir):
     image = T.vol_qty(spark, sf_dir)
-    joined = image.data.join(T.parcels(image), "vox")
+    joined = image.data.join(T.parcel_grid(spark, image.space), "vox")
     return joined.groupBy("cluster").agg(F.max_by("vox", F.struct("value", -F.col("vox"))).alias("vox"), F.max("value").alias("v"))
 
 
@@ -393,9 +392,8 @@ def searchlight_members(spark, sf_dir):
 @query(f"WITH {MASK} SELECT a.vox, CAST(SUM(b.v) AS BIGINT) AS total, COUNT(*) AS n FROM mask a JOIN mask b ON ({NEAR} <= 4 GROUP BY a.vox")
 def searchlight_sum(spark, sf_dir):
     mask = _mask(spark, sf_dir)
-    total = neighbourhoods.searchlight_reduce(mask, mask, 2.0, F.sum).withColumnRenamed("value", "total")
-    n = neighbourhoods.searchlight_reduce(mask, mask, 2.0, F.count).withColumnRenamed("value", "n")
-    return total.join(n, "vox")
+    both = neighbourhoods.searchlight_reduce(mask, mask, 2.0, lambda v: F.struct(F.sum(v).alias("total"), F.count(v).alias("n")))
+    return both.select("vox", "value.total", "value.n")
 
 
 @query(f"WITH {MASK} SELECT a.vox, round(AVG(b.v), 6) AS v FROM mask a JOIN mask b ON ({NEAR} <= 4 GROUP BY a.vox")
@@ -744,6 +742,6 @@ def simulate_fmri(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of a masked series by parcel and time."""
     image = filters.apply_mask(T.vec_li(spark, sf_dir), _mask(spark, sf_dir))
-    means = aggregates.parcel_series(image, T.parcels(image))
+    means = aggregates.parcel_series(image, T.parcel_grid(spark, image.space))
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy("t"))
     return means.select("cluster", "t", F.round("value", 6).alias("mean"), rank.alias("nth"))

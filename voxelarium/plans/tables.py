@@ -55,6 +55,12 @@ def parcels(image: Image) -> DataFrame:
     return image.gridded().select("vox", ((F.col("i") + 2 * F.col("j") + 3 * F.col("k")) % 7 + 1).alias("cluster")).distinct()
 
 
+def parcel_grid(spark: SparkSession, space: Space) -> DataFrame:
+    """The same parcels over a whole grid, without reading the image."""
+    i, j, k = space.to_grid(F.col("vox"))
+    return spark.range(1, space.n_vox + 1).withColumnRenamed("id", "vox").withColumn("cluster", (i + 2 * j + 3 * k) % 7 + 1)
+
+
 #: The same images as common table expressions.
 SQL = """
 cells AS (SELECT l_partkey % 16 + 1 AS i, l_suppkey % 16 + 1 AS j, l_linenumber AS k, l_quantity, year(l_shipdate) - 1994 AS t FROM lineitem),
