@@ -455,7 +455,7 @@ def gaussian_blur_raw(spark, sf_dir):
 
 
 @query("""WITH o AS (SELECT a.x, b.x AS y, c.x AS z, exp(-(a.x * a.x + b.x * b.x + c.x * c.x) / 2.0) AS g FROM (SELECT UNNEST(range(-1, 2)) AS x) a, (SELECT UNNEST(range(-1, 2)) AS x) b, (SELECT UNNEST(range(-1, 2)) AS x) c)
-  SELECT a.vox, round(SUM(o.g * b.v) / (SELECT SUM(g) FROM o), 5) AS v FROM vol_qty a, o, vol_qty b WHERE b.i = a.i + o.x AND b.j = a.j + o.y AND b.k = a.k + o.z
+  SELECT a.vox, round(SUM(o.g * b.v) / (SELECT SUM(g) FROM o), 5) AS v FROM (SELECT x.i, y.j, z.k, x.i + (y.j - 1) * 16 + (z.k - 1) * 256 AS vox FROM (SELECT UNNEST(range(1, 17)) AS i) x, (SELECT UNNEST(range(1, 17)) AS j) y, (SELECT UNNEST(range(1, 8)) AS k) z) a, o, vol_qty b WHERE b.i = a.i + o.x AND b.j = a.j + o.y AND b.k = a.k + o.z
   AND a.i BETWEEN 2 AND 15 AND a.j BETWEEN 2 AND 15 AND a.k BETWEEN 2 AND 6 GROUP BY a.vox""")
 def kernel_mapf(spark, sf_dir):
     offsets, weights = stencils.kernel_weights((3, 3, 3), (1.0, 1.0, 1.0))
