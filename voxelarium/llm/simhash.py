@@ -31,6 +31,8 @@ from .graph import components
 BITS = 64
 #: Different fingerprints of one key that are compared in one task; keys with more are cut.
 CHUNK = 4096
+#: The place of a chain's start in a key, above the bits of any two segments.
+_START = 56
 #: Groups up to this size are compared by shifted arrays, larger ones by breadth-first search.
 _SMALL = 12
 #: Bytes of a text that are split into words at once, so that very long texts stay bounded.
@@ -87,7 +89,7 @@ def fingerprints(documents: DataFrame, width: int = 4, id_col: str = "doc_id", t
 
 def segments(max_distance: int) -> list[tuple[int, int]]:
     """``(offset, width)`` of the segments of the ring."""
-    m = max_distance + 1
+    m = max(3, max_distance + 1)
     ends = [round(BITS * k / m) for k in range(m + 1)]
     return [(a, b - a) for a, b in zip(ends, ends[1:])]
 
@@ -106,8 +108,7 @@ def chain_keys(fp: Column, max_distance: int) -> Column:
     for i, first in enumerate(ring):
         second = ring[(i + 1) % len(ring)]
         follow = _bits(fp, second)
-        head = _bits(fp, first).bitwiseOR(F.lit(i << first[1]).cast("long"))
-        key = F.shiftleft(head, second[1]).bitwiseOR(follow)
+        key = F.shiftleft(_bits(fp, first), second[1]).bitwiseOR(follow).bitwiseOR(F.lit(i << _START).cast("long"))
         near = F.array(*[key.bitwiseXOR(F.lit(1 << b).cast("long")) for b in range(second[1])])
         arrays.append(F.when(F.bit_count(follow) % 2 == 0, F.array(key)).otherwise(near))
     return F.flatten(F.array(*arrays))
@@ -121,20 +122,10 @@ def _chain_holds(x: np.ndarray, start: np.ndarray, max_distance: int) -> np.ndar
     ok, total, at = np.ones(len(x), bool), np.zeros(len(x), np.int16), np.arange(len(x))
     for step in range(m):
         total += per[(start + step) % m, at]
-        ok &= total <= step
+        ok &= total <= min(step, max_distance)
     return ok
 
 
-def _start_of(keys: np.ndarray, max_distance: int) -> np.ndarray:
-    """The start of the chain that a key was made from."""
-    ring = segments(max_distance)
-    out = np.zeros(len(keys), np.int64)
-    for i, (_, w) in enumerate(ring):
-        second = ring[(i + 1) % len(ring)][1]
-        out = np.where((keys >> (w + second)) == i, i, out)
-    return out
-
-
 def _forest(fps: np.ndarray, start: int, max_distance: int) -> list[tuple[int, int]]:
     """Links that join all linked fingerprints of a cell, by breadth-first search over those not yet reached."""
     left, links = fps, []
@@ -174,7 +165,7 @@ def _links_in_cells(max_distance: int):
         left, right = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
         small = np.repeat((sizes > 1) & (sizes <= _SMALL), sizes)
         run_of = np.repeat(np.arange(len(sizes)), sizes)
-        start = _start_of(key, max_distance)
+        start = key >> _START
         for d in range(1, _SMALL):
             at = np.flatnonzero(small[:-d] & (run_of[:-d] == run_of[d:])) if len(key) > d else np.zeros(0, np.int64)
             if not len(at):

@@ -1,12 +1,12 @@
 """Toxic spans and scores by a linear-chain conditional random field.
 
-Labels stand for whole documents, so tokens are labelled first: over all labelled rows the words that mark toxic
+Labels stand for whole documents, so tokens are labelled first: over the labelled rows the words that mark toxic
 documents are counted, and such a word within a toxic document is a toxic token. Near copies would make their rare
 words look like marks; of the documents that share a label and a smallest shingle hash one is counted.
 
 The field has the tags clean and toxic, one weight for each hashed feature of a token (the word, its first and
-its last letters) and weights for the first tag and the transitions. It is fitted to a sample of ``SAMPLE`` labelled
-documents of up to ``SAMPLE_WORDS`` words; those two bounds are parameters, and scoring has none. Forward-backward
+its last letters) and weights for the first tag and the transitions. Words are counted over ``LABELLED`` rows, and the
+field is fitted to ``SAMPLE`` of them of up to ``SAMPLE_WORDS`` words; these bounds are parameters, and scoring has none. Forward-backward
 gives each token the marginal probability of the toxic tag. The document's evidence is the chance that any token
 is toxic; a logistic curve, fitted to the sample's labels, makes it the score.
 
@@ -27,13 +27,15 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, words_of
 
-#: Bounds of the sample that the field is fitted to.
-SAMPLE, SAMPLE_WORDS = 6000, 1500
+#: Labelled rows that are learned from at most, by the hash of their id.
+LABELLED = 20_000
+#: Of those, the rows that the field is fitted to, if their texts have no more than so many words.
+SAMPLE, SAMPLE_WORDS = 4000, 1500
 #: Hashed features.
 FEATURES = 1 << 18
 ROUNDS, RATE, SHRINK = 40, 0.5, 1e-4
@@ -120,6 +122,55 @@ def evidence(p: np.ndarray) -> float:
     return float(np.clip(np.log(np.expm1(total)) if 1e-12 < total < 30 else (30 if total >= 30 else -30), -14, 14))
 
 
+@dataclass
+class _Part:
+    """Documents of the sample of like length, the longest first, as matrices of positions."""
+
+    lengths: np.ndarray
+    label: np.ndarray
+    real: np.ndarray
+    feats: np.ndarray
+    y: np.ndarray
+
+    @property
+    def pair(self) -> np.ndarray:
+        return self.real[:, 1:]
+
+    def emissions(self, model: Field) -> np.ndarray:
+        s = np.zeros(self.real.shape)
+        s[self.real] = model.bias + model.weights[self.feats].sum(axis=1)
+        return s
+
+
+def _training_parts(texts: list[str], toxic: np.ndarray, marks: set[str], cells: int = 150_000) -> list[_Part]:
+    known: dict[str, tuple[int, int, int, bool]] = {}
+    rows = []
+    for text, label in zip(texts, toxic):
+        words = _WORD.findall(text)
+        for w in set(words).difference(known):
+            known[w] = (*features(w), bare(w) in marks)
+        rows.append((np.array([known[w] for w in words], np.int32).reshape(-1, 4), float(label)))
+    rows.sort(key=lambda r: -len(r[0]))
+    parts, at = [], 0
+    while at < len(rows):
+        longest = max(1, len(rows[at][0]))
+        some = rows[at : at + max(1, cells // longest)]
+        at += len(some)
+        lengths, label = np.array([len(r) for r, _ in some]), np.array([x for _, x in some])
+        real = np.arange(longest) < lengths[:, None]
+        table = np.concatenate([r for r, _ in some])
+        y = np.zeros(real.shape)
+        y[real] = table[:, 3]
+        parts.append(_Part(lengths, label, real, table[:, :3].copy(), y * label[:, None]))
+    return parts
+
+
+def _moves(a: np.ndarray, b: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """How often each tag follows each."""
+    first, second = a[:, :-1], b[:, 1:]
+    return np.array([[(u * v * pair).sum() for v in (1 - second, second)] for u in (1 - first, first)])
+
+
 def fit(texts: list[str], toxic: np.ndarray, marks: set[str]) -> Field:
     """The field for labelled documents; a token is toxic where a mark stands in a toxic document."""
     model = Field()
@@ -127,48 +178,38 @@ def fit(texts: list[str], toxic: np.ndarray, marks: set[str]) -> Field:
     if not len(toxic) or rate in (0.0, 1.0):
         model.curve = (float(np.log((rate + 1e-6) / (1 - rate + 1e-6))), 0.0)
         return model
-    order = np.argsort([-len(_WORD.findall(t)) for t in texts], kind="stable")
-    words = [_WORD.findall(texts[i]) for i in order]
-    label = toxic[order]
-    lengths = np.array([len(w) for w in words])
-    longest = int(lengths.max())
-    real = np.arange(longest) < lengths[:, None]
-    known = {w: features(w) for w in {w for row in words for w in row}}
-    feats = np.array([known[w] for row in words for w in row], np.int64).reshape(-1, 3)
-    y = np.zeros(real.shape)
-    y[real] = np.array([bare(w) in marks for row in words for w in row], float)
-    y *= label[:, None]
-    pair = real[:, 1:]
-    seen = np.array([[((1 - y[:, :-1]) * (1 - y[:, 1:]) * pair).sum(), ((1 - y[:, :-1]) * y[:, 1:] * pair).sum()], [(y[:, :-1] * (1 - y[:, 1:]) * pair).sum(), (y[:, :-1] * y[:, 1:] * pair).sum()]])
-    has = lengths > 0
-    tokens = max(1, int(real.sum()))
+    parts = _training_parts(texts, toxic, marks)
+    seen = sum(_moves(part.y, part.y, part.pair) for part in parts)
+    tokens = sum(len(part.feats) for part in parts)
     sums = {"w": np.full(FEATURES, 1e-8), "b": 1e-8, "s": 1e-8, "m": np.full((2, 2), 1e-8)}
     for _ in range(ROUNDS):
-        s = np.zeros(real.shape)
-        s[real] = model.bias + model.weights[feats].sum(axis=1)
-        fwd, back = messages(s, lengths, model)
-        odds = np.clip(fwd * back, 1e-30, 1e30)
-        p = odds / (1 + odds)
-        off = np.where(real, y - p, 0.0)
-        grad = np.bincount(feats.ravel(), np.repeat(off[real], 3), FEATURES) - SHRINK * tokens * 0.01 * model.weights
-        x = np.exp(np.clip(s[:, 1:], -30, 30)) * back[:, 1:]
-        move = np.exp(model.moves)
-        parts = np.stack([np.full_like(x, move[0, 0]), move[0, 1] * x, fwd[:, :-1] * move[1, 0], fwd[:, :-1] * move[1, 1] * x])
-        parts = np.where(pair, parts / parts.sum(axis=0), 0.0)
-        grad_move = seen - parts.sum(axis=(1, 2)).reshape(2, 2) - 0.1 * model.moves
-        for name, g in (("w", grad), ("b", off.sum()), ("s", off[has, 0].sum()), ("m", grad_move)):
+        grad, at_bias, at_start, expected = -SHRINK * 0.01 * tokens * model.weights, 0.0, 0.0, np.zeros((2, 2))
+        for part in parts:
+            s = part.emissions(model)
+            fwd, back = messages(s, part.lengths, model)
+            odds = np.clip(fwd * back, 1e-30, 1e30)
+            off = np.where(part.real, part.y - odds / (1 + odds), 0.0)
+            grad += np.bincount(part.feats.ravel(), np.repeat(off[part.real], 3), FEATURES)
+            at_bias += off.sum()
+            at_start += off[part.lengths > 0, 0].sum()
+            x, move = np.exp(np.clip(s[:, 1:], -30, 30)) * back[:, 1:], np.exp(model.moves)
+            four = np.stack([np.full_like(x, move[0, 0]), move[0, 1] * x, fwd[:, :-1] * move[1, 0], fwd[:, :-1] * move[1, 1] * x])
+            expected += np.where(part.pair, four / four.sum(axis=0), 0.0).sum(axis=(1, 2)).reshape(2, 2)
+        steps = {}
+        for name, g in (("w", grad), ("b", at_bias), ("s", at_start), ("m", seen - expected - 0.1 * model.moves)):
             sums[name] = sums[name] + np.square(g)
-            step = RATE * g / np.sqrt(sums[name])
-            if name == "w":
-                model.weights = model.weights + step
-            elif name == "m":
-                model.moves = model.moves + step
-            elif name == "b":
-                model.bias += float(step)
-            else:
-                model.start += float(step)
-    s_rows = [model.bias + model.weights[feats[a:b]].sum(axis=1) for a, b in zip(np.cumsum(lengths) - lengths, np.cumsum(lengths))]
-    x = np.array([evidence(p) for p in marginals(s_rows, model)])
+            steps[name] = RATE * g / np.sqrt(sums[name])
+        model.weights = model.weights + steps["w"]
+        model.moves = model.moves + steps["m"]
+        model.bias += float(steps["b"])
+        model.start += float(steps["s"])
+    x, label = [], []
+    for part in parts:
+        s = part.emissions(model)
+        rows = [s[k, :n] for k, n in enumerate(part.lengths)]
+        x += [evidence(p) for p in marginals(rows, model)]
+        label += part.label.tolist()
+    x, label = np.array(x), np.array(label)
     a, b = np.log(rate / (1 - rate)), 0.5
     for _ in range(50):  # Newton steps of a logistic regression with a little shrinkage
         p = 1 / (1 + np.exp(-(a + b * x)))
@@ -182,7 +223,7 @@ def fit(texts: list[str], toxic: np.ndarray, marks: set[str]) -> Field:
 
 
 def toxic_marks(labelled: DataFrame) -> list[str]:
-    """Words that mark toxic documents among all rows of ``(text, toxic)``.
+    """Words that mark toxic documents among the rows of ``(text, toxic)``.
 
     The list is short: it holds words that stand mostly in toxic documents, significantly often.
     """
@@ -209,13 +250,20 @@ def held_out(id_column: Column) -> Column:
 
 
 def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field:
-    """The field from the labelled rows that aren't held out."""
-    told = labels.where(F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("toxic"))
+    """The field from a sample of the labelled rows that aren't held out.
+
+    The sample is drawn from the labels alone and has a fixed bound, so it can be broadcast and texts aren't shuffled.
+    """
+    told = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
+    told = told.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("toxic"))
+    order = [F.xxhash64("__id"), F.col("__id"), F.col("toxic")]
+    picked = told.orderBy(*order).limit(LABELLED).withColumn("nth", F.row_number().over(Window.orderBy(*order)))
+    picked = materialize(picked, "picked")
     texts = documents.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    labelled = materialize(texts.join(told, "__id").select("text", "toxic"), "taught")
+    labelled = materialize(texts.join(F.broadcast(picked), "__id").select("text", "toxic", "nth"), "taught")
     marks = set(toxic_marks(labelled))
-    short = labelled.where(F.size(words_of(F.col("text"))) <= SAMPLE_WORDS)
-    rows = short.orderBy(F.xxhash64("text"), "text", "toxic").limit(SAMPLE).collect()
+    rows = labelled.where((F.col("nth") <= SAMPLE) & (F.size(words_of(F.col("text"))) <= SAMPLE_WORDS)).select("text", "toxic").collect()
+    rows.sort()
     return fit([r.text for r in rows], np.array([float(r.toxic) for r in rows]), marks)
 
 
