@@ -41,9 +41,9 @@ def vec_li(spark: SparkSession, sf_dir: str) -> Image:
 def vec_ev(spark: SparkSession, sf_dir: str) -> Image:
     kind = F.col("event_type")
     k = F.when(kind == "click", 1).when(kind == "error", 2).when(kind == "purchase", 3).when(kind == "signup", 4).otherwise(5)
-    e = read(spark, sf_dir, "events").where(F.col("user_id") < 152)
-    cells = e.select(
-        EV.to_index(F.col("user_id") % 8 + 1, F.floor(F.col("user_id") / 8) + 1, k).alias("vox"),
+    # ids beyond the grid's 152 columns are folded onto them, so every event counts at any scale
+    cells = read(spark, sf_dir, "events").where(F.col("user_id").isNotNull()).select(
+        EV.to_index(F.col("user_id") % 8 + 1, F.floor(F.col("user_id") / 8) % 19 + 1, k).alias("vox"),
         F.dayofmonth("ts").alias("t"),
         F.round(F.col("value") * 100).cast("long").alias("c"),
     )
