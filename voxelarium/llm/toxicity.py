@@ -5,7 +5,7 @@ documents are counted, and such a word within a toxic document is a toxic token.
 words look like marks; of the documents that share a label and a smallest shingle hash one is counted.
 
 The field has the tags clean and toxic, one weight for each hashed feature of a token (the word, its first and
-its last letters) and weights for the first tag and the transitions. Words are counted over ``LABELLED`` rows, and the
+its last letters) and weights for the first tag and the transitions. Words are counted over all labelled rows, and the
 field is fitted to ``SAMPLE`` of them of up to ``SAMPLE_WORDS`` words; these bounds are parameters, and scoring has none. Forward-backward
 gives each token the marginal probability of the toxic tag. The document's evidence is the chance that any token
 is toxic; a logistic curve, fitted to the sample's labels, makes it the score.
@@ -27,14 +27,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, words_of
 
-#: Labelled rows that are learned from at most, by the hash of their id.
-LABELLED = 20_000
-#: Of those, the rows that the field is fitted to, if their texts have no more than so many words.
+#: Labelled rows that the field is fitted to, by the hash of their id, if their texts have no more than so many words.
 SAMPLE, SAMPLE_WORDS = 4000, 1500
 #: Hashed features.
 FEATURES = 1 << 18
@@ -250,19 +248,19 @@ def held_out(id_column: Column) -> Column:
 
 
 def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Field:
-    """The field from a sample of the labelled rows that aren't held out.
+    """The field for the labelled rows that aren't held out.
 
-    The sample is drawn from the labels alone and has a fixed bound, so it can be broadcast and texts aren't shuffled.
+    Words are counted over all of them; the sample that the field is fitted to is drawn from the labels alone and has
+    a fixed bound.
     """
     told = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     told = told.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("toxic"))
-    order = [F.xxhash64("__id"), F.col("__id"), F.col("toxic")]
-    picked = told.orderBy(*order).limit(LABELLED).withColumn("nth", F.row_number().over(Window.orderBy(*order)))
-    picked = materialize(picked, "picked")
     texts = documents.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    labelled = materialize(texts.join(F.broadcast(picked), "__id").select("text", "toxic", "nth"), "taught")
-    marks = set(toxic_marks(labelled))
-    rows = labelled.where((F.col("nth") <= SAMPLE) & (F.size(words_of(F.col("text"))) <= SAMPLE_WORDS)).select("text", "toxic").collect()
+    labelled = materialize(texts.join(told, "__id"), "taught")
+    marks = set(toxic_marks(labelled.select("text", "toxic")))
+    picked = materialize(told.orderBy(F.xxhash64("__id"), "__id", "toxic").limit(SAMPLE), "picked")
+    sample = texts.join(F.broadcast(picked), "__id")
+    rows = sample.where(F.size(words_of(F.col("text"))) <= SAMPLE_WORDS).select("text", "toxic").collect()
     rows.sort()
     return fit([r.text for r in rows], np.array([float(r.toxic) for r in rows]), marks)
 
