@@ -5,7 +5,7 @@ no target exceeds ``max_repeat`` times its source's size, and what is cut off go
 A source is taken whole as often as its target allows. For the rest of its budget the documents are counted by
 exact size, and a plan says how many of each size to take once more: a share of every size in proportion, then
 larger sizes while the open budget is large, then a bounded knapsack by dynamic programming that meets the last
-words exactly where the sizes allow. The documents of each size are those of the smallest seeded hashes.
+words exactly where the sizes allow, or the longest document that fits where only very long ones are left. The documents of each size are those of the smallest seeded hashes.
 
 Only counts per (source, size) reach the planning step, one source to a task. Hot sizes are dealt into buckets by
 their hash, about as many as the root of their number, so no task ranks more than that.
@@ -66,7 +66,13 @@ def fit_budget(size: np.ndarray, n: np.ndarray, budget: int) -> np.ndarray:
             take[i] += more
             left[i] -= more
             rest -= more * int(size[i])
-    if not 0 < rest <= KNAPSACK_WORDS:
+    if rest > KNAPSACK_WORDS:
+        # all that is left is longer than rest - KNAPSACK_WORDS // 2, more than half of rest, so one document fits at most
+        fits = np.flatnonzero((left > 0) & (size > 0) & (size <= rest))
+        if len(fits):
+            take[fits[np.argmax(size[fits])]] += 1
+        return take
+    if rest <= 0:
         return take
     reached = np.zeros(rest + 1, bool)
     reached[0] = True
