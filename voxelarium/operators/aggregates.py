@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import runtime
 from ..image import Image
 from ..space import Space
 
@@ -158,9 +162,12 @@ def downsample_sparse(image: Image, new_dims: tuple[int, int, int]) -> Image:
     return Image(space, binned.groupBy(*image.keys).agg(F.avg("value").alias("value")))
 
 
-def partition(mask: Image, k: int, rounds: int = 10, seed: int = 1) -> DataFrame:
-    """``(vox, cluster)``: k-means of the mask's world coordinates. Only the k centers come to the driver."""
-    points = mask.with_coords().select("vox", "x", "y", "z")
+def partition(mask: Image, k: int, rounds: int = 200, seed: int = 1) -> DataFrame:
+    """``(vox, cluster)``: k-means of the mask's world coordinates. Only the k centers come to the driver.
+
+    Rounds go on until no center moves; a warning tells where ``rounds`` of them were not enough.
+    """
+    points = runtime.materialize(mask.with_coords().select("vox", "x", "y", "z"), "points")
     first = points.orderBy(F.xxhash64(F.lit(seed), "vox")).limit(k).collect()
     centers = [(r.x, r.y, r.z) for r in first]
 
@@ -173,9 +180,13 @@ def partition(mask: Image, k: int, rounds: int = 10, seed: int = 1) -> DataFrame
         new = list(centers)
         for r in moved:
             new[r.cluster - 1] = (r.x, r.y, r.z)
-        if new == centers:
-            break
+        # sums in another order differ in their last digits
+        still = all(math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-9) for p, q in zip(new, centers) for a, b in zip(p, q))
         centers = new
+        if still:
+            break
+    else:
+        warnings.warn(f"k-means: centers still move after {rounds} rounds", stacklevel=2)
     return assign(centers).select("vox", "cluster")
 
 
