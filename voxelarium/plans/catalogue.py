@@ -509,7 +509,7 @@ def enhance_stat_map(spark, sf_dir):
 @query(None)
 def laplace_enhance(spark, sf_dir):
     q = T.vol_qty(spark, sf_dir)
-    return _out(stencils.laplace_enhance(q, q, search=1), 6)
+    return _out(stencils.laplace_enhance(q, q), 6)
 
 
 # components and extrema
