@@ -5,10 +5,14 @@ documents are counted, and such a word within a toxic document is a toxic token.
 words look like marks; of the documents that share a label and a smallest shingle hash one is counted.
 
 The field has the tags clean and toxic, one weight for each hashed feature of a token (the word, its first and
-its last letters) and weights for the first tag and the transitions. Words are counted over all labelled rows, and the
-field is fitted to ``SAMPLE`` of them of up to ``SAMPLE_WORDS`` words; these bounds are parameters, and scoring has none. Forward-backward
-gives each token the marginal probability of the toxic tag. The document's evidence is the chance that any token
-is toxic; a logistic curve, fitted to the sample's labels, makes it the score.
+its last letters, the words before and after it) and weights for the first tag and the transitions. Words are counted
+over all labelled rows, and the field is fitted to ``SAMPLE`` of them of up to ``SAMPLE_WORDS`` words; these bounds are
+parameters, and scoring has none. Forward-backward gives each token the marginal probability of the toxic tag. The
+document's evidence is the chance that any token is toxic; a logistic curve, fitted to the sample's labels, makes it
+the score.
+
+To count words, ids meet texts by a broadcast of the ids where there are at most ``BROADCAST_IDS`` of them, and by a
+shuffle of the texts beyond; the result is the same.
 
 With two tags the forward and backward messages are single ratios, so all documents of a batch move along
 together, one position a step.
@@ -34,6 +38,10 @@ from .common import materialize, words_of
 
 #: Labelled rows that the field is fitted to, by the hash of their id, if their texts have no more than so many words.
 SAMPLE, SAMPLE_WORDS = 4000, 1500
+#: Labelled ids that are broadcast to the texts; with more of them the texts are shuffled instead.
+BROADCAST_IDS = 1_000_000
+#: What the weights of a token's neighbours count against its own: they tell less, and few texts teach each of them.
+CONTEXT = 0.25
 #: Hashed features.
 FEATURES = 1 << 18
 ROUNDS, RATE, SHRINK = 40, 0.5, 1e-4
@@ -51,8 +59,25 @@ def bare(word: str) -> str:
 
 
 def features(word: str) -> list[int]:
+    """The hashed features of a word: its own three, and those it lends to the token after it and to the one before it."""
     w = bare(word)
-    return [zlib.crc32(f"{kind}:{part}".encode()) % FEATURES for kind, part in (("w", w), ("p", w[:4]), ("s", w[-4:]))]
+    kinds = (("w", w), ("p", w[:4]), ("s", w[-4:]), ("before", w), ("after", w))
+    return [zlib.crc32(f"{kind}:{part}".encode()) % FEATURES for kind, part in kinds]
+
+
+#: How the five features count.
+_SHARE = np.array([1.0, 1.0, 1.0, CONTEXT, CONTEXT])
+#: What the first token has before it and the last one after it.
+_EDGES = tuple(zlib.crc32(f"{kind}:\n".encode()) % FEATURES for kind in ("before", "after"))
+
+
+def in_context(own: np.ndarray, first, last) -> np.ndarray:
+    """Rows of ``features`` in the order of a text, each with the lent values of its neighbours in place of its own."""
+    out = own.copy()
+    if len(own):
+        out[1:, 3], out[0, 3] = own[:-1, 3], first
+        out[:-1, 4], out[-1, 4] = own[1:, 4], last
+    return out
 
 
 @dataclass
@@ -65,8 +90,9 @@ class Field:
     moves: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     curve: tuple[float, float] = (0.0, 0.0)
 
-    def emission(self, word: str) -> float:
-        return self.bias + float(self.weights[features(word)].sum())
+    def emissions(self, own: np.ndarray) -> np.ndarray:
+        """The emissions of a text from the weights of the features of its words, a row a word."""
+        return self.bias + in_context(own, *self.weights[list(_EDGES)]) @ _SHARE
 
 
 def messages(s: np.ndarray, lengths: np.ndarray, model: Field) -> tuple[np.ndarray, np.ndarray]:
@@ -136,18 +162,19 @@ class _Part:
 
     def emissions(self, model: Field) -> np.ndarray:
         s = np.zeros(self.real.shape)
-        s[self.real] = model.bias + model.weights[self.feats].sum(axis=1)
+        s[self.real] = model.bias + model.weights[self.feats] @ _SHARE
         return s
 
 
 def _training_parts(texts: list[str], toxic: np.ndarray, marks: set[str], cells: int = 150_000) -> list[_Part]:
-    known: dict[str, tuple[int, int, int, bool]] = {}
+    known: dict[str, tuple[int, ...]] = {}
     rows = []
     for text, label in zip(texts, toxic):
         words = _WORD.findall(text)
         for w in set(words).difference(known):
             known[w] = (*features(w), bare(w) in marks)
-        rows.append((np.array([known[w] for w in words], np.int32).reshape(-1, 4), float(label)))
+        own = np.array([known[w] for w in words], np.int32).reshape(-1, 6)
+        rows.append((in_context(own, *_EDGES), float(label)))
     rows.sort(key=lambda r: -len(r[0]))
     parts, at = [], 0
     while at < len(rows):
@@ -158,8 +185,8 @@ def _training_parts(texts: list[str], toxic: np.ndarray, marks: set[str], cells:
         real = np.arange(longest) < lengths[:, None]
         table = np.concatenate([r for r, _ in some])
         y = np.zeros(real.shape)
-        y[real] = table[:, 3]
-        parts.append(_Part(lengths, label, real, table[:, :3].copy(), y * label[:, None]))
+        y[real] = table[:, 5]
+        parts.append(_Part(lengths, label, real, table[:, :5].copy(), y * label[:, None]))
     return parts
 
 
@@ -187,7 +214,7 @@ def fit(texts: list[str], toxic: np.ndarray, marks: set[str]) -> Field:
             fwd, back = messages(s, part.lengths, model)
             odds = np.clip(fwd * back, 1e-30, 1e30)
             off = np.where(part.real, part.y - odds / (1 + odds), 0.0)
-            grad += np.bincount(part.feats.ravel(), np.repeat(off[part.real], 3), FEATURES)
+            grad += np.bincount(part.feats.ravel(), np.outer(off[part.real], _SHARE).ravel(), FEATURES)
             at_bias += off.sum()
             at_start += off[part.lengths > 0, 0].sum()
             x, move = np.exp(np.clip(s[:, 1:], -30, 30)) * back[:, 1:], np.exp(model.moves)
@@ -220,23 +247,44 @@ def fit(texts: list[str], toxic: np.ndarray, marks: set[str]) -> Field:
     return model
 
 
-def toxic_marks(labelled: DataFrame) -> list[str]:
-    """Words that mark toxic documents among the rows of ``(text, toxic)``.
+def _join_ids(texts: DataFrame, ids: DataFrame, keys: list[str], reduce) -> DataFrame:
+    """``reduce(texts)`` joined with ``ids`` by ``keys``; only what ``reduce`` leaves is shuffled where ids are many.
+
+    ``ids`` is a written table, so its count costs no more than its footers.
+    """
+    if ids.count() <= BROADCAST_IDS:
+        return reduce(texts.join(F.broadcast(ids), keys), [c for c in ids.columns if c not in keys])
+    return reduce(texts, []).join(ids, keys)
+
+
+def toxic_marks(texts: DataFrame, told: DataFrame) -> list[str]:
+    """Words that mark toxic documents, from texts ``(__id, text)`` and a written table ``(__id, toxic)``.
 
     The list is short: it holds words that stand mostly in toxic documents, significantly often.
     """
-    words = F.col("words")
-    shingles = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 3, F.lit(0))), lambda i: F.xxhash64(F.slice(words, i + 1, 3)))
-    docs = labelled.select("toxic", F.transform(words_of(F.col("text")), lambda w: F.regexp_replace(F.lower(w), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")).alias("words"))
-    once = docs.where(F.size("words") > 0).groupBy("toxic", F.array_min(shingles).alias("least")).agg(
-        F.min_by(F.array_distinct("words"), F.xxhash64("words")).alias("words")
-    )
-    once = materialize(once, "labelled")
-    n1, n0 = once.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum(1 - F.col("toxic")), F.lit(0))).first()
-    if not n1 or not n0:
+    words = words_of(F.lower(F.col("text")))
+
+    def shingled(rows: DataFrame, more: list[str]) -> DataFrame:
+        split = rows.select("__id", *more, F.xxhash64("text").alias("__text"), words.alias("words")).where(F.size("words") > 0)
+        shingles = F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - 3, F.lit(0))), lambda i: F.xxhash64(F.slice("words", i + 1, 3)))
+        return split.select("__id", *more, "__text", F.array_min(shingles).alias("least"))
+
+    def told_words(rows: DataFrame, more: list[str]) -> DataFrame:
+        bare_words = F.transform(F.array_distinct(words), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+        return rows.select("__id", "__text", *more, F.array_distinct(bare_words).alias("words"))
+
+    least = _join_ids(texts, told, ["__id"], shingled)
+    once = least.groupBy("toxic", "least").agg(F.min(F.struct("__text", "__id")).alias("x"))
+    once = materialize(once.select("x.__id", "x.__text", "toxic").distinct(), "once")
+    each = _join_ids(texts.withColumn("__text", F.xxhash64("text")), once, ["__id", "__text"], told_words)
+    # the empty word counts the documents
+    word = F.explode(F.array_union(F.filter("words", lambda w: w != ""), F.array(F.lit(""))))
+    found = each.select("toxic", word.alias("word")).groupBy("word").agg(F.sum("toxic").alias("d1"), F.sum(1 - F.col("toxic")).alias("d0"))
+    found = materialize(found, "words")
+    every = found.where("word = ''").first()
+    if every is None or not every.d1 or not every.d0:
         return []
-    found = once.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("d1"), F.sum(1 - F.col("toxic")).alias("d0"))
-    odds = F.log((F.col("d1") + 0.5) / F.lit(n1 + 1.0)) - F.log((F.col("d0") + 0.5) / F.lit(n0 + 1.0))
+    odds = F.log((F.col("d1") + 0.5) / F.lit(every.d1 + 1.0)) - F.log((F.col("d0") + 0.5) / F.lit(every.d0 + 1.0))
     spread = F.sqrt(1 / (F.col("d1") + 0.5) + 1 / (F.col("d0") + 0.5))
     marks = found.where((F.col("word") != "") & (odds / spread >= MARK_DEVIATIONS) & (F.col("d1") >= MARK_SHARE * (F.col("d1") + F.col("d0"))))
     return [r.word for r in marks.select("word").collect()]
@@ -254,10 +302,9 @@ def learn(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     a fixed bound.
     """
     told = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
-    told = told.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("toxic"))
+    told = materialize(told.select(F.col(id_col).cast("long").alias("__id"), F.col(label_col).cast("int").alias("toxic")), "told")
     texts = documents.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    labelled = materialize(texts.join(told, "__id"), "taught")
-    marks = set(toxic_marks(labelled.select("text", "toxic")))
+    marks = set(toxic_marks(texts, told))
     picked = materialize(told.orderBy(F.xxhash64("__id"), "__id", "toxic").limit(SAMPLE), "picked")
     sample = texts.join(F.broadcast(picked), "__id")
     rows = sample.where(F.size(words_of(F.col("text"))) <= SAMPLE_WORDS).select("text", "toxic").collect()
@@ -269,7 +316,8 @@ def score(documents: DataFrame, model: Field, id_col: str = "doc_id", text_col:
     """``(doc_id, score, spans)`` of every row; spans are ``(start, end, p)`` in code points of tokens at ``span_from`` or above."""
 
     def run(batches):
-        known: dict[str, float] = {}
+        known: dict[str, int] = {}
+        weights = np.zeros((1 << 12, 5))
         a, b = model.curve
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
@@ -281,8 +329,11 @@ def score(documents: DataFrame, model: Field, id_col: str = "doc_id", text_col:
                     if len(known) > CACHE:
                         known.clear()
                     for w in set(words).difference(known):
-                        known[w] = model.emission(w)
-                    rows.append(np.fromiter(map(known.__getitem__, words), np.float64, len(words)))
+                        at_word = known[w] = len(known)
+                        if at_word == len(weights):
+                            weights = np.concatenate([weights, np.zeros_like(weights)])
+                        weights[at_word] = model.weights[features(w)]
+                    rows.append(model.emissions(weights[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]))
                 scores, spans = [], []
                 for text, p in zip(texts, marginals(rows, model)):
                     scores.append(float(1 / (1 + np.exp(-(a + b * evidence(p))))))
