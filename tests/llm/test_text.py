@@ -263,3 +263,14 @@ def test_pipeline_stages_follow_from_their_input(spark, sf_dir):
             break
         assert list(after.columns) == list(C.COLUMNS)
         docs, before = spark.createDataFrame(after, docs.schema), after
+
+
+def test_pieces_equal_the_library_on_texts_with_special_tokens():
+    """The names of special tokens get their ids, wherever white space stands around them."""
+    from tokenizers import Tokenizer
+
+    tokenizer, encoder = Tokenizer.from_file(P.path("byte_bpe_50k.json")), packing.PieceEncoder(P.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", " <|endoftext|>\n\n <|endoftext|>x<|endoftext|>", "a  <|endoftext|>  b", "<|endoftext", *odd_texts(800, seed=9)]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [ids.tolist() for ids in encoder.encode(texts)] == want
+    assert 50256 in want[0]

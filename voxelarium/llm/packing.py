@@ -11,7 +11,9 @@ Documents are ordered by id (null first, as Spark sorts), then by the hash of th
 task encodes and writes its range under a name of its own attempt. The manifest lists the files of the attempts
 that counted, so a task that runs again, or twice, does no harm.
 
-Defined results: null and empty texts are a lone end id. Rows that repeat id and text get a row each. An empty
+Defined results: null and empty texts are a lone end id. A text that holds the name of a special token gets that
+token's id there, as the library gives it with ``add_special_tokens=False``. Very long texts are cut into pieces and
+never held as one list of tokens' objects. Rows that repeat id and text get a row each. An empty
 table gives an empty table. Only id and text are read.
 """
 
@@ -148,7 +150,6 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.bound, self.known = bound, {}
 
