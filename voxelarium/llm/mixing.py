@@ -3,20 +3,25 @@
 Sources, ordered by code point with null last, weigh 1, 2, 3, repeating. They share the total size by weight;
 no target exceeds ``max_repeat`` times its source's size, and what is cut off goes to the others by weight.
 A source is taken whole as often as its target allows. For the rest of its budget the documents are counted by
-exact size, and a plan says how many of each size to take once more: a share of every size in proportion, then
-larger sizes while the open budget is large, then a bounded knapsack by dynamic programming that meets the last
-words exactly where the sizes allow, or the longest document that fits where only very long ones are left. The documents of each size are those of the smallest seeded hashes.
+exact size, and a bounded knapsack by dynamic programming says how many of each size to take once more. It decides
+the last ``KNAPSACK_WORDS`` words, or ``SPAN`` times the longest document that fits if that is more; what a budget
+has beyond them is taken in proportion from every size. So a budget within that span gets the best sum there is, and a
+larger one nearly always (few different sizes, most of them taken already, can miss it by less than a document). The
+documents of each size are those of the smallest seeded hashes.
 
 Only counts per (source, size) reach the planning step, one source to a task. Hot sizes are dealt into buckets by
-their hash, about as many as the root of their number, so no task ranks more than that.
+their hash, about as many as the root of their number, so no task ranks more than that. Sources are numbered by
+ranges, and the level of the targets is found by sums over all sources, so they may be many.
 
 Defined results: null and empty texts have size 0 and are never taken. Rows that repeat id and text are documents
 of their own here. A null source is a source. An empty table, or one of empty texts, gives targets of 0. Only id,
-text and source are read.
+text and source are read; other columns may have any name. A very long document is taken where it still fits.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -26,72 +31,82 @@ from .common import materialize, words_of
 
 SEED = 20240601
 MAX_REPEAT = 3
-#: Budget that is met by dynamic programming; what is open beyond it is filled size by size.
-KNAPSACK_WORDS = 1 << 16
+#: Words that the dynamic programme decides: so many, or so many times the longest document that fits.
+KNAPSACK_WORDS, SPAN = 1 << 16, 16
+
+
+def numbered(frame: DataFrame, name: str, *order) -> DataFrame:
+    """``frame``, written, with the column ``name`` that counts its rows from 1 in the given order.
+
+    Ranges are sorted apart, and a row's number is its place in its range after all the ranges before.
+    """
+    place = (F.monotonically_increasing_id() % (1 << 33)).alias("__at")
+    dealt = frame.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = materialize(dealt.select("*", F.spark_partition_id().alias("__part"), place), "numbered")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = dealt.groupBy("__part").agg(F.count("*").alias("__rows"))  # a row a partition
+    parts = parts.select("__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
+    return dealt.join(parts, "__part").withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__part", "__at", "__before")
 
 
 def targets(sizes: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """``(source, source_no, source_size, target)`` from ``(source, source_size)``, one row per source.
 
-    With weights w and caps c, the targets are min(c, level * w) for the one level that spends the total. Sources
-    are capped in the order of c / w; each is if the level without it and its successors would exceed its cap.
+    With weights w and caps c, the targets are min(c, level * w) for the one level that spends the total. The level
+    is shared anew among those below their caps until none is above; it only rises, so no cap is left again.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
-    ranked = sizes.select("source", "source_size", F.row_number().over(by_name).alias("source_no"))
-    weighed = ranked.withColumns({"w": ((F.col("source_no") - 1) % 3 + 1).cast("double"), "cap": F.col("source_size") * float(max_repeat)})
-    everything, before = Window.partitionBy(), Window.orderBy(F.col("cap") / F.col("w"), "source_no").rowsBetween(Window.unboundedPreceding, -1)
-    total = F.sum("source_size").over(everything).cast("double")
-    level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (
-        F.sum("w").over(everything) - F.coalesce(F.sum("w").over(before), F.lit(0.0))
-    )
-    stepped = weighed.withColumn("level", level).withColumn("capped", F.col("cap") < F.col("level") * F.col("w"))
-    # the level that holds is that of the first source that is not capped
-    final = F.min_by(F.when(~F.col("capped"), F.col("level")), F.when(~F.col("capped"), F.col("cap") / F.col("w"))).over(everything)
-    return stepped.select(
-        "source", "source_no", "source_size", F.when(F.col("capped"), F.col("cap")).otherwise(final * F.col("w")).alias("target")
+    ranked = numbered(sizes.select("source", "source_size"), "source_no", F.col("source").isNull(), F.col("source"))
+    w, cap = ((F.col("source_no") - 1) % 3 + 1).cast("double"), F.col("source_size") * float(max_repeat)
+    weighed = ranked.select("source", F.col("source_no").cast("int").alias("source_no"), "source_size", w.alias("w"), cap.alias("cap"))
+
+    def sums(level: float):
+        capped = F.col("cap") < F.lit(level) * F.col("w")
+        spent, shared = F.sum(F.when(capped, F.col("cap")).otherwise(0.0)), F.sum(F.when(capped, 0.0).otherwise(F.col("w")))
+        return weighed.agg(F.sum("source_size").alias("total"), spent.alias("spent"), shared.alias("w")).first()
+
+    level = 0.0
+    while (now := sums(level)).w and (level_now := (now.total - now.spent) / now.w) != level:
+        level = level_now
+    capped = F.col("cap") < F.lit(level) * F.col("w")
+    return weighed.select(
+        "source", "source_no", "source_size", F.when(capped, F.col("cap")).otherwise(F.lit(level) * F.col("w")).alias("target")
     )
 
 
 def fit_budget(size: np.ndarray, n: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each size to take so that their words meet ``budget`` as nearly as possible from below."""
-    total = float((size.astype(float) * n).sum())
-    take = np.minimum(n, np.floor(n * (budget / total)).astype(np.int64)) if total and budget > 0 else np.zeros_like(n)
-    rest = int(budget) - sum(int(a) * int(b) for a, b in zip(take, size))
-    left = n - take
-    for i in np.argsort(-size, kind="stable"):
-        if rest <= KNAPSACK_WORDS:
-            break
-        more = min(int(left[i]), (rest - KNAPSACK_WORDS // 2) // int(size[i])) if size[i] else 0
-        if more > 0:
-            take[i] += more
-            left[i] -= more
-            rest -= more * int(size[i])
-    if rest > KNAPSACK_WORDS:
-        # all that is left is longer than rest - KNAPSACK_WORDS // 2, more than half of rest, so one document fits at most
-        fits = np.flatnonzero((left > 0) & (size > 0) & (size <= rest))
-        if len(fits):
-            take[fits[np.argmax(size[fits])]] += 1
+    take, budget = np.zeros_like(n), int(budget)
+    some = np.flatnonzero((n > 0) & (size > 0) & (size <= budget))
+    some = some[np.argsort(size[some], kind="stable")]
+    words = [int(size[i]) for i in some]
+    total = sum(w * int(n[i]) for w, i in zip(words, some))
+    if total <= budget:
+        take[some] = n[some]
         return take
-    if rest <= 0:
-        return take
-    reached = np.zeros(rest + 1, bool)
-    reached[0] = True
-    by = np.full(rest + 1, -1, np.int64)
-    items: list[tuple[int, int, int]] = []
-    for i in np.flatnonzero((left > 0) & (size > 0) & (size <= rest)):
-        many, part = min(int(left[i]), rest // int(size[i])), 1
-        while many:
+    span = max(KNAPSACK_WORDS, SPAN * words[-1])
+    rest = budget
+    if budget > span:
+        take[some] = np.floor(n[some] * ((budget - span) / total)).astype(np.int64)
+        rest -= sum(w * int(take[i]) for w, i in zip(words, some))
+        for w, i in zip(reversed(words), reversed(some)):
+            more = min(int(n[i] - take[i]), max(0, rest - span) // w)
+            take[i] += more
+            rest -= more * w
+    rest -= budget % math.gcd(*words)  # no sum meets what their common factor leaves over
+    # by[x]: the item that first reached x words, -1 where none has
+    by = np.full(rest + 1, -1, np.int32)
+    by[0] = 0
+    items: list[tuple[int, int, int]] = [(0, 0, 0)]
+    for w, i in zip(words, some):
+        many, part = min(int(n[i] - take[i]), rest // w), 1
+        while many > 0 and by[rest] < 0:
             part = min(part, many)
-            cost = part * int(size[i])
-            fresh = reached[:-cost] & ~reached[cost:]
-            by[cost:][fresh] = len(items)
-            reached[cost:] |= fresh
-            items.append((int(i), part, cost))
+            fresh = np.flatnonzero((by[: -part * w] >= 0) & (by[part * w :] < 0)) + part * w
+            by[fresh] = len(items)
+            items.append((i, part, part * w))
             many -= part
             part *= 2
-        if reached[rest]:
-            break
-    at = int(np.flatnonzero(reached)[-1])
+    at = int(np.flatnonzero(by >= 0)[-1])
     while at:
         i, part, cost = items[by[at]]
         take[i] += part
@@ -148,13 +163,16 @@ def mix(documents: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col
 def repeat_documents(documents: DataFrame, **options) -> DataFrame:
     """The rows of the mix: each document as often as it is taken, with the columns it had."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    taken = mix(documents, **options).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(
+    source_col = options.get("source_col", "source")
+    taken = mix(documents, **options).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("source").alias("__source")).agg(
         F.sum("copies").cast("int").alias("__copies"), F.count("*").cast("int").alias("__rows")
     )
-    keyed = documents.withColumns({"__own_id": F.col(id_col).cast("long"), "__own_hash": F.xxhash64(text_col)})
-    joined = keyed.join(taken.where("__copies > 0"), keyed["__own_id"].eqNullSafe(taken["__id"]) & (keyed["__own_hash"] == taken["__hash"]))
-    # rows that repeat a document share its copies
-    nth = F.row_number().over(Window.partitionBy("__own_id", "__own_hash").orderBy(F.lit(0)))
+    keyed = documents.withColumns({"__own_id": F.col(id_col).cast("long"), "__own_hash": F.xxhash64(text_col), "__own_source": F.col(source_col).cast("string")})
+    same = keyed["__own_id"].eqNullSafe(taken["__id"]) & (keyed["__own_hash"] == taken["__hash"]) & keyed["__own_source"].eqNullSafe(taken["__source"])
+    joined = keyed.join(taken.where("__copies > 0"), same)
+    # rows that repeat a document of a source share its copies, in an order of what else they hold
+    rest = F.xxhash64(*[F.col(c) for c, kind in documents.dtypes if "map<" not in kind and "variant" not in kind])
+    nth = F.row_number().over(Window.partitionBy("__own_id", "__own_hash", "__own_source").orderBy(rest))
     share = F.floor(F.col("__copies") / F.col("__rows")) + F.when(nth <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)
     return joined.withColumn("__share", share.cast("int")).where("__share > 0").select(
         *[F.col(c) for c in documents.columns], F.explode(F.sequence(F.lit(1), "__share")).alias("__copy")
