@@ -5,11 +5,14 @@ are cut into ``max_distance + 1`` consecutive segments that form a ring. If two
 segment starts a chain along the ring whose first l segments together differ in at most
 ``floor(l * max_distance / (max_distance + 1)) = l - 1`` bits, for every l. So the first segment of the chain
 is equal and the second differs in one bit at most. That pair of segments is the key of the candidate
-search; the longer prefixes of the chain prune candidates, and the whole ring is the full Hamming check.
+search. Each longer prefix of the chain drops the candidates over its budget before the next is counted, and the whole
+ring is the full Hamming check.
 
 Equal fingerprints are one node from the start, so copies are never expanded. A key that very many different
-fingerprints share is cut into chunks, and each pair of chunks is a cell of its own. Within a cell only the
-links of a spanning forest come out, never all pairs.
+fingerprints share is refined by the third segment of the chain, within whose budget of two bits any two have a value
+in common at one bit from each; so keys grow by a segment where the table has outgrown two. What is crowded even then
+(a dense group of near copies) is cut into chunks, and each pair of chunks is a cell of its own. Within a cell only
+the links of a spanning forest come out, never all pairs.
 
 Defined results: null and empty texts have fingerprint 0 and link like any other. Repeated rows give a row
 each. A null id stays null in its row and is never the smallest of a component that has an id. An empty table
@@ -114,16 +117,31 @@ def chain_keys(fp: Column, max_distance: int) -> Column:
     return F.flatten(F.array(*arrays))
 
 
-def _chain_holds(x: np.ndarray, start: np.ndarray, max_distance: int) -> np.ndarray:
-    """Whether the differing bits ``x`` keep every budget of the chain from segment ``start``."""
+def third_values(fp: Column, key: Column, max_distance: int) -> Column:
+    """The values of the third segment of a key's chain that a fingerprint is met at: its own and all at one bit."""
+    ring, out = segments(max_distance), None
+    for i in range(len(ring)):
+        third = ring[(i + 2) % len(ring)]
+        own = _bits(fp, third)
+        ball = F.array(own, *[own.bitwiseXOR(F.lit(1 << b).cast("long")) for b in range(third[1])])
+        here = F.shiftright(key, _START) == i
+        out = F.when(here, ball) if out is None else out.when(here, ball)
+    return out
+
+
+def _chain_survivors(x: np.ndarray, start: np.ndarray, max_distance: int) -> np.ndarray:
+    """Where the differing bits ``x`` keep every budget of the chain from segment ``start``; prefix by prefix, on what is left."""
     ring = segments(max_distance)
-    m = len(ring)
-    per = np.stack([np.bitwise_count((x >> np.uint64(o)) & np.uint64((1 << w) - 1)) for o, w in ring]).astype(np.int16)
-    ok, total, at = np.ones(len(x), bool), np.zeros(len(x), np.int16), np.arange(len(x))
-    for step in range(m):
-        total += per[(start + step) % m, at]
-        ok &= total <= min(step, max_distance)
-    return ok
+    offset, mask = np.array([o for o, _ in ring], np.uint64), np.array([(1 << w) - 1 for _, w in ring], np.uint64)
+    left, total = np.arange(len(x)), np.zeros(len(x), np.uint8)
+    for step in range(len(ring)):
+        at = (start + step) % len(ring)
+        total += np.bitwise_count((x >> offset[at]) & mask[at])
+        holds = total <= min(step, max_distance)
+        left, x, start, total = left[holds], x[holds], start[holds], total[holds]
+        if not len(left):
+            break
+    return left
 
 
 def _forest(fps: np.ndarray, start: int, max_distance: int) -> list[tuple[int, int]]:
@@ -133,7 +151,8 @@ def _forest(fps: np.ndarray, start: int, max_distance: int) -> list[tuple[int, i
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             u = queue.pop()
-            near = _chain_holds(left ^ u, np.full(len(left), start), max_distance)
+            near = np.zeros(len(left), bool)
+            near[_chain_survivors(left ^ u, np.full(len(left), start), max_distance)] = True
             if near.any():
                 links += [(u, v) for v in left[near]]
                 queue += list(left[near])
@@ -145,16 +164,16 @@ def _links_in_cells(max_distance: int):
     def run(batches):
         carried = None
         for b in batches:
-            cols = [np.asarray(b.column(k)) for k in range(4)]
+            cols = [np.asarray(b.column(k)) for k in range(5)]
             if carried is not None:
                 cols = [np.concatenate(x) for x in zip(carried, cols)]
-            key, a, c, fp = cols
-            new = np.flatnonzero((key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (c[1:] != c[:-1])) + 1
+            key, fp = cols[0], cols[4]
+            new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)) + 1
             cut = new[-1] if len(new) else 0
             carried = [x[cut:] for x in cols]
             yield from emit(key[:cut], fp[:cut], new[:-1])
         if carried is not None:
-            yield from emit(carried[0], carried[3], np.zeros(0, np.int64))
+            yield from emit(carried[0], carried[4], np.zeros(0, np.int64))
 
     def emit(key, fp, new):
         if not len(key):
@@ -170,7 +189,7 @@ def _links_in_cells(max_distance: int):
             at = np.flatnonzero(small[:-d] & (run_of[:-d] == run_of[d:])) if len(key) > d else np.zeros(0, np.int64)
             if not len(at):
                 break
-            at = at[_chain_holds(u[at] ^ u[at + d], start[at], max_distance)]
+            at = at[_chain_survivors(u[at] ^ u[at + d], start[at], max_distance)]
             left.append(u[at])
             right.append(u[at + d])
         for r in np.flatnonzero(sizes > _SMALL):
@@ -189,17 +208,22 @@ def _links_in_cells(max_distance: int):
 
 def links(distinct: DataFrame, max_distance: int = 4, chunk: int = CHUNK) -> DataFrame:
     """Links ``(u, v)`` between different fingerprints ``fp`` that join the same components as all links do."""
-    keys = distinct.select("fp", F.explode(chain_keys(F.col("fp"), max_distance)).alias("key"))
-    crowded = keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
-    n = F.coalesce(F.ceil(F.col("n") / chunk), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
+    # a row has some thirty keys, so rows are dealt by number before; adaptive execution would put these small ones together
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = distinct.select("fp").repartition(tasks, "fp").select("fp", F.explode(chain_keys(F.col("fp"), max_distance)).alias("key"))
+    crowded = keys.groupBy("key").count().where(F.col("count") > chunk).select("key")
+    plain = keys.join(crowded, "key", "left_anti").select("key", F.lit(-1).cast("long").alias("third"), F.lit(0).alias("a"), F.lit(0).alias("b"), "fp")
+    wide = keys.join(crowded, "key", "left_semi").select("key", F.explode(third_values(F.col("fp"), F.col("key"), max_distance)).alias("third"), "fp")
+    dense = wide.groupBy("key", "third").count().where(F.col("count") > chunk)
+    chunks = F.coalesce(F.ceil(F.col("count") / chunk), F.lit(1)).cast("int")
     cells = (
-        keys.join(crowded, "key", "left")
-        .select("key", "fp", n.alias("chunks"))
-        .select("key", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-        .select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
+        wide.join(dense, ["key", "third"], "left")
+        .select("key", "third", "fp", chunks.alias("chunks"))
+        .select("key", "third", "fp", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+        .select("key", "third", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
     )
-    dealt = cells.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+    order = ["key", "third", "a", "b"]
+    dealt = plain.union(cells).repartition(*order).sortWithinPartitions(*order)
     return dealt.mapInArrow(_links_in_cells(max_distance), "u long, v long").distinct()
 
 
@@ -214,7 +238,9 @@ def near_duplicates(
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     roots = components(links(distinct, max_distance, chunk))
     placed = distinct.join(roots, distinct.fp == roots.u, "left").select("fp", "doc_id", F.coalesce("v", "fp").alias("component"))
-    named = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    placed = materialize(placed, "placed")
+    # written before it is joined, so that adaptive execution can split the rows of a large component
+    named = materialize(placed.groupBy("component").agg(F.min("doc_id").alias("component_id")), "named")
     return rows.join(placed.join(named, "component").select("fp", "component", "component_id"), "fp").select(
         "doc_id", "text_hash", "fp", "component", "component_id"
     )
