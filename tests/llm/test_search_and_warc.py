@@ -50,6 +50,49 @@ def test_recall_on_the_tables(spark, sf_dir):
     assert len(hits) == sum(i % 20 == 0 for i in ids) and np.mean(hits) >= 0.9
 
 
+def test_keys_and_probes_agree():
+    """Every bucket in the order of the summed coordinates; a vector is in the bucket that it probes first."""
+    x = np.random.default_rng(3).normal(size=(20, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    axes, flips = [8, 8, 3], ann.signs(5, 3, 8)
+    turned = [ann.rotate(x, f)[:, :n] for f, n in zip(flips, axes)]
+    sides = [np.stack([t, -t], axis=2).reshape(20, -1) for t in turned]
+    joint = (sides[0][:, :, None, None] + sides[1][:, None, :, None] + sides[2][:, None, None, :]).reshape(20, -1)
+    for n in (1, 7, 40):
+        got = np.take_along_axis(joint, ann.probes_of(x, flips, axes, n), axis=1)
+        assert np.allclose(np.sort(got, axis=1), np.sort(joint, axis=1)[:, -n:])  # equal sums may stand for each other
+    assert (ann.keys_of(x, flips, axes) == ann.probes_of(x, flips, axes, 1)[:, 0]).all()
+    assert ann.axes_of(500, 128) == [31] and ann.axes_of(51_282, 128) == [128, 13] and len(ann.axes_of(10**9, 128)) == 4
+
+
+def test_copies_lose_no_neighbour(spark):
+    """A third of the rows is one vector, queries among them; every result equals brute force."""
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(300, 4)).round(1)
+    v[100:200] = v[100]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0, k=7, probes=10_000).toPandas()
+    assert got.groupby("query_id").size().tolist() == [7] * 15
+    for q, g in got.groupby("query_id"):
+        score = (v * v[q]).sum(axis=1)
+        want = sorted((i for i in range(300) if i != q), key=lambda i: (-score[i], i))[:7]
+        assert g.sort_values("rank").vec_id.tolist() == want
+
+
+def test_recall_beyond_every_threshold(spark):
+    """Unit vectors without structure, more than a cell holds; a query meets a part of them."""
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(20_000, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 200 == 0, k=10).toPandas()
+    near = v[::200] @ v.T
+    near[np.arange(100), np.arange(0, 20_000, 200)] = -np.inf
+    want = np.argsort(-near, axis=1)[:, :10]
+    hits = [len(set(g.vec_id) & set(want[q // 200].tolist())) for q, g in got.groupby("query_id")]
+    assert sum(hits) / 1000 >= 0.9
+
+
 def test_ties_and_hard_vectors(spark):
     rows = [(i, [1.0, 0.0]) for i in (0, 4, 2, 1, 3)] + [(5, [0.0, 1.0]), (6, [0.0, 0.0]), (7, None), (8, [float("nan"), 1.0]), (9, [None, 1.0]), (10, [float("inf"), 0.0]), (None, [1.0, 1.0]), (20, [1.0]), (4, [1.0, 0.0])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, t string")
