@@ -145,6 +145,30 @@ def test_substring_dedup(spark):
     assert substring.repeated_spans(frame(spark, [])).count() == 0
 
 
+def test_runs_of_repeated_units(spark):
+    """Against brute force; shared sentences alone stay, runs of them with enough words go."""
+    rng = random.Random(5)
+    pool = [" ".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) + "." for _ in range(12)]
+    docs = [(d, rng.choice([" ", "\n"]).join(rng.choice([*pool, f"own{d} words{rng.random()}."]) for _ in range(rng.randint(0, 9)))) for d in range(50)]
+    docs += [(60, None), (61, ""), (62, pool[0] + " " + "x " * 20_000 + "end. " + " ".join(pool)), (63, "y. " * 3000)]
+    seen, want = {}, set()
+    for d, text in docs:
+        run = []
+        for at, end, words, digest in substring.units(text, 1):
+            if digest in seen:
+                run.append((at, end, words, *seen[digest]))
+                continue
+            seen[digest] = (d, at)
+            want |= {(d, a, e, *first) for a, e, _, *first in run} if sum(r[2] for r in run) >= 12 else set()
+            run = []
+        want |= {(d, a, e, *first) for a, e, _, *first in run} if sum(r[2] for r in run) >= 12 else set()
+    df = spark.createDataFrame([(i, t, "x", [1]) for i, t in docs + docs[:5]], "doc_id long, text string, clean_text string, removed_spans array<int>").repartition(3)
+    got = substring.repeated_spans(df, min_words=1, run_words=12).collect()
+    assert len(got) == len(want) and {(r.doc_id, r.start, r.end, r.first_doc_id, r.first_start) for r in got} == want
+    clean = substring.substring_dedup(df, min_words=1, run_words=12)
+    assert clean.columns == ["doc_id", "text", "removed_spans", "clean_text"] and clean.count() == len(docs) + 5
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(1, 300).select(F.col("id").alias("u"), (F.col("id") - 1).alias("v"))
     got = graph.components(edges).collect()

@@ -37,18 +37,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM c
 """
 
-#: A private-use character marks the cuts, which DuckDB then splits at.
+#: A private-use character marks the cuts, which DuckDB then splits at. 30 words make a run of repeated units a passage.
 OP3 = r"""
 WITH p AS (
   SELECT doc_id, string_split(replace(regexp_replace(coalesce(text, ''), '([.!?])([ \t\r])', '\1' || chr(57344) || '\2', 'g'), chr(10), chr(10) || chr(57344)), chr(57344)) AS ps
   FROM documents),
 u AS (SELECT doc_id, unnest(ps) AS unit, unnest(range(1, len(ps) + 1)) AS k FROM p),
-o AS (SELECT doc_id, unit, sum(len(unit)) OVER (PARTITION BY doc_id ORDER BY k) AS end_at FROM u),
-n AS (SELECT doc_id, CAST(end_at - len(unit) AS BIGINT) AS start_at, CAST(end_at AS BIGINT) AS end_at, lower(array_to_string(w, ' ')) AS norm
-  FROM (SELECT *, regexp_extract_all(unit, '[^\x20\x09-\x0D]+') AS w FROM o) x WHERE len(w) >= 6),
-r AS (SELECT doc_id, start_at, end_at, row_number() OVER g AS rn, first_value(doc_id) OVER g AS first_doc_id, first_value(start_at) OVER g AS first_start_at
-  FROM n WINDOW g AS (PARTITION BY norm ORDER BY doc_id, start_at))
-SELECT doc_id, start_at, end_at, first_doc_id, first_start_at FROM r WHERE rn > 1
+o AS (SELECT doc_id, unit, k, sum(len(unit)) OVER (PARTITION BY doc_id ORDER BY k) AS end_at FROM u),
+n AS (SELECT doc_id, CAST(end_at - len(unit) AS BIGINT) AS start_at, CAST(end_at AS BIGINT) AS end_at, len(w) AS words,
+    lower(array_to_string(w, ' ')) AS norm, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS nth
+  FROM (SELECT *, regexp_extract_all(unit, '[^\x20\x09-\x0D]+') AS w FROM o) x WHERE len(w) > 0),
+r AS (SELECT *, row_number() OVER g AS rn, first_value(doc_id) OVER g AS first_doc_id, first_value(start_at) OVER g AS first_start_at
+  FROM n WINDOW g AS (PARTITION BY norm ORDER BY doc_id, start_at)),
+q AS (SELECT *, nth - row_number() OVER (PARTITION BY doc_id ORDER BY nth) AS run FROM r WHERE rn > 1),
+t AS (SELECT *, sum(words) OVER (PARTITION BY doc_id, run) AS total FROM q)
+SELECT doc_id, start_at, end_at, first_doc_id, first_start_at FROM t WHERE total >= 30
 """
 
 OP9 = r"""

@@ -23,7 +23,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = substring.repeated_spans(_table(spark, sf_dir, "documents"))
+    spans = substring.repeated_spans(_table(spark, sf_dir, "documents"), min_words=1, run_words=substring.RUN_WORDS)
     return spans.select("doc_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), "first_doc_id", F.col("first_start").alias("first_start_at"))
 
 

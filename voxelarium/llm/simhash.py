@@ -210,7 +210,7 @@ def links(distinct: DataFrame, max_distance: int = 4, chunk: int = CHUNK) -> Dat
     """Links ``(u, v)`` between different fingerprints ``fp`` that join the same components as all links do."""
     # a row has some thirty keys, so rows are dealt by number before; adaptive execution would put these small ones together
     tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = distinct.select("fp").repartition(tasks, "fp").select("fp", F.explode(chain_keys(F.col("fp"), max_distance)).alias("key"))
+    keys = distinct.select("fp").repartition(tasks, F.xxhash64("fp")).select("fp", F.explode(chain_keys(F.col("fp"), max_distance)).alias("key"))
     crowded = keys.groupBy("key").count().where(F.col("count") > chunk).select("key")
     plain = keys.join(crowded, "key", "left_anti").select("key", F.lit(-1).cast("long").alias("third"), F.lit(0).alias("a"), F.lit(0).alias("b"), "fp")
     wide = keys.join(crowded, "key", "left_semi").select("key", F.explode(third_values(F.col("fp"), F.col("key"), max_distance)).alias("third"), "fp")
