@@ -249,11 +249,14 @@ def test_pipeline_stages_follow_from_their_input(spark, sf_dir):
             want = {d: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[d]) for d, t in zip(before.doc_id, before.text)}
             assert dict(zip(after.doc_id, after.text)) == {d: t for d, t in want.items() if t.split()}
         if name == "simhash near-dedup":
-            from test_dedup import brute_components, plain_fingerprint
-
-            ordered = before.sort_values("doc_id")
-            roots = brute_components([plain_fingerprint(t) for t in ordered.text], 4)
-            assert sorted(after.doc_id) == [d for k, d in enumerate(ordered.doc_id) if roots[k] == k]
+            from test_similar import shared
+
+            words = {d: t.lower().split() for d, t in zip(before.doc_id, before.text)}
+            kept = set(after.doc_id)
+            gone = set(before.doc_id) - kept
+            # estimates are some 0.03 off: pairs well above 0.8 lose one, and nothing goes without one that is about as similar
+            assert not [(a, b) for a in kept for b in kept if a < b and shared(words[a], words[b]) >= 0.9]
+            assert all(max(shared(words[d], words[k]) for k in words if k != d) >= 0.68 for d in gone)
         if name == "source mixing":
             taken = mixing.mix(docs).toPandas()
             assert after.groupby("doc_id").size().to_dict() == {d: c for d, c in zip(taken.doc_id, taken.copies) if c}

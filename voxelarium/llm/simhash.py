@@ -43,13 +43,13 @@ _PIECE = 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def fingerprint(text: bytes | None, width: int = 4) -> int:
-    """The signed 64-bit fingerprint of a text in UTF-8."""
+def _hashes(text: bytes | None, width: int):
+    """Arrays of the hashes of all shingles; a text of fewer words is one shingle, one without words has none."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
     text = text or b""
-    ones, total, carried, at = np.zeros(BITS, np.int64), 0, [], 0
+    carried, at, some = [], 0, False
     while at < len(text):
         found = _SPACE.search(text, at + _PIECE)
         end = found.start() if found else len(text)
@@ -60,21 +60,39 @@ def fingerprint(text: bytes | None, width: int = 4) -> int:
             ends = np.cumsum([len(w) + 1 for w in words]) - 1
             starts = np.concatenate(([0], ends[:-1] + 1))
             last = len(words) - width + 1
-            hashes = np.fromiter(
-                [digest(joined[s:e], 42) for s, e in zip(starts[:last].tolist(), ends[width - 1 :].tolist())], np.uint64, last
-            )
-            for k in range(0, last, 65536):
-                bits = np.unpackbits(hashes[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                ones += bits.sum(axis=0, dtype=np.int64)
-            total += last
+            yield np.fromiter([digest(joined[s:e], 42) for s, e in zip(starts[:last].tolist(), ends[width - 1 :].tolist())], np.uint64, last)
+            some = True
             carried = words[-(width - 1) :] if width > 1 else []
         else:
             carried = words
-    if not total:
-        if not carried:
-            return 0
-        return int(np.uint64(digest(b" ".join(carried), 42)).astype(np.int64))
-    return int(np.packbits(2 * ones > total, bitorder="little").view(np.int64)[0])
+    if carried and not some:
+        yield np.array([digest(b" ".join(carried), 42)], np.uint64)
+
+
+def _lane(h: np.ndarray, n: int) -> np.ndarray:
+    """The hashes of lane ``n``: those themselves, then mixtures of them that are as good as independent."""
+    if n:
+        h = h + np.uint64(n * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h = h ^ (h >> np.uint64(31))
+    return h
+
+
+def _majority(text: bytes | None, width: int, lanes: int) -> np.ndarray:
+    """Lanes of 64 bits, each bit set if it is in over half of the shingles' hashes."""
+    ones, total = np.zeros(BITS * lanes, np.int64), 0
+    for hashes in _hashes(text, width):
+        total += len(hashes)
+        for k in range(0, len(hashes), 8192):
+            some = np.stack([_lane(hashes[k : k + 8192], n) for n in range(lanes)], axis=1)
+            ones += np.unpackbits(some.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > total, bitorder="little")
+
+
+def fingerprint(text: bytes | None, width: int = 4) -> int:
+    """The signed 64-bit fingerprint of a text in UTF-8."""
+    return int(_majority(text, width, 1).view(np.int64)[0])
 
 
 def fingerprints(documents: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,6 +264,15 @@ def near_duplicates(
     )
 
 
+def _keep(documents: DataFrame, stay: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``documents`` whose id and text hash are in ``stay``, repeated rows once."""
+    own = {"__null": F.col(id_col).isNull(), "__id": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "__hash": F.xxhash64(text_col)}
+    keys = list(own)
+    at = stay.select(F.col("doc_id").isNull().alias("__null"), F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("text_hash").alias("__hash"))
+    # one exchange serves the join and the removal of repeated rows
+    return documents.withColumns(own).join(at, keys, "left_semi").dropDuplicates(keys).select(*documents.columns)
+
+
 def keep_one_of_each(documents: DataFrame, **options) -> DataFrame:
     """The rows of ``documents`` less all but one of each component: that of the smallest id.
 
@@ -254,11 +281,144 @@ def keep_one_of_each(documents: DataFrame, **options) -> DataFrame:
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     found = near_duplicates(documents, **options)
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("x"))
-    stay = materialize(first.select(F.col("x.doc_id").alias("__id"), F.col("x.text_hash").alias("__hash")), "stay")
-    columns = documents.columns
-    keyed = documents.withColumns({"__own_id": F.col(id_col).cast("long"), "__own_hash": F.xxhash64(text_col)})
-    kept = keyed.join(stay, keyed["__own_id"].eqNullSafe(stay["__id"]) & (keyed["__own_hash"] == stay["__hash"]), "left_semi")
-    return kept.dropDuplicates(["__own_id", "__own_hash"]).select(*columns)
+    return _keep(documents, materialize(first.select("x.doc_id", "x.text_hash"), "stay"), id_col, text_col)
+
+
+# Similarity of shingle sets. A share of differing bits tells it, but within 64 bits a similarity of 0.8 is ten bits with a
+# deviation of three, and ten bits in 64 leave no segment that is mostly equal. So the ring is made longer instead.
+
+#: 64-bit lanes of a wide fingerprint, and the bits of a segment: 48 segments in all.
+LANES, SEGMENT = 12, 16
+#: Bits that a chain may be over its proportional budget, as chains start at segments that are equal and at no others.
+SLACK = 4
+#: How far below the similarity asked for an estimate still counts: somewhat less than its deviation of 0.03, so that most
+#: pairs right at the bound are met.
+MARGIN = 0.02
+
+
+def distance_of(similarity: float, bits: int) -> int:
+    """The bits in which two texts of this share of common shingles differ on average, if they are about as long."""
+    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def _chains_hold(a: np.ndarray, b: np.ndarray, start: np.ndarray, distance: int) -> np.ndarray:
+    """Where the rings ``a`` and ``b`` keep every budget of the chain from segment ``start``; prefix by prefix, on what is left."""
+    m = a.shape[1]
+    left, total = np.arange(len(a)), np.zeros(len(a), np.int64)
+    for step in range(m):
+        at = (start[left] + step) % m
+        total = total + np.bitwise_count(a[left, at] ^ b[left, at])
+        holds = total <= min((step + 1) * distance / m + SLACK, distance)
+        left, total = left[holds], total[holds]
+        if not len(left):
+            break
+    return left
+
+
+def _similar_in_cells(distance: int):
+    """Links within runs of equal ``start`` and ``value``, ``a`` and ``b``: all of small runs, spanning forests of larger ones."""
+
+    def linked(ring: np.ndarray, node: np.ndarray, start: int):
+        left = np.arange(len(node))
+        while len(left) > 1:
+            queue, left = [left[0]], left[1:]
+            while queue and len(left):
+                u = queue.pop()
+                holds = np.zeros(len(left), bool)
+                holds[_chains_hold(np.broadcast_to(ring[u], (len(left), ring.shape[1])), ring[left], np.full(len(left), start), distance)] = True
+                near = left[holds]
+                yield np.full(len(near), node[u]), node[near]
+                queue += near.tolist()
+                left = left[~holds]
+
+    def emit(cols, ring):
+        place, node, start = cols[:4], cols[4], cols[0]
+        new = np.flatnonzero(np.any(place[:, 1:] != place[:, :-1], axis=0)) + 1
+        bounds = np.concatenate(([0], new, [len(node)]))
+        sizes = np.diff(bounds)
+        run_of, small = np.repeat(np.arange(len(sizes)), sizes), np.repeat((sizes > 1) & (sizes <= _SMALL), sizes)
+        out = []
+        for d in range(1, min(_SMALL, len(node))):
+            at = np.flatnonzero(small[:-d] & (run_of[:-d] == run_of[d:]))
+            for k in range(0, len(at), 1 << 16):
+                some = at[k : k + (1 << 16)]
+                some = some[_chains_hold(ring[some], ring[some + d], start[some], distance)]
+                out.append((node[some], node[some + d]))
+        for r in np.flatnonzero(sizes > _SMALL):
+            here = slice(bounds[r], bounds[r + 1])
+            out += linked(ring[here], node[here], int(start[bounds[r]]))
+        x, y = (np.concatenate([np.zeros(0, np.int64), *side]) for side in (zip(*out) if out else ((), ())))
+        if len(x):
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], ["u", "v"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            cols = np.stack([np.asarray(batch.column(k)).astype(np.int64) for k in range(5)])
+            ring = np.frombuffer(batch.column(5).cast(pa.binary(8 * LANES)).buffers()[1], np.uint16)[: batch.num_rows * 4 * LANES].reshape(batch.num_rows, -1)
+            if held is not None:
+                cols, ring = np.concatenate([held[0], cols], axis=1), np.concatenate([held[1], ring])
+            new = np.flatnonzero(np.any(cols[:4, 1:] != cols[:4, :-1], axis=0)) + 1
+            cut = new[-1] if len(new) else 0
+            if cut:
+                yield from emit(cols[:, :cut], ring[:cut])
+            held = cols[:, cut:], ring[cut:]
+        if held is not None and held[0].shape[1]:
+            yield from emit(*held)
+
+    return run
+
+
+def similar_links(nodes: DataFrame, similarity: float = 0.8, chunk: int = CHUNK) -> DataFrame:
+    """Links ``(u, v)`` between nodes ``(node, fp)`` whose wide fingerprints tell at least this similarity.
+
+    Two such fingerprints nearly always have an equal segment, which is the key of the search; from there the chain of the
+    next segments must keep its budgets, and the whole ring is the Hamming check.
+    """
+    distance = distance_of(similarity - MARGIN, BITS * LANES)
+
+    def segments_of(batches):
+        for b in batches:
+            ring = np.frombuffer(b.column(1).cast(pa.binary(8 * LANES)).buffers()[1], np.uint16)[: b.num_rows * 4 * LANES]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(ring) + 1, 4 * LANES, dtype=np.int32)), pa.array(ring.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["node", "fp", "ring"])
+
+    tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rings = materialize(nodes.select("node", "fp").repartition(tasks, F.xxhash64("node")).mapInArrow(segments_of, "node long, fp binary, ring array<int>"), "rings")
+    keys = rings.select("node", "fp", F.posexplode("ring").alias("start", "value"))
+    crowded = keys.groupBy("start", "value").count().where(F.col("count") > chunk)
+    crowded = materialize(crowded.select("start", "value", F.ceil(F.col("count") / chunk).cast("int").alias("chunks")), "crowded")
+    chunks = F.coalesce("chunks", F.lit(1))
+    own = F.pmod(F.xxhash64("node"), chunks).cast("int")
+    cells = (
+        keys.join(crowded, ["start", "value"], "left")
+        .select("start", "value", "node", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+        .select("start", "value", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "fp")
+    )
+    order = ["start", "value", "a", "b"]
+    return cells.repartition(*order).sortWithinPartitions(*order).mapInArrow(_similar_in_cells(distance), "u long, v long").distinct()
+
+
+def keep_one_of_similar(documents: DataFrame, width: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``documents`` less all but one of each group of texts that links of this similarity of shingles join.
+
+    The similarity is the one that wide fingerprints tell, with a deviation of some 0.03 and less ``MARGIN``. Which row stays, and what is
+    defined for nulls, repeated rows and empty tables, is as in ``keep_one_of_each``; texts without words are one group.
+    """
+
+    def run(batches):
+        for b in batches:
+            fps = [_majority(t, width, LANES).tobytes() for t in b.column(2).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.binary())], ["doc_id", "text_hash", "fp"])
+
+    rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    rows = rows.mapInArrow(run, "doc_id long, text_hash long, fp binary")
+    place = F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")).alias("x")
+    nodes = materialize(rows.groupBy("fp").agg(place).select(F.monotonically_increasing_id().alias("node"), "fp", "x"), "nodes")
+    roots = components(similar_links(nodes, similarity))
+    placed = nodes.join(roots, nodes.node == roots.u, "left").select("x", F.coalesce("v", "node").alias("component"))
+    first = placed.groupBy("component").agg(F.min("x").alias("x"))
+    return _keep(documents, materialize(first.select("x.doc_id", "x.text_hash"), "stay"), id_col, text_col)
 
 
 def as_hex(fp: Column) -> Column:
