@@ -19,28 +19,40 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go, and so do the failing lines of those that stay."""
-    return _with_text(quality.quality_rules(docs.select(*COLUMNS)).where("kept"), F.col("clean_text"))
+    """Rejected documents go, and so do the failing lines of those that stay.
+
+    A text that is null or empty is rejected. Repeated rows get the same verdict.
+    """
+    judged = quality.quality_rules(docs.select(*COLUMNS))
+    # the filter stays above the verdicts by what isn't deterministic; below them it would evaluate all rules a second time
+    once = judged.withColumn("part", F.spark_partition_id())
+    return _with_text(once.where(F.col("kept") & (F.col("part") >= 0)), F.col("clean_text"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of later repeated runs go; documents of which no word is left go too."""
+    """Lines of later repeated runs go; documents of which no word is left go too.
+
+    A null or empty text loses no line and stays. Repeated rows are one document and stay alike.
+    """
     cleaned = linededup.line_dedup(docs.select(*COLUMNS))
     return _with_text(cleaned.where((F.col("n_removed") == 0) | F.col("clean_text").rlike(common.WORD_PATTERN)), F.col("clean_text"))
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return simhash.keep_one_of_each(docs.select(*COLUMNS), width=4, max_distance=4)
+    """One document of each group of near duplicates stays: shingles of five words, a similarity of 0.8 or more.
+
+    Repeated rows stay once, and so do texts without words. Ties go to the smallest id, null last, then to the hash of the text.
+    """
+    return simhash.keep_one_of_similar(docs.select(*COLUMNS), width=5, similarity=0.8)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stands as often as the mix takes it."""
+    """Each document stands as often as the mix takes it. Texts without words are taken no times; a null source is a source."""
     return mixing.repeat_documents(docs.select(*COLUMNS))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``(doc_id, ids)`` of each row's text."""
+    """``(doc_id, ids)`` of each row's text; null and empty texts have no ids, repeated rows a row each."""
     import public_tokenizers
 
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
