@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import runtime
 from ..functions import colours
 from ..image import Image
-from ..operators import aggregates, components, filters, graphs, joins, neighbourhoods, resampling, sets, simulate, stencils, windows
+from ..operators import aggregates, components, filters, graphs, joins, neighbourhoods, resampling, sets, stencils, windows
 from ..sources import nifti
 from ..space import Space
 from . import tables as T
@@ -40,7 +40,7 @@ def _out(image: Image, digits: int | None = None) -> DataFrame:
     return image.data.select(F.col("vox").cast("long").alias("vox"), *[F.col(k).cast("int").alias(k) for k in image.keys[1:]], value.alias("v"))
 
 
-def _mask(spark, sf_dir, above: int = 700) -> Image:
+def _mask(spark, sf_dir) -> Image:
     """The voxels of an upper part of the value range, so that a mask is neither empty nor full at any scale."""
     image = T.vol_qty(spark, sf_dir)
     mean = image.data.agg(F.avg("value").alias("m"))
@@ -578,13 +578,24 @@ def corr_edges(spark, sf_dir):
     return graphs.correlations(image, pairs).select("a", "b", "n", F.round("r", 5).alias("r"))
 
 
-@query(None)
+_GRAPH = """WITH c AS (SELECT DISTINCT vox, i, j, k FROM vec_ev),
+  p AS (SELECT a.vox AS a, b.vox AS b, any_value((a.i - b.i) ** 2 + (a.j - b.j) ** 2 + (a.k - b.k) ** 2) AS d2, CAST(count(*) AS DOUBLE) AS n, CAST(sum(x.v * y.v) AS DOUBLE) AS xy,
+    CAST(sum(x.v) AS DOUBLE) AS x, CAST(sum(y.v) AS DOUBLE) AS y, CAST(sum(x.v * x.v) AS DOUBLE) AS xx, CAST(sum(y.v * y.v) AS DOUBLE) AS yy
+    FROM c a JOIN c b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND abs(a.k - b.k) <= 1 AND a.vox <> b.vox
+    JOIN vec_ev x ON x.vox = a.vox JOIN vec_ev y ON y.vox = b.vox AND y.t = x.t GROUP BY 1, 2),
+  q AS (SELECT a, b, d2, least(0.999999, (n * xy - x * y) / sqrt((n * xx - x * x) * (n * yy - y * y))) AS r FROM p WHERE n >= 3 AND (n * xx - x * x) * (n * yy - y * y) > 0),
+  f AS (SELECT a, b, r * r * exp(-d2 / 8.0) AS w FROM q WHERE r > 0),
+  e AS (SELECT a, b, w FROM f QUALIFY row_number() OVER (PARTITION BY a ORDER BY w DESC, b) <= 4 UNION ALL SELECT vox, vox, 1e-12 FROM c),
+  g AS (SELECT a AS vox, b AS near, w / sum(w) OVER (PARTITION BY a) AS w FROM e)"""
+
+
+@query(f"{_GRAPH} SELECT vox, near, round(w, 6) AS w FROM g")
 def corr_edges_topk(spark, sf_dir):
     graph = graphs.correlation_graph([T.vec_ev(spark, sf_dir)], topk=4)
     return graph.select("vox", "near", F.round("w", 6).alias("w"))
 
 
-@query(None)
+@query(f"{_GRAPH}, m AS (SELECT g.vox, y.t, sum(g.w * y.v) AS v FROM g JOIN vec_ev y ON y.vox = g.near GROUP BY 1, 2) SELECT x.vox, x.t, round(m.v, 5) AS v FROM vec_ev x JOIN m ON m.vox = x.vox AND m.t = x.t")
 def graph_smooth(spark, sf_dir):
     image = T.vec_ev(spark, sf_dir)
     return _out(graphs.graph_smooth(image, graphs.correlation_graph([image], topk=4)), 5)
@@ -697,7 +708,7 @@ def colour_bins(spark, sf_dir):
 # by draw; rows only
 
 
-@query(None)
+@query("SELECT vox, CAST(v AS DOUBLE) AS v FROM vol_qty")
 def nifti_round_trip(spark, sf_dir):
     """An image written to a file in the shared folder and read back."""
     import os
@@ -734,11 +745,6 @@ def partition_kmeans(spark, sf_dir):
     return aggregates.partition(_mask(spark, sf_dir), 8)
 
 
-@query(None)
-def simulate_fmri(spark, sf_dir):
-    return _out(simulate.simulate_fmri(_mask(spark, sf_dir), 10), 6)
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of a masked series by parcel and time."""
     image = filters.apply_mask(T.vec_li(spark, sf_dir), _mask(spark, sf_dir))

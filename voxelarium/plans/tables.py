@@ -67,9 +67,9 @@ cells AS (SELECT l_partkey % 16 + 1 AS i, l_suppkey % 16 + 1 AS j, l_linenumber
 vol_qty AS (SELECT i + (j - 1) * 16 + (k - 1) * 256 AS vox, i, j, k, CAST(SUM(l_quantity) AS BIGINT) AS v FROM cells GROUP BY i, j, k),
 vol_cnt AS (SELECT i + (j - 1) * 16 + (k - 1) * 256 AS vox, i, j, k, COUNT(*) AS v FROM cells GROUP BY i, j, k),
 vec_li AS (SELECT i + (j - 1) * 16 + (k - 1) * 256 AS vox, i, j, k, CAST(t AS INT) AS t, CAST(SUM(l_quantity) AS BIGINT) AS v FROM cells WHERE t BETWEEN 1 AND 7 GROUP BY i, j, k, t),
-ev AS (SELECT user_id % 8 + 1 AS i, CAST(FLOOR(user_id / 8.0) AS BIGINT) + 1 AS j,
+ev AS (SELECT user_id % 8 + 1 AS i, CAST(FLOOR(user_id / 8.0) AS BIGINT) % 19 + 1 AS j,
   CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 ELSE 5 END AS k,
-  CAST(day(ts) AS INT) AS t, CAST(ROUND(value * 100) AS BIGINT) AS c FROM events WHERE user_id < 152),
+  CAST(day(ts) AS INT) AS t, CAST(ROUND(value * 100) AS BIGINT) AS c FROM events WHERE user_id IS NOT NULL),
 vec_ev AS (SELECT i + (j - 1) * 8 + (k - 1) * 152 AS vox, i, j, k, t, CAST(SUM(c) AS BIGINT) AS v FROM ev GROUP BY i, j, k, t),
 parcel AS (SELECT vox, i, j, k, (i + 2 * j + 3 * k) % 7 + 1 AS cluster FROM vol_qty)
 """.strip()
