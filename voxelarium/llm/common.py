@@ -2,51 +2,24 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import materialize, shared_dir
+
+__all__ = ["WORD_PATTERN", "let", "local_file", "materialize", "new_path", "remove_path", "shared_dir", "words_of"]
+
 #: A word is a run of characters other than these (fixed value of the contracts).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 _WHITE_SPACE = " \t\n\x0b\x0c\r"
 
-_own_dir: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the one that the cluster names in ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a folder of the driver's machine is made and named there.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dir:
-        _own_dir[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-    return _own_dir[app]
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used before."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again, which cuts its lineage.
-
-    Unlike cached blocks or a local checkpoint, the files outlive any executor, and unlike
-    ``checkpoint()`` the plan runs once.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a folder that ``new_path`` gave, once nothing reads it any more."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
