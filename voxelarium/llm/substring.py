@@ -69,7 +69,9 @@ def repeated_spans(documents: DataFrame, min_words: int = MIN_WORDS, run_words:
     found = rows.mapInArrow(_rows(min_words), "doc_id long, text_hash long, start long, end long, nth long, words long, digest binary")
     found = materialize(found, "units")
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash", "start")
-    first = found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = found.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    # written before it is joined, so that adaptive execution can split the rows of a very common unit
+    first = materialize(first, "first")
     again = found.join(first, "digest").where(place > F.col("first")).select(
         "doc_id", "text_hash", "start", "end", "nth", "words", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")
     ).distinct()
