@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import warnings
 
@@ -83,23 +84,20 @@ def centroids(space: Space, parcels: DataFrame) -> DataFrame:
 
 
 def medoids(space: Space, parcels: DataFrame, rounds: int = 20) -> DataFrame:
-    """``(cluster, x, y, z)``: the geometric median of each parcel by Weiszfeld's steps."""
+    """``(cluster, x, y, z)``: the geometric median of each parcel by Weiszfeld's steps.
+
+    A step is a weighted mean per parcel, summed before the shuffle, so no parcel is held by one task.
+    """
     i, j, k = space.to_grid(F.col("vox"))
     x, y, z = space.to_coord(i, j, k)
-    points = parcels.select("cluster", x.alias("x"), y.alias("y"), z.alias("z"))
-
-    def median(key, pdf):
-        import numpy as np
-        import pandas as pd
-
-        p = pdf[["x", "y", "z"]].to_numpy(float)
-        c = p.mean(axis=0)
-        for _ in range(rounds):
-            w = 1 / np.maximum(np.sqrt(((p - c) ** 2).sum(axis=1)), 1e-9)
-            c = (p * w[:, None]).sum(axis=0) / w.sum()
-        return pd.DataFrame({"cluster": [key[0]], "x": [c[0]], "y": [c[1]], "z": [c[2]]})
-
-    return points.groupBy("cluster").applyInPandas(median, "cluster int, x double, y double, z double")
+    points = runtime.materialize(parcels.select("cluster", x.alias("px"), y.alias("py"), z.alias("pz")), "points")
+    centers = runtime.materialize(points.groupBy("cluster").agg(*[F.avg(f"p{c}").alias(c) for c in "xyz"]), "centers")
+    for _ in range(rounds):
+        far = F.sqrt(sum(((F.col(f"p{c}") - F.col(c)) ** 2 for c in "xyz"), F.lit(0.0)))
+        pulled = points.join(centers, "cluster").withColumn("w", 1 / F.greatest(far, F.lit(1e-9)))
+        step = pulled.groupBy("cluster").agg(*[(F.sum(F.col(f"p{c}") * F.col("w")) / F.sum("w")).alias(c) for c in "xyz"])
+        centers = runtime.materialize(step, "centers")
+    return centers
 
 
 def sub_clusters(parcels: DataFrame, ids: list[int]) -> DataFrame:
@@ -202,21 +200,43 @@ def split_clusters(image: Image, parcels: DataFrame) -> DataFrame:
     return image.data.join(parcels.where("cluster > 0"), "vox").select("cluster", *image.keys, "value")
 
 
+def _within(some: DataFrame, points: DataFrame, reach: float) -> DataFrame:
+    """``(cluster, near, distance)`` of the points within ``reach`` of each of ``some``: a join of cubes of that side."""
+    side = reach or 1.0
+    cube = [F.floor(F.col(c) / side).alias(f"b{c}") for c in "xyz"]
+    around = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip("xyz", o)]) for o in itertools.product((-1, 0, 1), repeat=3)]))
+    sent = some.select("cluster", *[F.col(c).alias(f"p{c}") for c in "xyz"], around.alias("o"))
+    sent = sent.select("cluster", "px", "py", "pz", *[(F.floor(F.col(f"p{c}") / side) + F.col(f"o.{c}")).alias(f"b{c}") for c in "xyz"])
+    far = F.sqrt(sum(((F.col(f"p{c}") - F.col(c)) ** 2 for c in "xyz"), F.lit(0.0)))
+    found = sent.join(points.select(F.col("cluster").alias("near"), "x", "y", "z", *cube), ["bx", "by", "bz"])
+    return found.select("cluster", "near", far.alias("distance")).where(F.col("distance") <= reach)
+
+
 def cluster_neighbours(space: Space, parcels: DataFrame, k: int | None = 10, radius: float | None = None) -> DataFrame:
     """``(cluster, near, rank, distance)``: parcels by the distance of centroids, within a radius or the k nearest.
 
-    Centroids are few; each is compared with all others, as a list that every row carries.
+    Centroids meet through cubes of a reach. For the k nearest the reach is doubled, each time only for the parcels that
+    have found fewer than k within it, until all have them or it spans the image.
     """
-    c = centroids(space, parcels)
-    all_of = c.agg(F.collect_list(F.struct("cluster", "x", "y", "z")).alias("o"))
-    pairs = c.crossJoin(F.broadcast(all_of)).select("cluster", "x", "y", "z", F.explode("o").alias("o"))
-    d2 = sum(((F.col(a) - F.col(f"o.{a}")) ** 2 for a in "xyz"), F.lit(0.0))
-    ranked = pairs.select("cluster", F.col("o.cluster").alias("near"), F.sqrt(d2).alias("distance"))
-    if radius is not None:
-        ranked = ranked.where(F.col("distance") <= radius)
+    points = runtime.materialize(centroids(space, parcels).select("cluster", "x", "y", "z"), "centroids")
     rank = F.row_number().over(Window.partitionBy("cluster").orderBy("distance", "near"))
-    out = ranked.withColumn("rank", rank)
-    return out if radius is not None else out.where(F.col("rank") <= k)
+    if radius is not None:
+        return _within(points, points, radius).withColumn("rank", rank)
+    extent = points.agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
+    span = math.dist((0, 0, 0), (extent.x or 0, extent.y or 0, extent.z or 0)) * (1 + 1e-9) or 1.0
+    reach, left, out = span * min(1.0, (k / max(extent.n, 1)) ** (1 / 3)), points, None
+    while True:
+        ranked = _within(left, points, reach).withColumn("rank", rank)
+        ranked = ranked.withColumn("found", F.count("*").over(Window.partitionBy("cluster")))
+        enough = F.lit(True) if reach >= span else F.col("found") >= k
+        ready = runtime.materialize(ranked.where((F.col("rank") <= k) & enough).drop("found"), "near")
+        out = ready if out is None else out.union(ready)
+        if reach >= span:
+            return out
+        left = runtime.materialize(left.join(ready.select("cluster").distinct(), "cluster", "left_anti"), "left")
+        if not left.take(1):
+            return out
+        reach = min(2 * reach, span)
 
 
 def cluster_searchlight_series(image: Image, parcels: DataFrame, k: int | None = 10, radius: float | None = None) -> DataFrame:

@@ -6,11 +6,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..image import Image
-from ..runtime import materialize
+from ..runtime import materialize, numbered
 from .filters import apply_mask, clip_level, gradual_clip, mask_not, peel_restore
 from .neighbourhoods import shifted
 
@@ -107,7 +107,7 @@ def connected_components(mask: Image, connect: str = "26-connect") -> DataFrame:
     """``(vox, component, size)``: components numbered by size, the largest first, ties by their smallest voxel."""
     labels = label_components(mask, connect)
     sizes = labels.groupBy("root").agg(F.count("*").alias("size"))
-    ranked = sizes.withColumn("component", F.row_number().over(Window.orderBy(F.desc("size"), "root")))
+    ranked = numbered(sizes, "component", F.desc("size"), F.col("root"))
     return labels.join(ranked, "root").select("vox", F.col("component").cast("long").alias("component"), F.col("size").cast("long").alias("size"))
 
 

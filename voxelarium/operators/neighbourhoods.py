@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..image import Image
-from ..runtime import materialize
+from ..runtime import materialize, numbered
 from ..space import Space
 
 
@@ -105,15 +105,13 @@ def random_searchlight(mask: Image, radius: float, seed: int = 1) -> DataFrame:
 
 def resampled_searchlight(mask: Image, radius: float, draws: int, seed: int = 1, shape=None) -> DataFrame:
     """``(draw, center, vox)``: centers drawn with replacement; ``shape(radius, spacing)`` gives other offsets than a sphere's."""
-    from pyspark.sql import Window
-
     offsets = (shape or (lambda r, s: sphere_offsets(s, r)))(radius, mask.space.spacing)
     n = mask.data.count()
-    numbered = mask.data.select("vox", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "vox"))).alias("at"))
+    places = numbered(mask.data.select("vox"), "at", F.xxhash64(F.lit(seed), "vox"), F.col("vox"))
     drawn = mask.data.sparkSession.range(1, draws + 1).select(
-        F.col("id").alias("draw"), (F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(max(1, n))) + 1).cast("int").alias("at")
+        F.col("id").alias("draw"), (F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(max(1, n))) + 1).alias("at")
     )
-    centers = drawn.join(numbered, "at").select("draw", "vox")
+    centers = drawn.join(places, "at").select("draw", "vox")
     near = shifted(mask.with_data(centers), offsets)
     found = near.select("draw", F.col("vox").alias("center"), F.col("near").alias("vox"))
     return found.join(mask.data.select("vox"), "vox", "left_semi").select("draw", "center", "vox")
