@@ -69,10 +69,33 @@ def split_fill(image: Image, factor: DataFrame, aggregate=MEAN) -> Image:
     return image.with_data(image.data.drop("value").join(factor, "vox").join(reduced, keys).select(*image.keys, "value"))
 
 
-def parcel_series(image: Image, parcels: DataFrame, aggregate=MEAN) -> DataFrame:
-    """``(cluster, t, value)`` from parcels ``(vox, cluster)``."""
+def parcel_series(image: Image, parcels: DataFrame, aggregate=MEAN, weights: DataFrame | None = None) -> DataFrame:
+    """``(cluster, t, value)`` from parcels ``(vox, cluster)``; with weights ``(vox, w)`` their weighted means.
+
+    A voxel without a weight, or with one of null, counts as 0; a parcel whose weights sum to 0 has null values.
+    """
     keys = ["cluster", *(["t"] if image.is_series else [])]
-    return image.data.join(parcels, "vox").groupBy(*keys).agg(aggregate("value").alias("value"))
+    rows = image.data.join(parcels, "vox")
+    if weights is None:
+        return rows.groupBy(*keys).agg(aggregate("value").alias("value"))
+    total = F.sum("w")
+    mean = F.when(total != 0, F.sum(F.col("w") * F.col("value")) / total)
+    return rows.join(weights.select("vox", "w").where("w is not null"), "vox").groupBy(*keys).agg(mean.alias("value"))
+
+
+def label_map(parcels: DataFrame, names: dict[int, str] | None = None) -> DataFrame:
+    """``(cluster, label)`` of the parcels; one without a name is called ``Clus_`` and its id."""
+    ids = parcels.select("cluster").distinct()
+    named = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[F.col("cluster")] if names else F.lit(None).cast("string")
+    return ids.select("cluster", F.coalesce(named, F.concat(F.lit("Clus_"), F.col("cluster").cast("string"))).alias("label"))
+
+
+def parcels_named(parcels: DataFrame, labels: DataFrame, names: list[str]) -> DataFrame:
+    """The parcels with one of these labels; a name that no parcel has is an error."""
+    found = labels.where(F.col("label").isin(names))
+    if missing := set(names) - {r.label for r in found.select("label").distinct().collect()}:
+        raise ValueError(f"no parcels are named {sorted(missing)}")
+    return parcels.join(found.select("cluster"), "cluster", "left_semi").select("vox", "cluster")
 
 
 def centroids(space: Space, parcels: DataFrame) -> DataFrame:

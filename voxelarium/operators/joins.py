@@ -54,6 +54,15 @@ def series(image: Image, voxels: DataFrame, fill: int = 0) -> DataFrame:
     return found.select("pos", "vox", "t", F.coalesce("value", F.lit(fill)).alias("value"))
 
 
+def series_roi(image: Image, rois: DataFrame) -> DataFrame:
+    """``(roi, vox, t, value)``: the series of the voxels of regions ``(roi, vox)``, absent values 0."""
+    asked = rois.select("roi", "vox").distinct()
+    times = asked.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(int(image.space.dims[3])))))
+    # only voxels of a region go to the join of times
+    there = image.data.join(asked.select("vox").distinct(), "vox", "left_semi")
+    return times.join(there, ["vox", "t"], "left").select("roi", "vox", "t", F.coalesce("value", F.lit(0)).alias("value"))
+
+
 def prune_coords(points: DataFrame, min_distance: float) -> DataFrame:
     """Points ``(id, x, y, z, value)`` without a larger value strictly nearer than the distance.
 

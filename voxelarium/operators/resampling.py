@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+import warnings
+
 import numpy as np
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import affine as A
@@ -10,6 +14,23 @@ from ..image import Image
 from ..space import Space
 
 
+#: Grids that share less than this of the smaller one's extent are likely not meant for each other.
+DISJOINT = 0.05
+
+
+def overlap(a: Space, b: Space) -> float:
+    """The share of the smaller grid's box of world coordinates, voxels' edges included, that the two boxes have in common."""
+
+    def box(s: Space) -> np.ndarray:
+        ends = np.array(list(itertools.product(*[(-0.5, d - 0.5) for d in s.space_dims])))
+        corners = A.apply_affine(s.trans, ends)
+        return np.stack([corners.min(axis=0), corners.max(axis=0)])
+
+    p, q = box(a), box(b)
+    common = np.prod(np.clip(np.minimum(p[1], q[1]) - np.maximum(p[0], q[0]), 0, None))
+    return float(common / min(np.prod(p[1] - p[0]), np.prod(q[1] - q[0])))
+
+
 def resample(image: Image, target: Space, method: str = "linear") -> Image:
     """Values at the voxels of another grid.
 
@@ -18,11 +39,10 @@ def resample(image: Image, target: Space, method: str = "linear") -> Image:
     joined with the source's on the tap's voxel, so the work is a join whatever the two affines.
     """
     source, spark = image.space, image.data.sparkSession
-    to = source.inverse @ target.trans
+    if (share := overlap(source, target)) < DISJOINT:
+        warnings.warn(f"the grids share {share:.0%} of the smaller one's extent", stacklevel=2)
     grid = spark.range(1, target.n_vox + 1).withColumnRenamed("id", "vox")
-    i, j, k = target.to_grid(F.col("vox"))
-    g = (i - 1, j - 1, k - 1)
-    place = [sum((F.lit(float(to[r, c])) * g[c] for c in range(3)), F.lit(float(to[r, 3]))) + 1 for r in range(3)]
+    place = to_grid_of(target, source, *target.to_grid(F.col("vox")))
     at = grid.select("vox", *[F.round(p, 9).alias(n) for p, n in zip(place, "xyz")])
     if method == "nearest":
         near = [F.rint(n).cast("long") for n in "xyz"]
@@ -90,6 +110,12 @@ def deoblique(image: Image, method: str = "linear") -> Image:
     return resample(image, A.output_aligned_space(image.space), method)
 
 
+def to_grid_of(source: Space, target: Space, i: Column, j: Column, k: Column) -> tuple[Column, Column, Column]:
+    """Voxels of one grid as voxels (from 1, not rounded) of another, as Columns."""
+    to, g = target.inverse @ source.trans, (i - 1, j - 1, k - 1)
+    return tuple(sum((F.lit(float(to[r, c])) * g[c] for c in range(3)), F.lit(float(to[r, 3]))) + 1 for r in range(3))
+
+
 def grid_to_grid(source: Space, target: Space, voxels: np.ndarray) -> np.ndarray:
     """Voxels of one grid as voxels (from 1, not rounded) of another."""
     return A.apply_affine(target.inverse @ source.trans, np.asarray(voxels, float) - 1) + 1

@@ -185,6 +185,25 @@ def pack(h: Header) -> bytes:
     return out.ljust(h.vox_offset, b"\0")
 
 
+def code_of(kind: int | str) -> int:
+    """The code of a kind of extension, given by code or name."""
+    if not isinstance(kind, str):
+        return int(kind)
+    for code, name in ECODES.items():
+        if name.lower() == kind.lower():
+            return code
+    raise ValueError(f"no kind of extension is named {kind}")
+
+
+def extensions_of(h: Header, kind: int | str | None = None) -> list[bytes]:
+    """The contents of a header's extensions, of all or of one kind."""
+    return [content for code, content in h.extensions if kind is None or code == code_of(kind)]
+
+
+def has_extension(h: Header, kind: int | str | None = None) -> bool:
+    return bool(extensions_of(h, kind))
+
+
 def comment(text: str) -> tuple[int, bytes]:
     return 6, text.encode()
 

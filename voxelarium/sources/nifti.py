@@ -25,13 +25,18 @@ SCHEMA = "path string, t int, vox long, value double"
 _HEAD = 1 << 20
 
 
-def open_file(path: str):
-    """A binary file by path or URI."""
+def place_of(path: str):
+    """``(filesystem, path in it)`` of a path or URI, of any store that Arrow reaches."""
     from pyarrow import fs
 
     if "://" not in path and not path.startswith("file:"):
-        return open(path, "rb")
-    files, local = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+        return fs.LocalFileSystem(), path
+    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+
+
+def open_file(path: str):
+    """A binary file by path or URI."""
+    files, local = place_of(path)
     return files.open_input_file(local)
 
 
@@ -51,46 +56,52 @@ def decode(raw: bytes, h: headers.Header) -> np.ndarray:
     return values if (slope, inter) == (1.0, 0.0) else values * slope + inter
 
 
-def _batches(path: str, h: headers.Header, first: int, last: int, read):
-    """Record batches of the volumes first..last (from 0); ``read`` gives the next bytes."""
-    n = math.prod(h.dims[:3])
-    vox = np.arange(1, n + 1, dtype=np.int64)
-    for t in range(first, last + 1):
-        raw = read(n * h.item_size)
-        if len(raw) < n * h.item_size:
-            raise ValueError(f"{path} ends early")
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([path] * n), pa.array(np.full(n, t + 1, np.int32)), pa.array(vox), pa.array(decode(raw, h))], ["path", "t", "vox", "value"]
-        )
+def _batch(path: str, h: headers.Header, t: int, first: int, raw: bytes, n: int) -> pa.RecordBatch:
+    """The rows of ``n`` voxels from ``first`` (from 0) of volume ``t`` (from 0)."""
+    if len(raw) < n * h.item_size:
+        raise ValueError(f"{path} ends early")
+    vox = np.arange(first + 1, first + n + 1, dtype=np.int64)
+    return pa.RecordBatch.from_arrays([pa.repeat(path, n), pa.array(np.full(n, t + 1, np.int32)), pa.array(vox), pa.array(decode(raw, h))], ["path", "t", "vox", "value"])
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str, first: int, last: int):
-        self.path, self.first, self.last = path, first, last
+    def __init__(self, path: str, times: list[int]):
+        self.path, self.times = path, times
 
 
 class NiftiReader(DataSourceReader):
-    def __init__(self, paths: list[str], volumes: int):
-        self.paths, self.volumes = paths, volumes
+    """``times`` (from 1, rising) and ``voxels`` (first and last, from 1) say which bytes of a file are read at all."""
+
+    def __init__(self, paths: list[str], volumes: int, times: list[int] | None = None, voxels: tuple[int, int] | None = None):
+        self.paths, self.volumes, self.times, self.voxels = paths, volumes, times, voxels
 
     def partitions(self):
         out = []
         for path in self.paths:
-            times = math.prod(read_header(path).dims[3:])
-            step = times if path.endswith(".gz") else self.volumes
-            out += [_Part(path, t, min(times, t + step) - 1) for t in range(0, times, step)]
-        return out
+            there = math.prod(read_header(path).dims[3:])
+            asked = range(there) if self.times is None else [t - 1 for t in self.times if 1 <= t <= there]
+            step = max(1, len(asked)) if path.endswith(".gz") else self.volumes
+            out += [_Part(path, list(asked[k : k + step])) for k in range(0, len(asked), step)]
+        return out or [_Part("", [])]
 
     def read(self, part):
+        if not part.times:
+            return
         with open_file(part.path) as file:
             h = read_header(part.path)
             stream = gzip.GzipFile(fileobj=file) if part.path.endswith(".gz") else file
-            stream.seek(int(h.vox_offset) + part.first * math.prod(h.dims[:3]) * h.item_size)
-            yield from _batches(part.path, h, part.first, part.last, stream.read)
+            whole = math.prod(h.dims[:3])
+            first, last = self.voxels or (1, whole)
+            first, n = max(first, 1) - 1, min(last, whole) - max(first, 1) + 1
+            for t in part.times:
+                if n > 0:
+                    stream.seek(int(h.vox_offset) + (t * whole + first) * h.item_size)
+                    yield _batch(part.path, h, t, first, stream.read(n * h.item_size), n)
 
 
 class NiftiDataSource(DataSource):
-    """``path``: one or more files, separated by commas. ``volumes``: volumes in a task."""
+    """``path``: one or more files, separated by commas. ``volumes``: volumes in a task. ``times``: volumes to read, separated by
+    commas. ``voxels``: the first and the last voxel to read, with a comma between."""
 
     @classmethod
     def name(cls):
@@ -100,14 +111,27 @@ class NiftiDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return NiftiReader(self.options["path"].split(","), int(self.options.get("volumes", "8")))
+        whole = lambda name: [int(x) for x in self.options[name].split(",")] if self.options.get(name) else None
+        times, voxels = whole("times"), whole("voxels")
+        return NiftiReader(self.options["path"].split(","), int(self.options.get("volumes", "8")), sorted(set(times)) if times else None, tuple(voxels) if voxels else None)
 
 
-def read_image(spark: SparkSession, path: str, times: list[int] | None = None, mask: Image | None = None, volumes: int = 8) -> Image:
-    """The image in a file: a volume, or a series if it has times. ``times`` and ``mask`` select volumes and voxels."""
+def _rows(spark: SparkSession, path: str, volumes: int, times=None, mask: Image | None = None) -> DataFrame:
+    """``(path, t, vox, value)`` of a file; only the volumes asked for, and within them the span of the mask, are read."""
     spark.dataSource.register(NiftiDataSource)
+    reader = spark.read.format("nifti").option("volumes", volumes)
+    if times is not None:
+        reader = reader.option("times", ",".join(map(str, times)))
+    if mask is not None:
+        low, high = mask.data.agg(F.min("vox"), F.max("vox")).first()
+        reader = reader.option("voxels", f"{low or 1},{high or 0}")
+    return reader.load(path)
+
+
+def read_image(spark: SparkSession, path: str, times: list[int] | None = None, mask: Image | None = None, volumes: int = 8) -> Image:
+    """The image in a file: a volume, or a series if it has times. ``times`` and ``mask`` select volumes and voxels, before they are read."""
     h = read_header(path)
-    rows = spark.read.format("nifti").option("volumes", volumes).load(path).select("vox", "t", "value")
+    rows = _rows(spark, path, volumes, times, mask).select("vox", "t", "value")
     labels = headers.volume_labels(h, math.prod(h.dims[3:]))
     if len(h.shape) == 3:
         image = Image(h.space, rows.select("vox", "value"), labels)
@@ -129,14 +153,21 @@ def read_hyper(spark: SparkSession, path: str, mask: Image | None = None, volume
     h = read_header(path)
     if len(h.dims) != 5:
         raise ValueError(f"{path} has {len(h.dims)} dimensions, not 5")
-    spark.dataSource.register(NiftiDataSource)
-    rows = spark.read.format("nifti").option("volumes", volumes).load(path)
+    rows = _rows(spark, path, volumes, mask=mask)
     if mask is not None:
         rows = rows.join(mask.data.select("vox").distinct(), "vox", "left_semi")
     at = F.col("t") - 1
     return rows.select((F.floor(at / h.dims[3]) + 1).cast("int").alias("feature"), (at % h.dims[3] + 1).alias("trial"), "vox", "value")
 
 
+def read_volume(spark: SparkSession, path: str, index: int = 1) -> Image:
+    """One volume of a file, the only one read."""
+    h = read_header(path)
+    if not 1 <= index <= math.prod(h.dims[3:]):
+        raise ValueError(f"{path} has no volume {index}")
+    return Image(Space(h.space.space_dims, trans=h.trans), _rows(spark, path, 1, [index]).select("vox", "value"))
+
+
 def read_volumes(spark: SparkSession, paths: list[str]) -> Image:
     """Files of one grid each, one after the other in time."""
     from ..operators.sets import concat
@@ -154,13 +185,10 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
                 raw = content.as_py()
                 raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
                 h = headers.parse(raw)
-                at = [int(h.vox_offset)]
-
-                def read(n: int) -> bytes:
-                    at[0] += n
-                    return raw[at[0] - n : at[0]]
-
-                yield from _batches(name, h, 0, math.prod(h.dims[3:]) - 1, read)
+                n = math.prod(h.dims[:3])
+                for t in range(math.prod(h.dims[3:])):
+                    at = int(h.vox_offset) + t * n * h.item_size
+                    yield _batch(name, h, t, 0, raw[at : at + n * h.item_size], n)
 
     return files.mapInArrow(run, SCHEMA)
 
@@ -190,10 +218,10 @@ def write_image(image: Image, path: str, dtype: str | None = None, tr: float = 1
     rows = image.data.select((t.cast("long") * n + F.col("vox") - 1).alias("at"), F.col("value").cast("double").alias("value"))
 
     def run(batches):
-        import os
         import uuid
 
-        own = f"{path}.{uuid.uuid4().hex}"
+        files, final = place_of(path)
+        own = f"{final}.{uuid.uuid4().hex}"
         kind = np.dtype(dtype).newbyteorder("<")
 
         def encode(values: np.ndarray) -> bytes:
@@ -209,7 +237,7 @@ def write_image(image: Image, path: str, dtype: str | None = None, tr: float = 1
                 count -= 1 << 16
 
         place = 0
-        with gzip.open(own, "wb", 1) if path.endswith(".gz") else open(own, "wb") as file:
+        with files.open_output_stream(own, compression=None) as out, gzip.GzipFile("", "wb", 1, out) if path.endswith(".gz") else out as file:
             file.write(headers.pack(h))
             for b in batches:
                 at, values = np.asarray(b.column(0)), np.asarray(b.column(1))
@@ -221,7 +249,7 @@ def write_image(image: Image, path: str, dtype: str | None = None, tr: float = 1
                         place = int(at[cut - 1]) + 1
                     start = cut
             fill(total - place)
-        os.replace(own, path)  # the whole file appears at once, also if the task runs twice
+        files.move(own, final)  # the whole file appears at once, also if the task runs twice
         yield pa.RecordBatch.from_pydict({"written": [place]})
 
     rows.repartitionByRange(1, "at").sortWithinPartitions("at").mapInArrow(run, "written long").collect()
