@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..image import Image
+from ..runtime import materialize
 from .neighbourhoods import cube_offsets, shifted
+from .windows import prepare_confounds, robust_weights
 
 
 def correlations(image: Image, pairs: DataFrame) -> DataFrame:
@@ -31,30 +35,104 @@ def affinity(r: Column, kind: str, parameter: float) -> Column:
     return F.greatest(r - parameter, F.lit(0.0))
 
 
+def projected_correlations(image: Image, pairs: DataFrame, basis: np.ndarray, root_w: np.ndarray) -> DataFrame:
+    """``pairs (a, b, ...)`` with ``r``: correlations of weighted series less their projection on the basis (times x columns).
+
+    Absent values are 0. Each voxel's series is one row, scaled to a length of 1, so a pair's r is the product of two arrays.
+    """
+    n = len(root_w)
+
+    def residuals(batches):
+        for pdf in batches:
+            x = np.zeros((len(pdf), n))
+            for row, (times, values) in enumerate(zip(pdf["times"], pdf["values"])):
+                x[row, np.asarray(times, np.int64) - 1] = np.asarray(values, float)
+            x *= root_w
+            loads = x @ basis
+            rest = np.maximum(1e-12, (x * x).sum(axis=1) - (loads * loads).sum(axis=1))
+            yield pd.DataFrame({"vox": pdf["vox"], "x": list((x - loads @ basis.T) / np.sqrt(rest)[:, None])})
+
+    rows = image.data.select("vox", "t", F.col("value").cast("double").alias("value"))
+    left = image.with_data(rows).series_arrays().mapInPandas(residuals, "vox long, x array<double>")
+    left = materialize(left, "residuals")
+    joined = pairs.join(left.select(F.col("vox").alias("a"), "x"), "a").join(left.select(F.col("vox").alias("b"), F.col("x").alias("y")), "b")
+    dot = F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda total, p: total + p)
+    return joined.select(*pairs.columns, F.greatest(F.lit(-0.999999), F.least(F.lit(0.999999), dot)).alias("r"))
+
+
+def _of_run(given, k: int, runs: int):
+    """The entry of run ``k`` of a list with one for each run, or with one for all."""
+    if given is None:
+        return None
+    if len(given) not in (1, runs):
+        raise ValueError(f"{len(given)} entries for {runs} runs")
+    return given[k if len(given) > 1 else 0]
+
+
+def run_weights_of(image: Image, weights, robust: str, robust_c: float | None) -> np.ndarray | None:
+    """A run's weight for each time: those given, cut to 0 to 1, times the robust ones; None where there are neither."""
+    n = int(image.space.dims[3])
+    if weights is not None:
+        weights = np.asarray(weights, float)
+        if len(weights) != n:
+            raise ValueError(f"{len(weights)} weights for {n} times")
+        weights = np.clip(np.where(np.isfinite(weights), weights, 0.0), 0.0, 1.0)
+    if robust != "none":
+        extra = np.ones(n)
+        for r in robust_weights(image, robust, robust_c).collect():  # a row a time
+            extra[r.t - 1] = r.weight
+        weights = extra if weights is None else weights * extra
+    return weights
+
+
 def correlation_graph(
     runs: list[Image], mask: Image | None = None, window: int = 1, spatial_sigma: float = 2.0, corr_map: str = "power", corr_param: float = 2.0,
-    topk: int = 16, add_self: bool = True,
+    topk: int = 16, add_self: bool = True, run_weights: list[float] | None = None, time_weights: list | None = None, confounds: list | None = None,
+    robust: str = "none", robust_c: float | None = None, leave_out: int | None = None,
 ) -> DataFrame:
-    """``(vox, near, w)``: edges to the ``topk`` neighbours of the largest weight, rows summing to 1.
+    """``(vox, near, w)``: edges to the ``topk`` neighbours of the largest weight (0: to all), rows summing to 1.
 
-    The runs' correlations are pooled as Fisher's z, each weighed by its length less 3, at least 1.
+    The runs' correlations are pooled as Fisher's z, each weighed by ``run_weights``, or by its length less 3, at least 1.
+    ``time_weights`` (one per time and run, 0 to 1), ``confounds`` (times x columns per run) and ``robust`` weights from DVARS
+    (``huber``, ``tukey``) make them partial correlations of weighted series, an intercept always taken out; their run weight then
+    counts all times. ``leave_out`` names a run, from 0, whose own correlations take no part.
     """
+    if robust not in ("none", "huber", "tukey"):
+        raise ValueError(f"robust is none, huber or tukey, not {robust}")
     first = runs[0]
+    for run in runs:
+        first.space.require_same_grid(run.space)
     voxels = (mask or first).data.select("vox").distinct()
     offsets = [o for o in cube_offsets(window) if any(o)]
     d2 = [sum((x * s) ** 2 for x, s in zip(o, first.space.spacing)) for o in offsets]
     pairs = shifted(first.with_data(voxels), offsets, d2).select(F.col("vox").alias("a"), F.col("near").alias("b"), F.col("w").alias("d2"))
     pairs = pairs.join(voxels.select(F.col("vox").alias("b")), "b", "left_semi").select("a", "b", "d2")
     pooled = None
-    for run in runs:
-        found = correlations(run, pairs)
-        weight = F.greatest(F.lit(1.0), F.col("n") - 3.0)
+    for k, run in enumerate(runs):
+        if k == leave_out:
+            continue
+        given = _of_run(run_weights, k, len(runs))
+        nuisance = _of_run(confounds, k, len(runs))
+        weights = run_weights_of(run, _of_run(time_weights, k, len(runs)), robust, robust_c)
+        if weights is not None or (nuisance is not None and np.asarray(nuisance).size):
+            n = int(run.space.dims[3])
+            weights = np.ones(n) if weights is None else weights
+            [basis] = prepare_confounds(np.zeros((n, 0)) if nuisance is None else nuisance, [n], weights)
+            found, weight = projected_correlations(run, pairs, basis, np.sqrt(weights)), F.lit(max(1.0, n - 3.0))
+        else:
+            found = correlations(run, pairs)
+            weight = F.greatest(F.lit(1.0), F.col("n") - 3.0)
+        weight = weight if given is None else F.lit(float(given))
         part = found.select("a", "b", "d2", (weight * F.atanh("r")).alias("z"), weight.alias("w"))
         pooled = part if pooled is None else pooled.union(part)
+    if pooled is None:
+        raise ValueError("no run is left")
     pooled = pooled.groupBy("a", "b", "d2").agg(F.tanh(F.sum("z") / F.sum("w")).alias("r"))
     weighed = pooled.select("a", "b", (affinity(F.col("r"), corr_map, corr_param) * F.exp(-F.col("d2") / (2 * spatial_sigma**2))).alias("w")).where("w > 0")
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("w"), "b"))
-    best = weighed.withColumn("rank", rank).where(F.col("rank") <= topk).select("a", "b", "w")
+    if topk > 0:
+        rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("w"), "b"))
+        weighed = weighed.withColumn("rank", rank).where(F.col("rank") <= topk)
+    best = weighed.select("a", "b", "w")
     if add_self:
         best = best.union(voxels.select("vox", "vox", F.lit(1e-12)))
     total = F.sum("w").over(Window.partitionBy("a"))
@@ -75,11 +153,11 @@ def graph_smooth(image: Image, graph: DataFrame, passes: int = 1, strength: floa
 def graph_filter(runs: list[Image], mask: Image | None = None, spatial_sigma: float = 2.0, window: int | None = None, passes: int = 1, strength: float = 1.0, leave_one_out: bool = False, **options) -> list[Image]:
     """Builds the graph and smooths each run along it; with ``leave_one_out`` a run's graph comes from the others."""
     window = window or max(1, math.ceil(2 * spatial_sigma / min(runs[0].space.spacing)))
-    make = lambda of: correlation_graph(of, mask, window, spatial_sigma, **options)
-    if not leave_one_out:
-        graph = make(runs)
+    make = lambda out: correlation_graph(runs, mask, window, spatial_sigma, leave_out=out, **options)
+    if not leave_one_out or len(runs) == 1:
+        graph = make(None)
         return [graph_smooth(r, graph, passes, strength) for r in runs]
-    return [graph_smooth(r, make([x for m, x in enumerate(runs) if m != n]), passes, strength) for n, r in enumerate(runs)]
+    return [graph_smooth(r, make(n), passes, strength) for n, r in enumerate(runs)]
 
 
 def partial_correlations(image: Image, pairs: DataFrame, basis: DataFrame) -> DataFrame:

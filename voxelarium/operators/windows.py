@@ -91,20 +91,20 @@ def time_weights(
 
 
 def prepare_confounds(confounds: np.ndarray, run_lengths: list[int], weights: np.ndarray | None = None, intercept: bool = True, center: bool = True, scale: bool = False) -> list[np.ndarray]:
-    """An orthonormal basis of the nuisance regressors of each run, rows weighted; small (times x regressors), so local."""
+    """An orthonormal basis of the nuisance regressors of each run, rows weighted, dependent columns dropped; small (times x regressors), so local."""
     out, at = [], 0
     for n in run_lengths:
         x = np.array(confounds[at : at + n], float).reshape(n, -1)
         w = np.ones(n) if weights is None else np.asarray(weights[at : at + n], float)
+        w = np.where(np.isfinite(w), np.maximum(w, 0.0), 0.0)
         at += n
-        if center:
-            x = x - np.average(x, axis=0, weights=w)
-        if scale:
+        if center and x.shape[1]:
+            x = x - x.mean(axis=0)
+        if scale and x.shape[1]:
             sd = x.std(axis=0, ddof=1)
             x = x / np.where(sd > 0, sd, 1)
         if intercept:
             x = np.column_stack([np.ones(n), x])
-        q, r = np.linalg.qr(np.sqrt(w)[:, None] * x)
-        keep = np.abs(np.diag(r)) > 1e-10 * max(1.0, np.abs(np.diag(r)).max(initial=0.0))
-        out.append(q[:, keep])
+        u, s, _ = np.linalg.svd(np.sqrt(w)[:, None] * x, full_matrices=False)
+        out.append(u[:, s > 1e-10 * max(1.0, s.max(initial=0.0))])
     return out
