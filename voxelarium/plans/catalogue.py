@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,42 +13,11 @@ from ..image import Image
 from ..operators import aggregates, components, filters, graphs, joins, neighbourhoods, resampling, sets, stencils, windows
 from ..sources import nifti
 from ..space import Space
+from . import files, geometry  # noqa: F401 (their queries are registered)
 from . import tables as T
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query; ``sql`` may use the common table expressions of the derived images."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            body = sql.strip()
-            recursive = " RECURSIVE" if body.startswith("RECURSIVE ") else ""
-            body = body.removeprefix("RECURSIVE ")
-            ORACLE[f.__name__] = f"WITH{recursive} {T.SQL}" + (f",\n{body[5:]}" if body.startswith("WITH ") else f"\n{body}")
-        return f
-
-    return add
-
-
-def _out(image: Image, digits: int | None = None) -> DataFrame:
-    value = F.col("value") if digits is None else F.round("value", digits)
-    return image.data.select(F.col("vox").cast("long").alias("vox"), *[F.col(k).cast("int").alias(k) for k in image.keys[1:]], value.alias("v"))
-
-
-def _mask(spark, sf_dir) -> Image:
-    """The voxels of an upper part of the value range, so that a mask is neither empty nor full at any scale."""
-    image = T.vol_qty(spark, sf_dir)
-    mean = image.data.agg(F.avg("value").alias("m"))
-    return image.with_data(image.data.crossJoin(F.broadcast(mean)).where(F.col("value") > F.col("m") * 1.1).select("vox", "value"))
-
-
-#: The mask as SQL.
-MASK = "mask AS (SELECT * FROM vol_qty WHERE v > (SELECT AVG(v) * 1.1 FROM vol_qty))"
-
+from .registry import MASK, ORACLE, QUERIES, query  # noqa: F401
+from .registry import mask_of as _mask
+from .registry import out as _out
 
 # construction and access
 
@@ -539,6 +507,11 @@ def conn_comp_26(spark, sf_dir):
     return components.connected_components(_mask(spark, sf_dir), "26-connect")
 
 
+@query(_COMPONENTS.format(mask=MASK, n=3) + " SELECT vox FROM l JOIN c USING (root) WHERE component = 1")
+def largest_component(spark, sf_dir):
+    return components.largest_component(_mask(spark, sf_dir)).data.select("vox")
+
+
 @query(_COMPONENTS.format(mask=MASK, n=1) + """, t AS (SELECT component, vox, v, row_number() OVER (PARTITION BY component ORDER BY v DESC, vox) AS rn, count(*) OVER (PARTITION BY component) AS n FROM l JOIN c USING (root) JOIN vol_qty USING (vox))
   SELECT component, vox, n, CAST(n AS DOUBLE) AS area, v FROM t WHERE rn = 1""")
 def conn_comp_table(spark, sf_dir):
@@ -616,7 +589,11 @@ def resample_linear(spark, sf_dir):
     return _out(resampling.resample(T.vol_qty(spark, sf_dir), Space((10, 10, 5), spacing=(1.5, 1.5, 1.5)), "linear"), 6)
 
 
-@query(None)
+@query("""WITH g AS (SELECT a.i AS a, b.i AS b, c.i AS c, (a.i - 1) * 1.5 + 1 AS x, (b.i - 1) * 1.5 + 1 AS y, (c.i - 1) * 1.5 + 1 AS z FROM (SELECT UNNEST(range(1, 11)) AS i) a, (SELECT UNNEST(range(1, 11)) AS i) b, (SELECT UNNEST(range(1, 6)) AS i) c),
+  d AS (SELECT a, b, c, v, CAST(abs(x - i) AS DOUBLE) AS p, CAST(abs(y - j) AS DOUBLE) AS q, CAST(abs(z - k) AS DOUBLE) AS r FROM g JOIN vol_qty ON abs(x - i) < 2 AND abs(y - j) < 2 AND abs(z - k) < 2 WHERE x <= 16 AND y <= 16 AND z <= 7),
+  w AS (SELECT a, b, c, v, CASE WHEN p < 1 THEN 1.5 * p ** 3 - 2.5 * p ** 2 + 1 ELSE -0.5 * p ** 3 + 2.5 * p ** 2 - 4 * p + 2 END AS p, CASE WHEN q < 1 THEN 1.5 * q ** 3 - 2.5 * q ** 2 + 1 ELSE -0.5 * q ** 3 + 2.5 * q ** 2 - 4 * q + 2 END AS q,
+    CASE WHEN r < 1 THEN 1.5 * r ** 3 - 2.5 * r ** 2 + 1 ELSE -0.5 * r ** 3 + 2.5 * r ** 2 - 4 * r + 2 END AS r FROM d)
+  SELECT CAST(a + (b - 1) * 10 + (c - 1) * 100 AS BIGINT) AS vox, round(SUM(p * q * r * v), 6) AS v FROM w WHERE p <> 0 AND q <> 0 AND r <> 0 GROUP BY a, b, c""")
 def resample_cubic(spark, sf_dir):
     return _out(resampling.resample(T.vol_qty(spark, sf_dir), Space((10, 10, 5), spacing=(1.5, 1.5, 1.5)), "cubic"), 6)
 
@@ -710,14 +687,10 @@ def colour_bins(spark, sf_dir):
 
 @query("SELECT vox, CAST(v AS DOUBLE) AS v FROM vol_qty")
 def nifti_round_trip(spark, sf_dir):
-    """An image written to a file in the shared folder and read back."""
-    import os
-
-    folder = runtime.shared_dir(spark).removeprefix("file://").removeprefix("file:")
-    os.makedirs(folder, exist_ok=True)
-    path = os.path.join(folder, f"vol_qty-{uuid.uuid4().hex}.nii.gz")
+    """An image written to a file in the shared folder and read back, sparse as it was."""
+    path = f"{runtime.shared_dir(spark)}/vol_qty-{uuid.uuid4().hex}.nii.gz"
     nifti.write_image(T.vol_qty(spark, sf_dir), path)
-    return _out(nifti.read_image(spark, path))
+    return _out(nifti.read_image(spark, path).sparse())
 
 
 @query(None)

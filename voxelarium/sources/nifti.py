@@ -221,6 +221,7 @@ def write_image(image: Image, path: str, dtype: str | None = None, tr: float = 1
         import uuid
 
         files, final = place_of(path)
+        files.create_dir(final.rpartition("/")[0] or ".")
         own = f"{final}.{uuid.uuid4().hex}"
         kind = np.dtype(dtype).newbyteorder("<")
 
