@@ -78,3 +78,14 @@ def test_components_are_numbered_by_size(spark):
     found = components.connected_components(from_numpy(spark, x).mask())
     got = {r.vox: (r.component, r.size) for r in found.collect()}
     assert got == {1: (4, 1), 3: (2, 2), 4: (2, 2), 6: (5, 1), 9: (3, 2), 10: (3, 2), 12: (1, 3), 13: (1, 3), 14: (1, 3)}
+
+
+@pytest.mark.parametrize("bins,few", [(2, 0), (5, 3), (64, 10), (4096, 1 << 14)])
+def test_quantiles(spark, bins, few):
+    rng = np.random.default_rng(4)
+    for x in (rng.normal(size=501), rng.integers(0, 4, 400).astype(float), np.full(50, 2.5), np.array([1e308, -1e308, 3.0, 3.0, 1e-300])):
+        frame = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "v double")
+        got = runtime.quantiles(frame, F.col("v"), [0.0, 0.5, 0.98], bins, few)
+        want = np.quantile(x / 4, [0.0, 0.5, 0.98]) * 4 if np.abs(x).max() < 1e300 else [-1e308, 3.0, None]
+        assert all(w is None or np.isclose(g, w, rtol=1e-12) for g, w in zip(got, want))
+    assert runtime.quantiles(frame.where("v is null"), F.col("v"), [0.5]) is None

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import quantiles
+
 
 def robust_limits(frame: DataFrame, low: float = 0.02, high: float = 0.98) -> tuple[float, float]:
     """The quantiles of the values between which colours run."""
-    a, b = frame.agg(F.percentile("value", low), F.percentile("value", high)).first()
-    return a, b
+    return tuple(quantiles(frame, F.col("value"), [low, high]) or (None, None))
 
 
 def colour_bin(value: Column, low: float, high: float, colours: int) -> Column:

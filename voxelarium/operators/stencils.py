@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..image import Image
+from ..runtime import materialize, quantiles
 from .neighbourhoods import cube_offsets, shifted
 
 
@@ -178,8 +179,12 @@ def despike(image: Image, mask: Image, k: float = 3.5, window: int = 1) -> Image
     """Values further than k deviations (by the median) from their box mean become the median of good in-mask neighbours."""
     inside = image.with_data(_within(image.data, image, mask))
     off = inside.data.join(box_blur(image, window, mask).data.withColumnRenamed("value", "m"), "vox").withColumn("off", F.abs(F.col("value") - F.col("m")))
-    center = off.agg(F.median(F.col("value") - F.col("m"))).first()[0]
-    mad = off.agg(1.4826 * F.median(F.abs(F.col("value") - F.col("m") - F.lit(center)))).first()[0] if center is not None else None
+    off = materialize(off, "off")
+    center = quantiles(off, F.col("value") - F.col("m"), [0.5])
+    if center is None:
+        return inside
+    [mad] = quantiles(off, F.abs(F.col("value") - F.col("m") - F.lit(center[0])), [0.5])
+    mad *= 1.4826
     if not mad:
         return inside
     flagged = off.withColumn("bad", F.col("off") > k * mad).select("vox", "value", "bad")
@@ -196,9 +201,10 @@ def enhance_stat_map(image: Image, mask: Image, method: str = "guided", radius:
     """Despikes, smooths, and sharpens where the local variance exceeds the noise."""
     clean = despike(image, mask, spike_k) if spike_k else image.with_data(_within(image.data, image, mask))
     rough = clean.data.join(box_blur(clean, 1, mask).data.withColumnRenamed("value", "m"), "vox").withColumn("r", F.col("value") - F.col("m"))
-    mid = rough.agg(F.median("r")).first()[0] or 0.0
-    mad, sd = rough.agg(1.4826 * F.median(F.abs(F.col("r") - mid)), F.stddev_samp("r")).first()
-    noise = mad or sd or 1.0
+    rough = materialize(rough.select("r"), "rough")
+    mid = quantiles(rough, F.col("r"), [0.5])
+    mad = 1.4826 * quantiles(rough, F.abs(F.col("r") - mid[0]), [0.5])[0] if mid else None
+    noise = mad or rough.agg(F.stddev_samp("r")).first()[0] or 1.0
     base = {
         "guided": lambda: guided_filter(clean, radius, epsilon),
         "bilateral": lambda: bilateral_filter(clean, mask, spatial_sigma, intensity_sigma, radius),

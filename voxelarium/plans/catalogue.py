@@ -462,13 +462,27 @@ def patch_set(spark, sf_dir):
     return stencils.patch_set(q, (3, 3, 3), q.mask(T.QTY.to_grid(F.col("vox"))[2] == 1)).withColumnRenamed("value", "v")
 
 
-@query(None)
+_DESPIKED = """WITH box AS (SELECT a.vox, a.i, a.j, a.k, CAST(a.v AS DOUBLE) AS v, a.v - SUM(b.v) / 27.0::DOUBLE AS r FROM vol_qty a JOIN vol_qty b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND abs(a.k - b.k) <= 1 GROUP BY a.vox, a.i, a.j, a.k, a.v),
+  mid AS (SELECT median(r) AS c FROM box), spread AS (SELECT 1.4826 * median(abs(r - c)) AS mad FROM box, mid), flagged AS (SELECT box.*, abs(r) > 3.5 * mad AS bad FROM box, spread),
+  fixed AS (SELECT a.vox, median(b.v) AS new FROM flagged a JOIN flagged b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND abs(a.k - b.k) <= 1 WHERE a.bad AND NOT b.bad GROUP BY a.vox),
+  clean AS (SELECT vox, i, j, k, CASE WHEN bad THEN coalesce(new, v) ELSE v END AS v FROM flagged LEFT JOIN fixed USING (vox))"""
+
+
+@query(f"{_DESPIKED} SELECT vox, round(v, 6) AS v FROM clean")
 def despike(spark, sf_dir):
     q = T.vol_qty(spark, sf_dir)
     return _out(stencils.despike(q, q), 6)
 
 
-@query(None)
+@query(f"""{_DESPIKED},
+  rough AS (SELECT a.vox, a.v - SUM(b.v) / 27 AS r FROM clean a JOIN clean b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND abs(a.k - b.k) <= 1 GROUP BY a.vox, a.v),
+  middle AS (SELECT median(r) AS c FROM rough), noise AS (SELECT 1.4826 * median(abs(r - c)) AS s FROM rough, middle),
+  moments AS (SELECT a.vox, a.i, a.j, a.k, a.v, SUM(b.v) / 125 AS m, SUM(b.v * b.v) / 125 AS q FROM clean a JOIN clean b ON abs(a.i - b.i) <= 2 AND abs(a.j - b.j) <= 2 AND abs(a.k - b.k) <= 2 GROUP BY a.vox, a.i, a.j, a.k, a.v),
+  lines AS (SELECT *, greatest(q - m * m, 0) / (greatest(q - m * m, 0) + 0.49) AS slope FROM moments),
+  base AS (SELECT a.vox, a.i, a.j, a.k, (SUM(b.slope) * a.v + SUM(b.m - b.slope * b.m)) / 125 AS v FROM lines a JOIN lines b ON abs(a.i - b.i) <= 2 AND abs(a.j - b.j) <= 2 AND abs(a.k - b.k) <= 2 GROUP BY a.vox, a.i, a.j, a.k, a.v),
+  inner_var AS (SELECT a.vox, greatest(SUM(b.v * b.v) / 125 - (SUM(b.v) / 125) ** 2, 0) AS var FROM base a JOIN base b ON abs(a.i - b.i) <= 2 AND abs(a.j - b.j) <= 2 AND abs(a.k - b.k) <= 2 GROUP BY a.vox),
+  wide AS (SELECT a.vox, SUM(b.v) / 729 AS w FROM base a JOIN base b ON abs(a.i - b.i) <= 4 AND abs(a.j - b.j) <= 4 AND abs(a.k - b.k) <= 4 GROUP BY a.vox)
+  SELECT base.vox, round(base.v + var / (var + s * s) * (base.v - w), 6) AS v FROM base JOIN inner_var USING (vox) JOIN wide USING (vox), noise""")
 def enhance_stat_map(spark, sf_dir):
     q = T.vol_qty(spark, sf_dir)
     return _out(stencils.enhance_stat_map(q, q), 6)

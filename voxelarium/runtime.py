@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
@@ -41,3 +43,45 @@ def numbered(frame: DataFrame, name: str, *order) -> DataFrame:
     parts = dealt.groupBy("__part").agg(F.count("*").alias("__rows"))  # a row a partition
     parts = parts.select("__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
     return dealt.join(parts, "__part").withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__part", "__at", "__before")
+
+
+#: Bins of a pass of ``quantiles``, and the values that are few enough to be sorted on the driver.
+BINS, FEW = 4096, 1 << 14
+
+
+def quantiles(frame: DataFrame, value: Column, shares: list[float], bins: int = BINS, few: int = FEW) -> list[float] | None:
+    """The exact quantiles of a column, between two values in proportion; None for a table without values.
+
+    Each pass counts the values by bin and goes on within the bin that holds the rank, so the driver gets ``bins`` counts a
+    pass and at last ``few`` values, and no task gets them all. Nulls and NaN are left out; infinities count as the
+    largest doubles. ``frame`` is read once a pass: write it before if it is costly.
+    """
+    largest = float(np.finfo(float).max)
+    v = value.cast("double")
+    rows = frame.where(v.isNotNull() & ~F.isnan(v)).select(F.greatest(F.lit(-largest), F.least(F.lit(largest), v)).alias("v"))
+    n, bottom, top = rows.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+
+    def at(rank: int) -> float:
+        low, high, count, before = bottom, top, n, 0
+        while low < high:
+            span = rows.where(F.col("v").between(low, high))
+            if count <= few:
+                return sorted(r.v for r in span.collect())[rank - before]
+            # halves, so that the width of the widest range is a double too
+            place = F.floor((F.col("v") / 2 - low / 2) / (high / 2 - low / 2) * bins)
+            found = span.groupBy(F.least(place, F.lit(bins - 1)).alias("bin")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+            for r in sorted(found.collect(), key=lambda r: r.bin):
+                low, high, count = r.low, r.high, r.n
+                if rank < before + count:
+                    break
+                before += count
+        return low
+
+    out = []
+    for share in shares:
+        place = share * (n - 1)
+        first = at(math.floor(place))
+        out.append(first if place == math.floor(place) else first + (at(math.ceil(place)) - first) * (place - math.floor(place)))
+    return out
