@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import materialize, shared_dir
+from ..runtime import materialize, numbered, shared_dir
 
-__all__ = ["WORD_PATTERN", "let", "local_file", "materialize", "new_path", "remove_path", "shared_dir", "words_of"]
+__all__ = ["WORD_PATTERN", "let", "local_file", "materialize", "new_path", "numbered", "remove_path", "shared_dir", "words_of"]
 
 #: A word is a run of characters other than these (fixed value of the contracts).
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, words_of
+from .common import materialize, numbered, words_of
 
 SEED = 20240601
 MAX_REPEAT = 3
@@ -35,20 +35,6 @@ MAX_REPEAT = 3
 KNAPSACK_WORDS, SPAN = 1 << 16, 16
 
 
-def numbered(frame: DataFrame, name: str, *order) -> DataFrame:
-    """``frame``, written, with the column ``name`` that counts its rows from 1 in the given order.
-
-    Ranges are sorted apart, and a row's number is its place in its range after all the ranges before.
-    """
-    place = (F.monotonically_increasing_id() % (1 << 33)).alias("__at")
-    dealt = frame.repartitionByRange(*order).sortWithinPartitions(*order)
-    dealt = materialize(dealt.select("*", F.spark_partition_id().alias("__part"), place), "numbered")
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = dealt.groupBy("__part").agg(F.count("*").alias("__rows"))  # a row a partition
-    parts = parts.select("__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
-    return dealt.join(parts, "__part").withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__part", "__at", "__before")
-
-
 def targets(sizes: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """``(source, source_no, source_size, target)`` from ``(source, source_size)``, one row per source.
 
@@ -140,9 +126,9 @@ def mix(documents: DataFrame, seed: int = SEED, id_col: str = "doc_id", text_col
     plan = counts.join(sources, of_source).select("source_no", "source_size", "target", "size", "n")
     plan = plan.groupBy("source_no").applyInPandas(_plan, "source_no int, size long, n long, copies int, once_more long")
 
-    numbered = rows.join(sources, rows.source.eqNullSafe(sources.source)).select(rows["*"], "source_no", "source_size", "target")
+    placed_rows = rows.join(sources, rows.source.eqNullSafe(sources.source)).select(rows["*"], "source_no", "source_size", "target")
     buckets = F.ceil(F.sqrt("n"))
-    drawn = numbered.join(plan, ["source_no", "size"]).select(
+    drawn = placed_rows.join(plan, ["source_no", "size"]).select(
         "*", F.xxhash64(F.lit(seed), "doc_id", "text_hash").alias("draw")
     ).withColumn("bucket", F.pmod(F.col("draw"), buckets))
     drawn = materialize(drawn, "drawn")
