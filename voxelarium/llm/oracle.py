@@ -82,4 +82,55 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN pa
 FROM f
 """
 
-ORACLE_SQL = {"op2_quality_rules": OP2, "op3_substring_dedup": OP3, "op6_warc_revisits": OP6, "op9_line_dedup": OP9}
+
+
+def _crc_step(c: str) -> str:
+    """CRC-32 over the low four bits of ``c``; the sixteen values follow from the polynomial (fixed value of the format)."""
+    table = []
+    for v in range(16):
+        for _ in range(4):
+            v = v >> 1 ^ 0xEDB88320 * (v & 1)
+        table.append(v)
+    return f"xor(({c}) >> 4, CAST({table} AS BIGINT[])[CAST((({c}) & 15) + 1 AS BIGINT)])"
+
+
+def _runs_sql(levels: int = 22) -> str:
+    """Runs by equal blocks of 1, 2, 4, ... words.
+
+    Level k has the class of each block of 2^k words that occurs again in its text. Within a run of period q, and 2^k the least
+    power not under q, each block's next occurrence is q words on, and nowhere else is that so for longer than a run allows.
+    """
+    parts = []
+    for k in range(levels):
+        if k == 0:
+            parts.append("c0 AS MATERIALIZED (SELECT rid, i, hash(w) AS c FROM t)")
+        else:
+            step = 1 << (k - 1)
+            parts.append(f"c{k} AS MATERIALIZED (SELECT a.rid, a.i, hash(a.c, b.c) AS c FROM r{k - 1} a JOIN r{k - 1} b ON a.rid = b.rid AND b.i = a.i + {step})")
+        parts.append(
+            f"r{k} AS MATERIALIZED (SELECT rid, i, c, d FROM (SELECT *, lead(i) OVER g - i AS d, count(*) OVER (PARTITION BY rid, c) AS many FROM c{k} WINDOW g AS (PARTITION BY rid, c ORDER BY i)) x WHERE many > 1)"
+        )
+        parts.append(
+            f"f{k} AS (SELECT rid, min(i) AS start, max(i) - min(i) + {1 << k} + d AS length, d AS period FROM "
+            f"(SELECT *, i - row_number() OVER (PARTITION BY rid, d ORDER BY i) AS island FROM r{k} WHERE d <= {1 << k} AND 2 * d > {1 << k}) x GROUP BY rid, d, island)"
+        )
+    every = " UNION ALL ".join(f"SELECT * FROM f{k}" for k in range(levels))
+    crc = f"list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: {_crc_step(_crc_step('xor(c, b)'))})"
+    return rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS ws, xor({crc}, 4294967295) AS h FROM documents),
+e AS (SELECT *, len(ws) AS n, CASE WHEN len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM d),
+o AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM e),
+u AS (SELECT rid, ws, h, a, p, unnest(range(n)) AS i FROM o),
+t AS MATERIALIZED (SELECT rid, i, ws[1 + CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END] AS w FROM u),
+{", ".join(parts)},
+r AS MATERIALIZED (SELECT rid, start, length, period FROM ({every}) x WHERE length >= greatest(6, 4 * period)),
+x AS (SELECT rid, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS s FROM r GROUP BY rid),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY length DESC, start, period) AS nth FROM r) y WHERE nth = 1),
+k AS (SELECT rid, string_agg(w, ' ' ORDER BY i) AS s FROM t WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.rid = t.rid AND t.i >= r.start + r.period AND t.i < r.start + r.length) GROUP BY rid)
+SELECT d.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+  CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(x.s, '')) AS runs_sha256, sha256(coalesce(k.s, '')) AS collapsed_sha256
+FROM d LEFT JOIN x USING (rid) LEFT JOIN b USING (rid) LEFT JOIN k USING (rid)
+"""
+
+
+ORACLE_SQL = {"op2_quality_rules": OP2, "op3_substring_dedup": OP3, "op6_warc_revisits": OP6, "op9_line_dedup": OP9, "op12_periodic_runs": _runs_sql()}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, linededup, mixing, packing, quality, simhash, substring, toxicity, warc
+from . import ann, bpe, linededup, mixing, packing, quality, runs, simhash, substring, toxicity, warc
+from .common import let, words_of
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +73,39 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", removed.alias("removed_lines"), F.md5("clean_text").alias("clean_md5"))
 
 
+def _with_repeats(doc_id: Column, text: Column) -> Column:
+    """The contract's texts: those of every tenth document by CRC-32 get a tail that repeats one block of words."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = (g % n).cast("int")
+        block = F.slice(words, a + 1, (1 + F.floor((n - a) / (3 + g % 8))).cast("int"))
+        tail = F.slice(F.flatten(F.array_repeat(block, (F.floor((n - a) / F.size(block)) + 1).cast("int"))), 1, n - a)
+        return F.when(n > 0, F.array_join(F.concat(F.slice(words, 1, a), tail), " ")).otherwise(text)
+
+    return F.when(h % 10 == 0, let(words_of(text), repeated)).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    texts = documents.select("doc_id", _with_repeats(F.col("doc_id"), F.col("text")).alias("text"))
+    found = runs.periodic_runs(texts, collapse=False)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select("doc_id", "runs", "collapsed_sha256", longest.alias("longest")).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.start")).alias("start"),
+        F.col("longest.length").alias("length"),
+        (-F.col("longest.period")).alias("period"),
+        F.expr("1000 * longest.length DIV -longest.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        "collapsed_sha256",
+    )
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -83,4 +117,5 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op12_periodic_runs": op12_periodic_runs,
 }
