@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, linededup, mixing, packing, quality, runs, simhash, substring, toxicity, warc
+from . import ann, bpe, linededup, mixing, packing, quality, runs, secrets, simhash, substring, toxicity, warc, whitening
 from .common import let, words_of
 
 
@@ -73,6 +73,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_removed", removed.alias("removed_lines"), F.md5("clean_text").alias("clean_md5"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = _table(spark, sf_dir, "embeddings")
+    return whitening.whiten(embeddings, whitening.fit(embeddings))
+
+
 def _with_repeats(doc_id: Column, text: Column) -> Column:
     """The contract's texts: those of every tenth document by CRC-32 get a tail that repeats one block of words."""
     h = F.crc32(doc_id.cast("string").cast("binary"))
@@ -106,6 +111,17 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents"))
+
+    def spans(of) -> Column:
+        return F.array_join(F.transform(of, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    counts = [F.size(F.filter("findings", lambda x, k=kind: x["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    base = F.filter("findings", lambda x: x["kind"] != "net")
+    return found.select("doc_id", *counts, F.sha2(spans(base), 256).alias("base_sha256"), spans("findings").alias("spans"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_quality_rules": op2_quality_rules,
@@ -117,5 +133,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_embedding_whitening": op11_embedding_whitening,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_secret_scan": op13_secret_scan,
 }
