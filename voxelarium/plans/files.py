@@ -50,6 +50,29 @@ def nifti_masked(spark, sf_dir):
     return out(nifti.read_image(spark, _written(T.vec_li(spark, sf_dir)), mask=mask_of(spark, sf_dir)))
 
 
+@query(f"WITH {_DENSE} SELECT vox, t, v FROM dense WHERE vox % 5 = 2 OR vox BETWEEN 700 AND 719")
+def nifti_scattered(spark, sf_dir):
+    """Read by the runs of a scattered mask."""
+    li = T.vec_li(spark, sf_dir)
+    mask = Image(T.QTY, li.data.select("vox").union(spark.range(1, T.QTY.n_vox + 1)).distinct().where("vox % 5 = 2 OR vox BETWEEN 700 AND 719"))
+    return out(nifti.read_image(spark, _written(li), mask=mask))
+
+
+@query(f"WITH {_DENSE} SELECT vox, t, v FROM dense WHERE t = 3 AND vox > 500 UNION ALL SELECT vox, t, v FROM dense WHERE t IN (5, 6) AND v > 0")
+def nifti_where(spark, sf_dir):
+    """Conditions written on one frame pick what is read."""
+    frame = nifti.read_image(spark, _written(T.vec_li(spark, sf_dir)))
+    return out(frame.with_data(frame.data.where("t = 3 AND vox > 500").union(frame.data.where("t IN (5, 6) AND value > 0"))))
+
+
+@query(f"WITH {_DENSE} SELECT 'plain' AS kind, vox, t, v FROM dense UNION ALL SELECT 'gzip', vox, t, v FROM dense")
+def nifti_many_writers(spark, sf_dir):
+    """Files that many tasks write, plain and of gzip members."""
+    li = T.vec_li(spark, sf_dir)
+    both = [out(nifti.read_image(spark, _written(li, suffix, part_values=500))).withColumn("kind", F.lit(kind)) for kind, suffix in (("plain", ".nii"), ("gzip", ".nii.gz"))]
+    return both[0].union(both[1]).select("kind", "vox", "t", "v")
+
+
 @query(f"WITH {_DENSE} SELECT vox, 1 AS t, v FROM dense WHERE t = 1 UNION ALL SELECT vox, t + 1, v FROM dense")
 def nifti_many(spark, sf_dir):
     """Two files, one after the other in time."""
