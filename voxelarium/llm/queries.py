@@ -117,7 +117,10 @@ def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     def spans(of) -> Column:
         return F.array_join(F.transform(of, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
-    counts = [F.size(F.filter("findings", lambda x, k=kind: x["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    def count(kind: str) -> Column:
+        return F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in ("assign", "access", "hex")]
     base = F.filter("findings", lambda x: x["kind"] != "net")
     return found.select("doc_id", *counts, F.sha2(spans(base), 256).alias("base_sha256"), spans("findings").alias("spans"))
 
