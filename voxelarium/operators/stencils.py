@@ -2,18 +2,21 @@
 
 A stencil is a scatter: each voxel sends its value, weighted, to the voxels that look at it, and sums come
 together by voxel with partial aggregation before the shuffle. Gaussian and box kernels are separable, so three
-passes along the axes replace one over the cube.
+passes along the axes replace one over the cube. Filters whose weights depend on both values (bilateral, non-local
+means) take cubes of voxels with a rim instead, see ``blocks``.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..image import Image
 from ..runtime import materialize, quantiles
+from .blocks import Block, map_blocks
 from .neighbourhoods import cube_offsets, shifted
 
 
@@ -93,14 +96,6 @@ def guided_filter(image: Image, radius: int = 4, epsilon: float = 0.49) -> Image
     return image.with_data(joined.select("vox", ((F.col("a") * F.col("value") + F.col("b")) / side**3).alias("value")))
 
 
-def _pairs(image: Image, window: int, sources: Image | None = None) -> DataFrame:
-    """``(vox, value, other, d2)``: each voxel with its neighbours' values and squared distances in world units."""
-    offsets = cube_offsets(window)
-    d2 = [sum((x * s) ** 2 for x, s in zip(o, image.space.spacing)) for o in offsets]
-    sent = shifted(sources or image, offsets, d2).select(F.col("near").alias("vox"), *image.keys[1:], F.col("value").alias("other"), F.col("w").alias("d2"))
-    return image.data.join(sent, image.keys)
-
-
 def bilateral_filter(image: Image, mask: Image | None = None, spatial_sigma: float = 2.0, intensity_sigma: float = 1.0, window: int = 1, range_scale: float | None = None) -> Image:
     """Edge-preserving smoothing by distance in space and in value, among in-mask neighbours.
 
@@ -110,10 +105,27 @@ def bilateral_filter(image: Image, mask: Image | None = None, spatial_sigma: flo
     if range_scale is None:
         range_scale = inside.data.agg(F.stddev_samp("value")).first()[0] or 0.0
     floor = max(2 * intensity_sigma**2 * range_scale**2, 1e-12)
-    pairs = _pairs(inside, window)
-    w = F.exp(-F.col("d2") / (2 * spatial_sigma**2)) * F.exp(-((F.col("other") - F.col("value")) ** 2) / floor)
-    out = pairs.withColumn("w", w).groupBy(*image.keys).agg((F.sum(F.col("w") * F.col("other")) / F.sum("w")).alias("value"))
-    return image.with_data(out)
+    return image.with_data(map_blocks(inside, (window,) * 3, _bilateral(window, 0, image.space.spacing, spatial_sigma, 1.0, floor)))
+
+
+def _bilateral(window: int, time_window: int, spacing: tuple[float, ...], spatial_sigma: float, temporal_sigma: float, floor: float):
+    """The weighted mean of what is present around each place of a block."""
+
+    def run(block: Block) -> dict[str, np.ndarray]:
+        center = block.values[block.own]
+        top, total = np.zeros_like(center), np.zeros_like(center)
+        for x, y, z in cube_offsets(window):
+            d2 = sum((o * s) ** 2 for o, s in zip((x, y, z), spacing))
+            for dt in range(-time_window, time_window + 1):
+                other = block.moved(block.values, (x, y, z, dt))
+                near = math.exp(-d2 / (2 * spatial_sigma**2)) * math.exp(-(dt**2) / (2 * temporal_sigma**2))
+                w = np.where(block.moved(block.present, (x, y, z, dt)), near * np.exp(-((other - center) ** 2) / floor), 0.0)
+                top += w * other
+                total += w
+        with np.errstate(invalid="ignore"):
+            return {"value": top / total}
+
+    return run
 
 
 def bilateral_filter_4d(image: Image, mask: Image | None = None, spatial_sigma: float = 2.0, intensity_sigma: float = 1.0, temporal_sigma: float = 1.0, spatial_window: int = 1, temporal_window: int = 1, temporal_spacing: float = 1.0) -> Image:
@@ -121,18 +133,8 @@ def bilateral_filter_4d(image: Image, mask: Image | None = None, spatial_sigma:
     inside = image if mask is None else image.with_data(_within(image.data, image, mask))
     sd = inside.data.agg(F.stddev_pop("value")).first()[0] or 0.0
     floor = max(2 * intensity_sigma**2 * sd**2, 1e-12)
-    offsets = cube_offsets(spatial_window)
-    d2 = [sum((x * s) ** 2 for x, s in zip(o, image.space.spacing)) for o in offsets]
-    times = F.array(*[F.lit(o) for o in range(-temporal_window, temporal_window + 1)])
-    sent = shifted(inside, offsets, d2).withColumn("dt", F.explode(times))
-    sent = sent.select(F.col("near").alias("vox"), (F.col("t") + F.col("dt")).cast("int").alias("t"), F.col("value").alias("other"), F.col("w").alias("d2"), "dt")
-    w = (
-        F.exp(-F.col("d2") / (2 * spatial_sigma**2))
-        * F.exp(-((F.col("dt") * temporal_spacing) ** 2) / (2 * temporal_sigma**2))
-        * F.exp(-((F.col("other") - F.col("value")) ** 2) / floor)
-    )
-    pairs = inside.data.join(sent, ["vox", "t"]).withColumn("w", w)
-    out = pairs.groupBy("vox", "t").agg((F.sum(F.col("w") * F.col("other")) / F.sum("w")).alias("value"))
+    f = _bilateral(spatial_window, temporal_window, image.space.spacing, spatial_sigma, temporal_sigma / temporal_spacing, floor)
+    out = map_blocks(inside, (spatial_window,) * 3 + (temporal_window,), f)
     if mask is None:
         return image.with_data(out)
     rest = image.data.join(mask.data.select("vox").distinct(), "vox", "left_anti").select("vox", "t", F.col("value").cast("double").alias("value"))
@@ -234,34 +236,49 @@ def laplace_enhance(image: Image, mask: Image, levels: int = 2, patch: int = 3,
 
     Voxels are linked to those in their search cube by the similarity of their patches, K = exp(-|P - Q|^2 / h^2). The
     level's weights are the powers K, K^2, K^4 and so on; smoothing with W = I + a (K - diag(row sums)), a one over the
-    mean row sum. Details between levels pass a sigmoid and are added to the mapped base.
+    mean row sum of the voxels that have links. Details between levels pass a sigmoid and are added to the mapped base.
+
+    A voxel of the mask without a row has no links. Patches and links stay within a cube and its rim, so only the cubes' copies are shuffled, and each level's mean is one number.
     """
     low, high = image.data.agg(F.min("value"), F.max("value")).first()
-    span = (high - low) if high is not None and high > low else 1.0
-    unit = image.with_data(_within(image.data, image, mask).select("vox", ((F.col("value") - F.lit(low)) / span).alias("value")))
-    patches = patch_set(image.map(lambda v: (v - F.lit(low)) / span), (patch,) * 3, mask)
-    vectors = patches.groupBy("center").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("p")).select(F.col("center").alias("vox"), F.col("p.value").alias("p"))
-    offsets = [o for o in cube_offsets(search) if any(o)]
-    near = shifted(unit.with_data(vectors), offsets).select(F.col("near").alias("vox"), F.col("vox").alias("other"), F.col("p").alias("q"))
-    d2 = F.aggregate(F.zip_with("p", "q", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
-    edges = vectors.join(near, "vox").select("vox", "other", F.exp(-d2 / h**2).alias("k")).where("k > 1e-8")
+    span = float(high - low) if high is not None and high > low else 1.0
+    low = float(low or 0.0)
+    half = patch // 2
+    marked = image.data.join(mask.data.select("vox").distinct().withColumn("m", F.lit(1.0)), "vox", "left")
+    share = (F.col("value") - F.lit(low)) / F.lit(span)
+    unit = image.with_data(marked.select("vox", share.alias("value"), F.coalesce("m", F.lit(0.0)).alias("m")))
+
+    def run(block: Block) -> dict[str, np.ndarray]:
+        around, values, linked = block.clamped(), block.values, block.extra["m"] > 0
+        shape = tuple(n - 2 * half for n in around.shape[:3])
+        taps = [tuple(slice(half + o, half + o + n) for o, n in zip(offset, shape)) for offset in cube_offsets(half)]
+        patches = np.stack([around[(*t, 0)] for t in taps], axis=-1)
+        cut = (*[slice(half, n - half) for n in around.shape[:3]], 0)
+        values, linked = values[cut], linked[cut]
+        own = tuple(slice(search, n - search) for n in shape)
+        out = {name: np.zeros(values[own].shape) for name in ("links", *[f"{c}{n}" for n in range(levels) for c in ("d", "y")])}
+        for offset in cube_offsets(search):
+            if not any(offset):
+                continue
+            there = tuple(slice(search + o, n - search + o) for o, n in zip(offset, shape))
+            k = np.exp(-((patches[own] - patches[there]) ** 2).sum(axis=-1) / h**2)
+            k = np.where(linked[there] & linked[own] & (k > 1e-8), k, 0.0)
+            out["links"] += k > 0
+            for n in range(levels):
+                power = k ** (2**n)
+                out[f"d{n}"] += power
+                out[f"y{n}"] += power * values[there]
+        return {"unit": values[own][..., None], "m": linked[own][..., None].astype(float)} | {name: v[..., None] for name, v in out.items()}
+
+    columns = ["unit", "m", "links", *[f"{c}{n}" for n in range(levels) for c in ("d", "y")]]
+    found = map_blocks(unit, (search + half,) * 3, run, ", ".join(f"{c} double" for c in columns), ("m",))
+    found = materialize(found.where("m > 0").drop("m"), "linked")
+    means = found.where("links > 0").agg(*[F.avg(f"d{n}") for n in range(levels)]).first()
     gains = gains or tuple([1.0] * (levels + 1))
-
-    def smooth(level: int) -> DataFrame:
-        power = edges.select("vox", "other", F.pow("k", F.lit(float(2**level))).alias("k"))
-        rows = power.groupBy("vox").agg(F.sum("k").alias("d"))
-        mean = rows.agg(F.avg("d")).first()[0] or 1.0
-        sent = power.join(unit.data.select(F.col("vox").alias("other"), F.col("value").alias("y")), "other").groupBy("vox").agg(F.sum(F.col("k") * F.col("y")).alias("ky"))
-        joined = unit.data.join(rows, "vox", "left").join(sent, "vox", "left")
-        value = F.col("value") + (F.coalesce("ky", F.lit(0.0)) - F.coalesce("d", F.lit(0.0)) * F.col("value")) / mean
-        return joined.select("vox", value.alias(f"s{level}"))
-
-    out = unit.data
-    for level in range(levels):
-        out = out.join(smooth(level), "vox")
+    smooth = [F.col("unit") + (F.col(f"y{n}") - F.col(f"d{n}") * F.col("unit")) / F.lit(means[n] or 1.0) for n in range(levels)]
     detail = F.lit(0.0)
     for level in range(1, levels):
-        detail = detail + 2 / (1 + F.exp(-gains[level] * (F.col(f"s{level}") - F.col(f"s{level - 1}")))) - 1
-    detail = detail + 2 / (1 + F.exp(-gains[levels] * (F.col("value") - F.col(f"s{levels - 1}")))) - 1
-    base = 1 / (1 + F.exp(-gains[0] * (F.col("s0") - 0.5) * 4))
-    return image.with_data(out.select("vox", (base + detail).alias("value")))
+        detail = detail + 2 / (1 + F.exp(-gains[level] * (smooth[level] - smooth[level - 1]))) - 1
+    detail = detail + 2 / (1 + F.exp(-gains[levels] * (F.col("unit") - smooth[-1]))) - 1
+    base = 1 / (1 + F.exp(-gains[0] * (smooth[0] - 0.5) * 4))
+    return image.with_data(found.select("vox", (base + detail).alias("value")))

@@ -360,14 +360,21 @@ def searchlight_members(spark, sf_dir):
 @query(f"WITH {MASK} SELECT a.vox, CAST(SUM(b.v) AS BIGINT) AS total, COUNT(*) AS n FROM mask a JOIN mask b ON ({NEAR} <= 4 GROUP BY a.vox")
 def searchlight_sum(spark, sf_dir):
     mask = _mask(spark, sf_dir)
-    both = neighbourhoods.searchlight_reduce(mask, mask, 2.0, lambda v: F.struct(F.sum(v).alias("total"), F.count(v).alias("n")))
-    return both.select("vox", "value.total", "value.n")
+    return neighbourhoods.searchlight_sums(mask, mask, 2.0).select("vox", F.col("total").cast("long").alias("total"), "n")
 
 
 @query(f"WITH {MASK} SELECT a.vox, round(AVG(b.v), 6) AS v FROM mask a JOIN mask b ON ({NEAR} <= 4 GROUP BY a.vox")
 def searchlight_mean(spark, sf_dir):
     mask = _mask(spark, sf_dir)
-    return neighbourhoods.searchlight_reduce(mask, mask, 2.0, F.avg).select("vox", F.round("value", 6).alias("v"))
+    return neighbourhoods.searchlight_sums(mask, mask, 2.0).select("vox", F.round(F.col("total") / F.col("n"), 6).alias("v"))
+
+
+@query(f"WITH {MASK} SELECT a.vox, MAX(b.v) AS v FROM mask a JOIN mask b ON ({NEAR} <= 4 GROUP BY a.vox")
+def searchlight_max(spark, sf_dir):
+    """Any other aggregate goes by the members."""
+    mask = _mask(spark, sf_dir)
+    return neighbourhoods.searchlight_reduce(mask, mask, 2.0, F.max).select("vox", F.col("value").alias("v"))
+
 
 
 CENTERS = "c AS (SELECT * FROM (VALUES (1, 5, 5, 4), (2, 1, 1, 1), (3, 16, 8, 7)) x(roi, i, j, k))"
@@ -488,7 +495,14 @@ def enhance_stat_map(spark, sf_dir):
     return _out(stencils.enhance_stat_map(q, q), 6)
 
 
-@query(None)
+@query("""WITH u AS (SELECT vox, i, j, k, (v - (SELECT min(v) FROM vol_qty)) / CAST((SELECT max(v) - min(v) FROM vol_qty) AS DOUBLE) AS s FROM vol_qty),
+  o AS (SELECT UNNEST(range(-1, 2)) AS x), f AS (SELECT a.x, b.x AS y, c.x AS z, a.x + 3 * b.x + 9 * c.x AS pos FROM o a, o b, o c),
+  p AS (SELECT m.vox, f.pos, coalesce(b.s, 0) AS s FROM u m CROSS JOIN f LEFT JOIN u b ON b.i = greatest(1, least(16, m.i + f.x)) AND b.j = greatest(1, least(16, m.j + f.y)) AND b.k = greatest(1, least(7, m.k + f.z))),
+  pairs AS (SELECT a.vox AS a, b.vox AS b, b.s FROM u a JOIN u b ON abs(a.i - b.i) <= 2 AND abs(a.j - b.j) <= 2 AND abs(a.k - b.k) <= 2 AND a.vox <> b.vox),
+  e AS (SELECT a, b, any_value(pairs.s) AS s, exp(-sum((x.s - y.s) ** 2) / 0.49) AS w FROM pairs JOIN p x ON x.vox = a JOIN p y ON y.vox = b AND y.pos = x.pos GROUP BY a, b),
+  g AS (SELECT a, sum(w) AS d0, sum(w * s) AS y0, sum(w * w) AS d1, sum(w * w * s) AS y1 FROM e WHERE w > 1e-8 GROUP BY a),
+  q AS (SELECT u.vox, u.s, u.s + (coalesce(y0, 0) - coalesce(d0, 0) * u.s) / (SELECT avg(d0) FROM g) AS s0, u.s + (coalesce(y1, 0) - coalesce(d1, 0) * u.s) / (SELECT avg(d1) FROM g) AS s1 FROM u LEFT JOIN g ON g.a = u.vox)
+  SELECT vox, round(1 / (1 + exp(-4 * (s0 - 0.5))) + 2 / (1 + exp(s0 - s1)) - 1 + 2 / (1 + exp(s1 - s)) - 1, 6) AS v FROM q""")
 def laplace_enhance(spark, sf_dir):
     q = T.vol_qty(spark, sf_dir)
     return _out(stencils.laplace_enhance(q, q), 6)
