@@ -81,6 +81,22 @@ def haloed(image: Image, layout: Layout, extra: tuple[str, ...] = ()) -> DataFra
     return rows.select(block.alias("block"), F.col("vox").cast("long").alias("vox"), *time, *[F.col(c).cast("double").alias(c) for c in ("value", *extra)])
 
 
+def block_of(number: int, table: pa.Table, layout: Layout, series: bool, extra: tuple[str, ...] = ()) -> tuple[Block, np.ndarray, list[np.ndarray]]:
+    """The block of a group of ``haloed``, its rows' voxels and their places in the block's arrays."""
+    cube = np.unravel_index(number, layout.counts, order="F")
+    first = tuple(int(c) * s - r for c, s, r in zip(cube, layout.sides, layout.rims))
+    shape = tuple(min(s, d - int(c) * s) + 2 * r for c, s, d, r in zip(cube, layout.sides, layout.dims, layout.rims))
+    vox = table["vox"].to_numpy()
+    times = table["t"].to_numpy() - 1 if series else np.zeros(len(vox), np.int64)
+    at = [a - f for a, f in zip((*np.unravel_index(vox - 1, layout.dims[:3], order="F"), times), first)]
+    values, present = np.zeros(shape), np.zeros(shape, bool)
+    values[tuple(at)], present[tuple(at)] = table["value"].to_numpy(), True
+    others = {name: np.zeros(shape) for name in extra}
+    for name, array in others.items():
+        array[tuple(at)] = table[name].to_numpy()
+    return Block(values, present, first, layout, others), vox, at
+
+
 def map_blocks(image: Image, rim: tuple[int, ...], f: Callable[[Block], dict[str, np.ndarray]], columns: str = "value double", extra: tuple[str, ...] = (), side: int = SIDE, times: int = TIMES) -> DataFrame:
     """``(vox[, t], *columns)`` for the rows of an image, from what ``f`` gives for the places of each cube.
 
@@ -91,17 +107,8 @@ def map_blocks(image: Image, rim: tuple[int, ...], f: Callable[[Block], dict[str
     names = [c.split()[0] for c in columns.split(",")]
 
     def run(key, table):
-        cube = np.unravel_index(key[0].as_py(), layout.counts, order="F")
-        first = tuple(int(c) * s - r for c, s, r in zip(cube, layout.sides, layout.rims))
-        shape = tuple(min(s, d - int(c) * s) + 2 * r for c, s, d, r in zip(cube, layout.sides, layout.dims, layout.rims))
-        vox = table["vox"].to_numpy()
-        at = [a - f0 for a, f0 in zip((*np.unravel_index(vox - 1, layout.dims[:3], order="F"), table["t"].to_numpy() - 1 if series else np.zeros(len(vox), np.int64)), first)]
-        values, present = np.zeros(shape), np.zeros(shape, bool)
-        values[tuple(at)], present[tuple(at)] = table["value"].to_numpy(), True
-        others = {name: np.zeros(shape) for name in extra}
-        for name, array in others.items():
-            array[tuple(at)] = table[name].to_numpy()
-        block = Block(values, present, first, layout, others)
+        block, vox, at = block_of(key[0].as_py(), table, layout, series, extra)
+        shape = block.values.shape
         found = f(block)
         inside = np.all([(a >= r) & (a < n - r) for a, r, n in zip(at, layout.rims, shape)], axis=0)
         places = tuple(a[inside] - r for a, r in zip(at, layout.rims))

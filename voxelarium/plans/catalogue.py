@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -572,11 +573,7 @@ def automask(spark, sf_dir):
     JOIN vec_ev x ON x.vox = a.vox JOIN vec_ev y ON y.vox = b.vox AND y.t = x.t GROUP BY 1, 2)
   SELECT a, b, CAST(n AS BIGINT) AS n, round(CASE WHEN n < 3 OR (CAST(n AS DOUBLE) * xx - CAST(x AS DOUBLE) * x) * (CAST(n AS DOUBLE) * yy - CAST(y AS DOUBLE) * y) = 0 THEN 0 ELSE greatest(-0.999999, least(0.999999, (CAST(n AS DOUBLE) * xy - CAST(x AS DOUBLE) * y) / sqrt((CAST(n AS DOUBLE) * xx - CAST(x AS DOUBLE) * x) * (CAST(n AS DOUBLE) * yy - CAST(y AS DOUBLE) * y)))) END, 5) AS r FROM p""")
 def corr_edges(spark, sf_dir):
-    image = T.vec_ev(spark, sf_dir)
-    voxels = image.with_data(image.data.select("vox").distinct())
-    pairs = neighbourhoods.shifted(voxels, [o for o in neighbourhoods.cube_offsets(1) if any(o)])
-    pairs = pairs.select(F.col("vox").alias("a"), F.col("near").alias("b"))
-    return graphs.correlations(image, pairs).select("a", "b", "n", F.round("r", 5).alias("r"))
+    return graphs.neighbour_correlations(T.vec_ev(spark, sf_dir)).select("a", "b", "n", F.round("r", 5).alias("r"))
 
 
 _GRAPH = """WITH c AS (SELECT DISTINCT vox, i, j, k FROM vec_ev),
@@ -602,6 +599,44 @@ def graph_smooth(spark, sf_dir):
     return _out(graphs.graph_smooth(image, graphs.correlation_graph([image], topk=4)), 5)
 
 
+def _three_runs(spark, sf_dir):
+    """The days 1 to 10, 11 to 20 and 21 to 31 as runs of their own."""
+    image = T.vec_ev(spark, sf_dir)
+    spans = [(1, 10), (11, 20), (21, 31)]
+    cut = lambda a, b: image.data.where(F.col("t").between(a, b)).select("vox", (F.col("t") - (a - 1)).alias("t"), "value")
+    return image, [image.with_data(cut(a, b), Space((*T.EV.space_dims, b - a + 1))) for a, b in spans]
+
+
+_RUNS = """WITH c AS (SELECT DISTINCT vox, i, j, k FROM vec_ev), runs AS (SELECT vox, t, v, CASE WHEN t <= 10 THEN 0 WHEN t <= 20 THEN 1 ELSE 2 END AS run FROM vec_ev),
+  p AS (SELECT x.run, a.vox AS a, b.vox AS b, any_value((a.i - b.i) ** 2 + (a.j - b.j) ** 2 + (a.k - b.k) ** 2) AS d2, CAST(count(*) AS DOUBLE) AS n, CAST(sum(x.v * y.v) AS DOUBLE) AS xy,
+    CAST(sum(x.v) AS DOUBLE) AS x, CAST(sum(y.v) AS DOUBLE) AS y, CAST(sum(x.v * x.v) AS DOUBLE) AS xx, CAST(sum(y.v * y.v) AS DOUBLE) AS yy
+    FROM c a JOIN c b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND abs(a.k - b.k) <= 1 AND a.vox <> b.vox
+    JOIN runs x ON x.vox = a.vox JOIN runs y ON y.vox = b.vox AND y.t = x.t GROUP BY 1, 2, 3),
+  q AS (SELECT run, a, b, d2, greatest(1.0, n - 3) AS w, CASE WHEN n < 3 OR (n * xx - x * x) * (n * yy - y * y) = 0 THEN 0.0
+    ELSE greatest(-0.999999, least(0.999999, (n * xy - x * y) / sqrt((n * xx - x * x) * (n * yy - y * y)))) END AS r FROM p),
+  o AS (SELECT out.k AS run, a, b, any_value(d2) AS d2, tanh(sum(w * atanh(r)) / sum(w)) AS r FROM q, (VALUES (0), (1), (2)) out(k) WHERE q.run <> out.k GROUP BY 1, 2, 3),
+  e AS (SELECT run, a, b, r * r * exp(-d2 / 8.0) AS w FROM o WHERE r > 1e-9 UNION ALL SELECT out.k, vox, vox, 1e-12 FROM c, (VALUES (0), (1), (2)) out(k)),
+  g AS (SELECT run, a AS vox, b AS near, w / sum(w) OVER (PARTITION BY run, a) AS w FROM e)"""
+
+
+@query(f"{_RUNS} SELECT CAST(run AS INT) AS run, vox, near, round(w, 6) AS w FROM g WHERE w > 1e-6")
+def graph_leave_one_out(spark, sf_dir):
+    """Each run's graph from the two others."""
+    image, runs = _three_runs(spark, sf_dir)
+    every = graphs.leave_one_out_graphs(runs, image.mask(F.lit(True)), topk=0)
+    out = reduce(DataFrame.union, [g.select(F.lit(k).alias("run"), "vox", "near", "w") for k, g in enumerate(every)])
+    return out.where("w > 1e-6").select("run", "vox", "near", F.round("w", 6).alias("w"))
+
+
+@query(f"""{_RUNS}, m AS (SELECT g.run, g.vox, y.t, sum(g.w * y.v) AS v FROM g JOIN runs y ON y.vox = g.near AND y.run = g.run GROUP BY 1, 2, 3)
+  SELECT CAST(x.run AS INT) AS run, x.vox, CAST(x.t - 10 * x.run AS INT) AS t, round(m.v, 4) AS v FROM runs x JOIN m ON m.vox = x.vox AND m.t = x.t AND m.run = x.run""")
+def graph_filter_runs(spark, sf_dir):
+    """Three runs, each smoothed along the graph of the two others."""
+    image, runs = _three_runs(spark, sf_dir)
+    smoothed = graphs.graph_filter(runs, image.mask(F.lit(True)), window=1, leave_one_out=True, topk=0)
+    return reduce(DataFrame.union, [_out(x, 4).select(F.lit(k).alias("run"), "vox", "t", "v") for k, x in enumerate(smoothed)])
+
+
 # other grids
 
 

@@ -132,21 +132,21 @@ def _unpack_runs(packed: str) -> np.ndarray:
 class _Part(InputPartition):
     """Volumes of a file, from 0, and the number that the rows of the file's first volume get."""
 
-    def __init__(self, path: str, times: list[int], base: int = 1):
-        self.path, self.times, self.base = path, times, base
+    def __init__(self, path: str, times: list[int], base: int = 1, packed: bool = False):
+        self.path, self.times, self.base, self.packed = path, times, base, packed
 
 
 class NiftiReader(DataSourceReader):
-    """``times`` (from 1) and ``runs`` (first and last voxel, from 1, rising) say which bytes of a file are read at all.
+    """``times`` (from 1), ``voxels`` (first and last, from 1) and ``runs`` (pairs of these, rising) say which bytes of a file are read at all.
 
     Runs at most ``gap`` voxels apart are read at once, and only the voxels of runs become rows. ``stacked`` counts the
     volumes of all files in one row of numbers.
     """
 
-    def __init__(self, paths: list[str], volumes: int, times: list[int] | None = None, runs: np.ndarray | None = None, gap: int = GAP, stacked: bool = False):
+    def __init__(self, paths: list[str], volumes: int, times: list[int] | None = None, voxels: tuple[int, int] | None = None, runs: np.ndarray | None = None, gap: int = GAP, stacked: bool = False):
         self.paths, self.volumes, self.gap, self.stacked = paths, volumes, gap, stacked
         self.times = None if times is None else sorted(set(times))
-        self.runs = runs
+        self.runs = runs if voxels is None else _within_runs(runs, np.array([voxels]))
 
     def partitions(self):
         with ThreadPoolExecutor(16) as pool:
@@ -156,7 +156,7 @@ class NiftiReader(DataSourceReader):
             asked = range(base, base + there) if self.times is None else [t for t in self.times if base <= t < base + there]
             asked = [t - base for t in asked]
             step = max(1, len(asked)) if packed else self.volumes
-            out += [_Part(path, asked[k : k + step], base) for k in range(0, len(asked), step)]
+            out += [_Part(path, asked[k : k + step], base, packed) for k in range(0, len(asked), step)]
             base += there if self.stacked else 0
         return out or [_Part("", [])]
 
@@ -165,7 +165,7 @@ class NiftiReader(DataSourceReader):
             return
         with open_file(part.path) as file:
             h = read_header(part.path)
-            stream = gzip.GzipFile(fileobj=file) if is_gzip(part.path) else file
+            stream = gzip.GzipFile(fileobj=file) if part.packed else file
             whole, item = math.prod(h.dims[:3]), h.item_size
             runs = np.array([[1, whole]]) if self.runs is None else np.clip(self.runs[(self.runs[:, 1] >= 1) & (self.runs[:, 0] <= whole)], 1, whole)
             for t in part.times:
@@ -215,10 +215,8 @@ class NiftiDataSource(DataSource):
         whole = lambda name: [int(x) for x in self.options[name].split(",")] if self.options.get(name) else None
         paths = json.loads(self.options["paths"]) if self.options.get("paths") else self.options["path"].split(",")
         runs = _unpack_runs(self.options["runs"]) if self.options.get("runs") else None
-        if voxels := whole("voxels"):
-            runs = _within_runs(runs, np.array([voxels]))
         stacked = self.options.get("stacked", "").lower() == "true"
-        return NiftiReader(paths, int(self.options.get("volumes", "8")), whole("times"), runs, int(self.options.get("gap", GAP)), stacked)
+        return NiftiReader(paths, int(self.options.get("volumes", "8")), whole("times"), whole("voxels"), runs, int(self.options.get("gap", GAP)), stacked)
 
 
 #: Voxels of a row of ``scan``'s parts, and values that a task of it reads.
