@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import runtime
 from ..functions import colours
 from ..image import Image
-from ..operators import aggregates, components, filters, graphs, joins, neighbourhoods, resampling, sets, stencils, windows
+from ..operators import aggregates, components, filters, graphs, hyper, joins, neighbourhoods, resampling, sets, stencils, windows
 from ..sources import nifti
 from ..space import Space
 from . import files, geometry  # noqa: F401 (their queries are registered)
@@ -707,6 +707,36 @@ def hyper_vec(spark, sf_dir):
     return sets.hyper({"qty": li, "twice": li.map(lambda v: v * 2)}).withColumnRenamed("value", "v")
 
 
+def _hyper(spark, sf_dir) -> hyper.HyperImage:
+    """Trials and two features of the line items, in small chunks on a table."""
+    li = T.vec_li(spark, sf_dir)
+    rows = sets.hyper({"1": li, "2": li.map(lambda v: v * 2)}).select(F.col("feature").cast("int").alias("feature"), F.col("t").alias("trial"), "vox", "value")
+    image = hyper.from_cells(Space((*T.LI.dims, 2)), rows, (4, 4, 4, 3, 1))
+    return image.write(f"{runtime.shared_dir(spark)}/hyper-{uuid.uuid4().hex}")
+
+
+_CELLS = "five AS (SELECT 1 AS feature, t AS trial, vox, i, j, k, CAST(v AS DOUBLE) AS v FROM vec_li UNION ALL SELECT 2, t, vox, i, j, k, CAST(2 * v AS DOUBLE) FROM vec_li)"
+_EVERY = "grid AS (SELECT f.n AS feature, t.n AS trial, x.n AS vox FROM (SELECT UNNEST(range(1, 3)) AS n) f, (SELECT UNNEST(range(1, 8)) AS n) t, (SELECT UNNEST(range(1, 1793)) AS n) x)"
+
+
+@query(f"WITH {_CELLS} SELECT DISTINCT g.feature, CAST(g.trial AS INT) AS trial, g.vox, coalesce(b.v, 0) AS v FROM (SELECT p.vox, f.n AS feature, u.n AS trial FROM five p, (VALUES (2)) f(n), (VALUES (2), (5), (6)) u(n) WHERE p.i BETWEEN 3 AND 9 AND p.j IN (1, 8, 16) AND p.k <= 5 AND p.feature = 2 AND (p.trial - 1) // 3 = (u.n - 1) // 3) g LEFT JOIN five b ON b.feature = g.feature AND b.trial = g.trial AND b.vox = g.vox")
+def hyper_subset(spark, sf_dir):
+    """Cells of a five-dimensional image by conditions on every axis; a voxel that holds a value in a chunk has all of the chunk's trials."""
+    cells = hyper.subset(_hyper(spark, sf_dir), i=(3, 9), j=[1, 8, 16], k=(1, 5), trial=[2, 5, 6], feature=[2])
+    return cells.withColumnRenamed("value", "v")
+
+
+@query(f"WITH {_CELLS}, {_EVERY} SELECT CAST(g.feature AS INT) AS feature, CAST(g.trial AS INT) AS trial, g.vox, coalesce(five.v, 0) AS v FROM grid g LEFT JOIN five ON five.feature = g.feature AND five.trial = g.trial AND five.vox = g.vox")
+def hyper_dense(spark, sf_dir):
+    return hyper.dense(_hyper(spark, sf_dir)).withColumnRenamed("value", "v")
+
+
+@query(f"WITH {_CELLS}, {_EVERY} SELECT CAST(g.feature AS INT) AS feature, CAST(g.trial AS INT) AS trial, coalesce(five.v, 0) AS v FROM grid g LEFT JOIN five ON five.feature = g.feature AND five.trial = g.trial AND five.vox = g.vox WHERE g.vox = 2 + 4 * 16 + 2 * 256")
+def hyper_series(spark, sf_dir):
+    """Features and trials at the voxel (2, 5, 3)."""
+    return hyper.series(_hyper(spark, sf_dir), 2, 5, 3).withColumnRenamed("value", "v")
+
+
 @query("WITH u AS (SELECT vec_id, UNNEST(embedding) AS x, UNNEST(range(1, 65)) AS t FROM embeddings) SELECT vec_id + 1 AS vox, CAST(t AS INT) AS t, round((x::DOUBLE - avg(x::DOUBLE) OVER w) / stddev_samp(x::DOUBLE) OVER w, 5) AS v FROM u WINDOW w AS (PARTITION BY vec_id)")
 def emb_scale(spark, sf_dir):
     e = T.read(spark, sf_dir, "embeddings").select((F.col("vec_id") + 1).alias("vox"), F.posexplode("embedding").alias("t", "value"))
