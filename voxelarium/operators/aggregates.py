@@ -6,6 +6,8 @@ import itertools
 import math
 import warnings
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -183,32 +185,124 @@ def downsample_sparse(image: Image, new_dims: tuple[int, int, int]) -> Image:
     return Image(space, binned.groupBy(*image.keys).agg(F.avg("value").alias("value")))
 
 
-def partition(mask: Image, k: int, rounds: int = 200, seed: int = 1) -> DataFrame:
-    """``(vox, cluster)``: k-means of the mask's world coordinates. Only the k centers come to the driver.
-
-    Rounds go on until no center moves; a warning tells where ``rounds`` of them were not enough.
+class Centers:
+    """Centers of clusters and what is known of their distances; of the size of their number alone."""
+
+    def __init__(self, at: np.ndarray, before: np.ndarray | None = None):
+        self.at = at
+        #: How far each has moved, and how far any other one of them has at most.
+        self.moved = np.zeros(len(at)) if before is None else np.sqrt(((at - before) ** 2).sum(axis=1))
+        top = np.sort(self.moved)[::-1]
+        first = int(self.moved.argmax())
+        self.others = np.full(len(at), top[0])
+        self.others[first] = top[1] if len(at) > 1 else 0.0
+        # half the way to the next center: a point nearer than that has no nearer one
+        self.half = np.full(len(at), np.inf)
+        for s in range(0, len(at), 512):
+            d = np.sqrt(((at[s : s + 512, None] - at[None]) ** 2).sum(axis=2))
+            d[np.arange(len(d)), np.arange(s, s + len(d))] = np.inf
+            self.half[s : s + 512] = d.min(axis=1, initial=np.inf) / 2
+
+    def squared(self, p: np.ndarray, some: np.ndarray) -> np.ndarray:
+        """Squared distances of points to some centers, summed in the order of the axes."""
+        d = [p[:, None, n] - self.at[None, some, n] for n in range(3)]
+        return (d[0] * d[0] + d[1] * d[1]) + d[2] * d[2]
+
+    def search(self, p: np.ndarray, side: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The nearest center of each point (of equals the first), its distance and that of the next one.
+
+        Points are taken by cubes. A center that is nearest to any point of a cube is, seen from the cube's middle, no
+        further than the nearest one and the cube's diagonal; the second one is no further than the second and the diagonal.
+        """
+        label, near, next_ = np.zeros(len(p), np.int64), np.zeros(len(p)), np.full(len(p), np.inf)
+        cubes, of = np.unique(np.floor(p / side), axis=0, return_inverse=True)
+        order = np.argsort(of.ravel(), kind="stable")
+        ends = np.cumsum(np.bincount(of.ravel(), minlength=len(cubes)))
+        reach = side * math.sqrt(3) * (1 + 1e-9)
+        for c, (start, end) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+            rows = order[start:end]
+            middle = np.sqrt(self.squared((cubes[c] + 0.5)[None] * side, np.arange(len(self.at)))[0])
+            bound = np.partition(middle, 1)[1] if len(middle) > 1 else middle[0]
+            some = np.flatnonzero(middle <= bound + reach)
+            d = self.squared(p[rows], some)
+            best = d.argmin(axis=1)
+            label[rows], near[rows] = some[best], np.sqrt(d[np.arange(len(rows)), best])
+            if len(some) > 1:
+                d[np.arange(len(rows)), best] = np.inf
+                next_[rows] = np.sqrt(d.min(axis=1))
+        return label, near, next_
+
+    def assign(self, side: float):
+        """Points ``(vox, x, y, z, cluster, upper, lower, skipped)`` with the clusters of these centers.
+
+        ``upper`` is at least the distance of a point's center, ``lower`` at most that of any other. They follow the
+        centers' moves, and a point whose upper bound stays under the lower one, or under half the way to the next center, keeps its
+        cluster without a search.
+        """
+
+        def run(batches):
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                p = np.stack([np.asarray(b.column(n), float) for n in (1, 2, 3)], axis=1)
+                label, upper, lower = (np.asarray(b.column(n)).copy() for n in (4, 5, 6))
+                fresh = label < 0
+                own = np.where(fresh, 0, label)
+                upper, lower = upper + self.moved[own], lower - self.others[own]
+                bound = np.maximum(lower, self.half[own]) * (1 - 1e-12)
+                open_ = fresh | (upper >= bound)
+                again = np.flatnonzero(open_ & ~fresh)
+                d = p[again] - self.at[own[again]]
+                upper[again] = np.sqrt((d[:, 0] * d[:, 0] + d[:, 1] * d[:, 1]) + d[:, 2] * d[:, 2])
+                open_[again] = upper[again] >= bound[again]
+                rows = np.flatnonzero(open_)
+                label[rows], upper[rows], lower[rows] = self.search(p[rows], side)
+                columns = [b.column(0), *[pa.array(p[:, n]) for n in range(3)], pa.array(label), pa.array(upper), pa.array(lower), pa.array(~open_)]
+                yield pa.RecordBatch.from_arrays(columns, ["vox", "x", "y", "z", "cluster", "upper", "lower", "skipped"])
+
+        return run
+
+
+_ASSIGNED = "vox long, x double, y double, z double, cluster long, upper double, lower double, skipped boolean"
+
+
+def partition(mask: Image, k: int, rounds: int = 200, seed: int = 1, first: list[tuple[float, float, float]] | None = None) -> DataFrame:
+    """``(vox, cluster)``: k-means of the mask's world coordinates, from ``first`` centers or from ``k`` drawn voxels.
+
+    Rounds go on until no center moves; a warning tells where ``rounds`` of them were not enough. To the driver come the k
+    centers of a round. A round searches the cubes around a voxel only where the bounds of its distances leave its cluster open; it
+    is written and the one before deleted.
     """
-    points = runtime.materialize(mask.with_coords().select("vox", "x", "y", "z"), "points")
-    first = points.orderBy(F.xxhash64(F.lit(seed), "vox")).limit(k).collect()
-    centers = [(r.x, r.y, r.z) for r in first]
-
-    def assign(at) -> DataFrame:
-        far = [F.struct(((F.col("x") - a) ** 2 + (F.col("y") - b) ** 2 + (F.col("z") - c) ** 2).alias("d"), F.lit(n).alias("c")) for n, (a, b, c) in enumerate(at, 1)]
-        return points.withColumn("cluster", F.array_min(F.array(*far))["c"])
-
+    spark = mask.data.sparkSession
+    points = mask.with_coords().select("vox", "x", "y", "z").dropDuplicates(["vox"])
+    path, points = runtime.write_table(points.withColumns({"cluster": F.lit(-1).cast("long"), "upper": F.lit(0.0), "lower": F.lit(0.0)}), "points")
+    if first is None:
+        first = [(r.x, r.y, r.z) for r in points.orderBy(F.xxhash64(F.lit(seed), "vox"), "vox").limit(k).collect()]
+    if not first:
+        return points.select("vox", F.col("cluster").cast("int").alias("cluster"))
+    centers = Centers(np.array(first, float))
+    extent = points.agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in "xyz"]).first()
+    # cubes of about the size of a cluster
+    side = max((math.prod(max(extent[c] or 0.0, min(mask.space.spacing)) for c in "xyz") / len(first)) ** (1 / 3), min(mask.space.spacing)) if extent.n else 1.0
     for _ in range(rounds):
-        moved = assign(centers).groupBy("cluster").agg(*[F.avg(c).alias(c) for c in "xyz"]).collect()
-        new = list(centers)
-        for r in moved:
-            new[r.cluster - 1] = (r.x, r.y, r.z)
+        new_path, points = runtime.write_table(points.select(*_names(_ASSIGNED)[:-1]).mapInArrow(centers.assign(side), _ASSIGNED), "points")
+        runtime.delete_table(spark, path)
+        path, at = new_path, centers.at.copy()
+        for r in points.groupBy("cluster").agg(*[F.avg(c).alias(c) for c in "xyz"]).collect():
+            at[r.cluster] = (r.x, r.y, r.z)
         # sums in another order differ in their last digits
-        still = all(math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-9) for p, q in zip(new, centers) for a, b in zip(p, q))
-        centers = new
-        if still:
+        if np.allclose(at, centers.at, rtol=1e-12, atol=1e-9):
             break
+        centers = Centers(at, centers.at)
     else:
         warnings.warn(f"k-means: centers still move after {rounds} rounds", stacklevel=2)
-    return assign(centers).select("vox", "cluster")
+        new_path, points = runtime.write_table(points.select(*_names(_ASSIGNED)[:-1]).mapInArrow(centers.assign(side), _ASSIGNED), "points")
+        runtime.delete_table(spark, path)
+    return points.select("vox", (F.col("cluster") + 1).cast("int").alias("cluster"))
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 def split_blocks(image: Image, blocks: DataFrame) -> DataFrame:
@@ -268,8 +362,62 @@ def cluster_searchlight_series(image: Image, parcels: DataFrame, k: int | None =
     return cluster_neighbours(image.space, parcels, k, radius).join(means, "near").select("cluster", "near", "rank", "t", "value")
 
 
+#: Times of a tile.
+TILE_TIMES = 512
+_TYPES = {"tinyint": "int8", "smallint": "int16", "int": "int32", "bigint": "int64", "float": "float32", "double": "float64"}
+
+
+def matrix_tiles(image: Image, width: int = TILE_TIMES) -> DataFrame:
+    """``(vox, tile, values)``: the series as rows of a matrix, cut into tiles of ``width`` times (from 0); absent values are 0.
+
+    A tile's values are gathered with their places and put into one array in a pass, so the plan is the same for any
+    number of times, and a row is never longer than a tile. Of values that repeat a time the greatest counts.
+    """
+    n, kind = int(image.space.dims[3]), image.data.schema["value"].dataType.simpleString()
+    kind = kind if kind in _TYPES else "double"
+    place = (F.col("t") - 1).cast("int")
+    rows = image.data.where(F.col("t").between(1, n) & F.col("value").isNotNull())
+    rows = rows.select("vox", F.floor(place / width).cast("int").alias("tile"), F.struct((place % width).alias("at"), F.col("value").cast(kind).alias("value")).alias("cell"))
+    held = rows.groupBy("vox", "tile").agg(F.collect_list("cell").alias("cells"))
+
+    def run(batches):
+        for b in batches:
+            cells = b.column(2)
+            sizes = np.diff(np.asarray(cells.offsets)) if len(cells) else np.zeros(0, np.int64)
+            flat = cells.flatten()
+            at, values = np.asarray(flat.field("at")), np.asarray(flat.field("value"))
+            row = np.repeat(np.arange(len(cells)), sizes)
+            wide = np.minimum(width, n - np.asarray(b.column(1)).astype(np.int64) * width)
+            start = np.cumsum(wide) - wide
+            out = np.zeros(int(wide.sum()), _TYPES[kind])
+            order = np.argsort(values, kind="stable")
+            out[start[row[order]] + at[order]] = values[order]
+            lists = pa.ListArray.from_arrays(pa.array(np.append(start, wide.sum()).astype(np.int32)), pa.array(out))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["vox", "tile", "values"])
+
+    return held.mapInArrow(run, f"vox long, tile int, values array<{kind}>")
+
+
 def to_matrix(image: Image, times: list[int] | None = None) -> DataFrame:
-    """A row a voxel and a column ``t<n>`` a time, absent values 0; for series of few times."""
-    times = times or list(range(1, int(image.space.dims[3]) + 1))
-    columns = [F.coalesce(F.max(F.when(F.col("t") == t, F.col("value"))), F.lit(0)).alias(f"t{t}") for t in times]
-    return image.data.groupBy("vox").agg(*columns)
+    """A row a voxel and a column ``t<n>`` a time, absent values 0; ``matrix_tiles`` has arrays instead of columns, for long series.
+
+    Voxels without any value have no row.
+    """
+    n = int(image.space.dims[3])
+    times = times or list(range(1, n + 1))
+    first = Space((*image.space.space_dims, n), trans=image.space.trans)
+    rows = matrix_tiles(image.with_data(image.data, first), n)
+    return rows.select("vox", *[F.col("values")[t - 1].alias(f"t{t}") for t in times])
+
+
+def matricized(image: Image) -> DataFrame:
+    """``(col, vox)``: the columns of the matrix of times by voxels, the voxels that hold a value, numbered from 1 by their index."""
+    return runtime.numbered(image.data.select("vox").distinct(), "col", "vox").select("col", "vox")
+
+
+def matricized_access(image: Image, cells: DataFrame) -> DataFrame:
+    """``(t, col, value)`` at the places ``(t, col)`` of that matrix, or, without ``t``, of whole columns; absent values are 0."""
+    asked = cells.join(matricized(image), "col")
+    if "t" not in cells.columns:
+        asked = asked.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(int(image.space.dims[3])))))
+    return asked.join(image.data.select("vox", "t", "value"), ["vox", "t"], "left").select("t", "col", F.coalesce("value", F.lit(0)).alias("value"))

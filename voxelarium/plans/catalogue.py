@@ -753,9 +753,28 @@ def emb_corr(spark, sf_dir):
     return graphs.correlations(image, pairs).select("a", "b", F.round("r", 5).alias("r"))
 
 
-@query("SELECT vox, CAST(coalesce(MAX(CASE WHEN t = 1 THEN v END), 0) AS BIGINT) AS t1, CAST(coalesce(MAX(CASE WHEN t = 7 THEN v END), 0) AS BIGINT) AS t7 FROM vec_li GROUP BY vox")
+_BY_TIME = ", ".join(f"CAST(coalesce(MAX(CASE WHEN t = {t} THEN v END), 0) AS BIGINT) AS t{t}" for t in range(1, 8))
+
+
+@query(f"SELECT vox, {_BY_TIME} FROM vec_li GROUP BY vox")
 def to_matrix(spark, sf_dir):
-    return aggregates.to_matrix(T.vec_li(spark, sf_dir), [1, 7])
+    return aggregates.to_matrix(T.vec_li(spark, sf_dir))
+
+
+@query("""WITH c AS (SELECT DISTINCT vox FROM vec_ev), g AS (SELECT vox, t.n AS t FROM c, (SELECT UNNEST(range(1, 32)) AS n) t), x AS (SELECT g.vox, g.t, coalesce(v, 0) AS v FROM g LEFT JOIN vec_ev e ON e.vox = g.vox AND e.t = g.t)
+  SELECT vox, CAST((t - 1) // 10 AS INT) AS tile, string_agg(CAST(v AS VARCHAR), ',' ORDER BY t) AS v FROM x WHERE (vox, (t - 1) // 10) IN (SELECT (vox, (t - 1) // 10) FROM vec_ev) GROUP BY 1, 2""")
+def matrix_tiles(spark, sf_dir):
+    """Series in tiles of ten times."""
+    rows = aggregates.matrix_tiles(T.vec_ev(spark, sf_dir), 10)
+    return rows.select("vox", "tile", F.array_join(F.col("values").cast("array<string>"), ",").alias("v"))
+
+
+@query("""WITH n AS (SELECT vox, row_number() OVER (ORDER BY vox) AS col FROM (SELECT DISTINCT vox FROM vec_ev) u), a AS (SELECT x AS col, 1 + x % 31 AS t FROM (SELECT UNNEST(range(1, 500)) AS x) r)
+  SELECT CAST(a.t AS INT) AS t, a.col, coalesce(v, 0) AS v FROM a JOIN n USING (col) LEFT JOIN vec_ev e ON e.vox = n.vox AND e.t = a.t""")
+def matricized_access(spark, sf_dir):
+    """Single cells of the matrix of times by voxels."""
+    cells = spark.range(1, 500).select((1 + F.col("id") % 31).cast("int").alias("t"), F.col("id").alias("col"))
+    return aggregates.matricized_access(T.vec_ev(spark, sf_dir), cells).withColumnRenamed("value", "v")
 
 
 @query("""WITH c AS (SELECT cluster, AVG(i) AS x, AVG(j) AS y, AVG(k) AS z FROM parcel GROUP BY cluster),
@@ -806,6 +825,28 @@ def resampled_searchlight(spark, sf_dir):
     return neighbourhoods.resampled_searchlight(_mask(spark, sf_dir), 2.0, draws=50)
 
 
+#: First centers of the k-means with SQL, in world coordinates, and the rounds that its SQL goes on for (it comes to rest before).
+_FIRST = [(2.0, 2.0, 1.0), (12.0, 3.0, 1.0), (3.0, 12.0, 2.0), (13.0, 13.0, 1.0), (2.0, 3.0, 5.0), (12.0, 2.0, 5.0), (3.0, 13.0, 4.0), (8.0, 8.0, 3.0)]
+_ROUNDS = 60
+
+
+def _kmeans_sql() -> str:
+    d = " + ".join(f"(p.{a} - c.{a}) * (p.{a} - c.{a})" for a in "xyz")
+    parts = ["p AS MATERIALIZED (SELECT vox, CAST(i - 1 AS DOUBLE) AS x, CAST(j - 1 AS DOUBLE) AS y, CAST(k - 1 AS DOUBLE) AS z FROM mask)"]
+    parts.append("c0(n, x, y, z) AS MATERIALIZED (VALUES " + ", ".join(f"({n}, {x}::DOUBLE, {y}::DOUBLE, {z}::DOUBLE)" for n, (x, y, z) in enumerate(_FIRST, 1)) + ")")
+    for r in range(_ROUNDS):
+        parts.append(f"a{r} AS MATERIALIZED (SELECT vox, any_value(p.x) AS x, any_value(p.y) AS y, any_value(p.z) AS z, arg_min(c.n, {{'d': {d}, 'n': c.n}}) AS n FROM p, c{r} c GROUP BY vox)")
+        mean = ", ".join(f"coalesce(avg(a.{a}), any_value(c.{a})) AS {a}" for a in "xyz")
+        parts.append(f"c{r + 1} AS MATERIALIZED (SELECT c.n, {mean} FROM c{r} c LEFT JOIN a{r} a ON a.n = c.n GROUP BY c.n)")
+    return f"WITH {MASK}, {', '.join(parts)} SELECT vox, CAST(n AS INT) AS cluster FROM a{_ROUNDS - 1}"
+
+
+@query(_kmeans_sql())
+def partition_first(spark, sf_dir):
+    """k-means from given first centers."""
+    return aggregates.partition(_mask(spark, sf_dir), len(_FIRST), first=_FIRST)
+
+
 @query(None)
 def partition_kmeans(spark, sf_dir):
     return aggregates.partition(_mask(spark, sf_dir), 8)

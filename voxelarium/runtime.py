@@ -31,6 +31,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_table(df: DataFrame, name: str) -> tuple[str, DataFrame]:
+    """``materialize`` with the path, for who deletes it with ``delete_table``."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path, df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def delete_table(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def numbered(frame: DataFrame, name: str, *order) -> DataFrame:
     """``frame``, written, with the column ``name`` that counts its rows from 1 in the given order.
 
