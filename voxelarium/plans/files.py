@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .. import runtime
 from ..image import Image
 from ..operators import sets
-from ..sources import headers, nifti
+from ..sources import afni, headers, nifti, niml
 from ..space import Space
 from . import tables as T
 from .registry import MASK, mask_of, out, query
@@ -110,10 +110,39 @@ def nifti_header(spark, sf_dir):
     return spark.createDataFrame(list(fields.items()), "field string, value string")
 
 
-@query("SELECT a.n + 1 AS at, b.k + 1 AS col, CAST(3 * a.n + b.k AS DOUBLE) / 2 AS v FROM (SELECT UNNEST(range(0, 4)) AS n) a, (SELECT UNNEST(range(0, 3)) AS k) b")
-def niml_table(spark, sf_dir):
-    """The table of a NIML element."""
-    text = " ".join(str(n / 2) for n in range(12))
-    [element] = headers.parse_niml(f'<SPARSE_DATA ni_type="3*float" ni_dimen="4">{text}</SPARSE_DATA>'.encode())
-    rows = [(r + 1, c + 1, float(v)) for r, row in enumerate(element["data"]) for c, v in enumerate(row)]
-    return spark.createDataFrame(rows, "at long, col long, v double")
+def _orders(spark, sf_dir):
+    """``(row, col, value)``: the mask's voxels, and their quantity and half of it."""
+    rows = runtime.numbered(mask_of(spark, sf_dir).data.select("vox", "value"), "row", "vox")
+    rows = runtime.materialize(rows, "rows")
+    pair = lambda col, value: rows.select("row", F.lit(col).alias("col"), value.cast("double").alias("value"))
+    return pair(1, F.col("vox")), pair(1, F.col("value")).union(pair(2, F.col("value") / 2)), rows.count()
+
+
+_NIML = f"""WITH {MASK}, r AS (SELECT row_number() OVER (ORDER BY vox) AS row, vox, v FROM mask),
+  listed AS (SELECT 1 AS element, row, 1 AS col, CAST(vox AS DOUBLE) AS v FROM r UNION ALL SELECT 2, row, 1, CAST(v AS DOUBLE) FROM r UNION ALL SELECT 2, row, 2, v / 2.0::DOUBLE FROM r)"""
+
+
+def _niml(spark, sf_dir, binary: bool):
+    nodes, values, n = _orders(spark, sf_dir)
+    path = f"{runtime.shared_dir(spark)}/table-{uuid.uuid4().hex}.niml.dset"
+    niml.write_tables(path, [("INDEX_LIST", nodes, n, "int", 1), ("SPARSE_DATA", values, n, "float", 2)], binary)
+    return niml.read_tables(spark, path, range_bytes=1500).withColumnRenamed("value", "v")
+
+
+@query(f"{_NIML} SELECT CAST(element AS INT) AS element, row, CAST(col AS INT) AS col, v FROM listed")
+def niml_text(spark, sf_dir):
+    """Tables of a file of text elements, found and read by byte ranges."""
+    return _niml(spark, sf_dir, False)
+
+
+@query(f"{_NIML} SELECT CAST(element AS INT) AS element, row, CAST(col AS INT) AS col, v FROM listed")
+def niml_binary(spark, sf_dir):
+    return _niml(spark, sf_dir, True)
+
+
+@query(f"WITH {_DENSE} SELECT vox, t, CASE WHEN t IN (2, 3) THEN round_even(v / 4, 0) * 4 ELSE v END AS v FROM dense")
+def afni_bricks(spark, sf_dir):
+    """Volumes of types and factors of their own: floats, shorts in steps of 4, and longer integers."""
+    path = f"{runtime.shared_dir(spark)}/set-{uuid.uuid4().hex}+orig.HEAD"
+    afni.write_afni(T.vec_li(spark, sf_dir), path, ["f4", "i2", "i2", "f8", "i4", "i4", "f4"], [0, 4, 4, 0, 0, 1, 0.5])
+    return out(afni.read_afni(spark, path))

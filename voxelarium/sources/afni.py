@@ -8,10 +8,11 @@ import re
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from ..image import Image
 from . import headers
-from .nifti import open_file
+from .nifti import append_files, open_file, place_of, write_values
 
 #: Data types by AFNI's code (fixed values).
 BRICK_TYPES = {0: "u1", 1: "i2", 2: "i4", 3: "f4", 4: "f8"}
@@ -70,3 +71,42 @@ def read_afni(spark: SparkSession, head_path: str) -> Image:
 
     rows = spark.range(1, times + 1, 1, times).mapInArrow(run, "vox long, t int, value double")
     return Image(space, rows if times > 1 else rows.select("vox", "value"))
+
+
+def write_afni(image: Image, head_path: str, kinds: list[str] | None = None, factors: list[float] | None = None) -> None:
+    """Writes a dataset: ``.HEAD`` and ``.BRIK``. Each volume has a type (``f4`` if none) and a factor (0: none) of its own.
+
+    Volumes of one type that follow each other are written together, by many tasks; integers are rounded and cut to their range.
+    """
+    times = int(image.space.dims[3]) if image.is_series else 1
+    kinds, factors = kinds or ["f4"] * times, [float(f) for f in factors or [0.0] * times]
+    if len(kinds) != times or len(factors) != times:
+        raise ValueError(f"{len(kinds)} types and {len(factors)} factors for {times} volumes")
+    codes = {name: code for code, name in BRICK_TYPES.items()}
+    n, stem, trans = image.space.n_vox, stem_of(head_path), image.space.trans
+    spans = [0, *[t for t in range(1, times) if kinds[t] != kinds[t - 1]], times]
+    t = F.col("t").cast("int") if image.is_series else F.lit(1)
+    scale = F.array(*[F.lit(f or 1.0) for f in factors])
+    rows = image.data.select(t.alias("t"), "vox", (F.col("value").cast("double") / scale[t - 1]).alias("value"))
+    parts = []
+    for a, b in zip(spans, spans[1:]):
+        some = rows.where(F.col("t").between(a + 1, b)).select(((F.col("t") - 1 - a).cast("long") * n + F.col("vox") - 1).alias("at"), "value")
+        parts.append(f"{stem}.BRIK.{a}")
+        write_values(some, (b - a) * n, parts[-1], dtype=kinds[a])
+    append_files(parts, f"{stem}.BRIK")
+    # the codes of the axes are even where they run against the world's, whose first two run to the left and the back
+    axes = [int(np.abs(trans[:3, axis]).argmax()) for axis in range(3)]
+    turned = [trans[w, 3] * (-1 if w < 2 else 1) for w in axes]
+    steps = [trans[w, axis] * (-1 if w < 2 else 1) for axis, w in enumerate(axes)]
+    orient = [2 * w + (0 if step > 0 else 1) for w, step in zip(axes, steps)]
+    attributes = [
+        ("string", "TYPESTRING", "3DIM_HEAD_ANAT"), ("string", "BYTEORDER_STRING", "LSB_FIRST"), ("integer", "DATASET_RANK", [3, times, 0, 0, 0, 0, 0, 0]), ("integer", "DATASET_DIMENSIONS", [*image.space.space_dims, 0, 0]),
+        ("integer", "ORIENT_SPECIFIC", orient), ("float", "ORIGIN", turned), ("float", "DELTA", steps), ("integer", "BRICK_TYPES", [codes[k] for k in kinds]), ("float", "BRICK_FLOAT_FACS", factors),
+    ]
+    text = []
+    for kind, name, content in attributes:
+        body = f"'{content}~" if kind == "string" else " " + " ".join(map(repr, map(float if kind == "float" else int, content)))
+        text.append(f"\ntype  = {kind}-attribute\nname  = {name}\ncount = {len(content) + (kind == 'string')}\n{body}\n")
+    files, local = place_of(head_path)
+    with files.open_output_stream(local, compression=None) as out:
+        out.write("".join(text).encode())

@@ -414,16 +414,19 @@ class _Writer(DataSourceArrowWriter):
     def __init__(self, plan: dict):
         self.plan = plan
         self.files, self.final = place_of(plan["path"])
-        self.header = base64.b64decode(plan["header"])
+        self.header, self.trailer = base64.b64decode(plan["header"]), base64.b64decode(plan["trailer"])
         self.own = f"{self.final}.{plan['run']}"
 
     @property
     def in_place(self) -> bool:
         from pyarrow import fs
 
-        return isinstance(self.files, fs.LocalFileSystem) and not self.plan["gzip"]
+        return isinstance(self.files, fs.LocalFileSystem) and not self.plan["gzip"] and not self.plan["columns"]
 
     def _encode(self, values: np.ndarray) -> bytes:
+        if columns := self.plan["columns"]:
+            rows = values.reshape(-1, columns).tolist()
+            return "".join(" ".join(str(int(v)) if v.is_integer() else repr(v) for v in row) + "\n" for row in rows).encode()
         kind = np.dtype(self.plan["dtype"]).newbyteorder("<")
         if kind.kind == "f":
             return values.astype(kind).tobytes()
@@ -483,6 +486,8 @@ class _Writer(DataSourceArrowWriter):
         if self.in_place:
             with self._open_place() as file:
                 file.write(self.header)
+                file.seek(0, os.SEEK_END)
+                file.write(self.trailer)
             os.replace(self.own, self.final)
             return
         joined = f"{self.own}.joined"
@@ -492,6 +497,8 @@ class _Writer(DataSourceArrowWriter):
                 with self.files.open_input_file(parts[k]) as file:
                     while some := file.read(8 << 20):
                         out.write(some)
+            if self.trailer:
+                out.write(_member(self.trailer) if self.plan["gzip"] else self.trailer)
         self.files.move(joined, self.final)
         self.abort(messages)
 
@@ -521,18 +528,46 @@ def write_image(image: Image, path: str, dtype: str | None = None, tr: float = 1
     extensions = [*extensions, *([headers.label_extension(list(image.labels))] if any(image.labels) else [])]
     h = headers.header_of(image.space, dtype, slope, inter, tr, extensions=extensions, version=version)
     n, total = image.space.n_vox, math.prod(image.space.dims)
-    spark = image.data.sparkSession
+    t = F.col("t").cast("long") - 1 if image.is_series else F.lit(0)
+    rows = image.data.select((t * n + F.col("vox") - 1).cast("long").alias("at"), F.col("value").cast("double").alias("value"))
+    write_values(rows, total, path, headers.pack(h), dtype=dtype, slope=slope, inter=inter, part_values=part_values, packed=path.endswith(".gz"))
+
+
+def write_values(
+    rows: DataFrame, total: int, path: str, header: bytes = b"", trailer: bytes = b"", dtype: str = "f4", slope: float = 1.0, inter: float = 0.0,
+    part_values: int = PART_VALUES, packed: bool = False, columns: int = 0,
+) -> None:
+    """Writes ``(at, value)``, places from 0 to ``total`` less 1, between a header and a trailer, by many tasks; absent values are 0.
+
+    With ``columns`` the values are text, a line for so many; ``part_values`` must then be a multiple of them.
+    """
+    spark = rows.sparkSession
+    part_values = part_values // max(1, columns) * max(1, columns) or columns
     plan = {
-        "path": path, "header": base64.b64encode(headers.pack(h)).decode(), "dtype": dtype, "slope": slope, "inter": inter, "total": total, "part_values": part_values,
-        "gzip": path.endswith(".gz"), "run": f"writing-{uuid.uuid4().hex}",
+        "path": path, "header": base64.b64encode(header).decode(), "trailer": base64.b64encode(trailer).decode(), "dtype": dtype, "slope": slope, "inter": inter, "total": total,
+        "part_values": part_values, "gzip": packed, "columns": columns, "run": f"writing-{uuid.uuid4().hex}",
     }
     files, final = place_of(path)
     files.create_dir(final.rpartition("/")[0] or ".")
     spark.dataSource.register(NiftiSink)
     parts = -(-total // part_values)
-    t = F.col("t").cast("long") - 1 if image.is_series else F.lit(0)
-    rows = image.data.select((t * n + F.col("vox") - 1).cast("long").alias("at"), F.col("value").cast("double").alias("value")).where(F.col("at").between(0, total - 1))
+    rows = rows.where(F.col("at").between(0, total - 1))
     rows = rows.select(F.floor(F.col("at") / part_values).alias("part"), "at", "value")
     every = spark.range(parts).select(F.col("id").alias("part"), F.lit(None).cast("long").alias("at"), F.lit(None).cast("double").alias("value"))
-    dealt = rows.unionByName(every).repartition(min(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), "part")
+    dealt = rows.unionByName(every).repartition(max(1, min(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))), "part")
     dealt.sortWithinPartitions("part", "at", "value").write.format("nifti_sink").option("plan", json.dumps(plan)).mode("append").save()
+
+
+def append_files(parts: list[str], path: str) -> None:
+    """Makes one file of several, in bounded memory; it appears whole, and its parts go."""
+    files, final = place_of(path)
+    own = f"{final}.{uuid.uuid4().hex}"
+    with files.open_output_stream(own, compression=None) as out:
+        for part in parts:
+            with open_file(part) as file:
+                while some := file.read(8 << 20):
+                    out.write(some)
+    files.move(own, final)
+    for part in parts:
+        some, local = place_of(part)
+        some.delete_file(local)
