@@ -177,6 +177,12 @@ def embed_kernel(image: Image, offsets, weights, center: tuple[int, int, int]) -
     return image.with_data(spark.createDataFrame(inside, "vox long, value double"))
 
 
+def embed_kernels(centers: Image, offsets, weights) -> DataFrame:
+    """``(center, vox, value)``: a kernel set at each voxel, cut off at the bounds of the grid."""
+    placed = shifted(centers.with_data(centers.data.select("vox")), offsets, [float(w) for w in weights])
+    return placed.select(F.col("vox").alias("center"), F.col("near").alias("vox"), F.col("w").alias("value"))
+
+
 def despike(image: Image, mask: Image, k: float = 3.5, window: int = 1) -> Image:
     """Values further than k deviations (by the median) from their box mean become the median of good in-mask neighbours."""
     inside = image.with_data(_within(image.data, image, mask))

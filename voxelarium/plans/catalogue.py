@@ -14,7 +14,7 @@ from ..image import Image
 from ..operators import aggregates, components, filters, graphs, hyper, joins, neighbourhoods, resampling, sets, stencils, windows
 from ..sources import nifti
 from ..space import Space
-from . import files, geometry  # noqa: F401 (their queries are registered)
+from . import files, geometry, masks  # noqa: F401 (their queries are registered)
 from . import tables as T
 from .registry import MASK, ORACLE, QUERIES, query  # noqa: F401
 from .registry import mask_of as _mask
@@ -345,11 +345,6 @@ def argmax_per_cluster(spark, sf_dir):
 # neighbourhoods
 
 
-@query("SELECT CAST(a.x AS INT) AS x, CAST(b.x AS INT) AS y, CAST(c.x AS INT) AS z FROM (SELECT UNNEST(range(-2, 3)) AS x) a, (SELECT UNNEST(range(-2, 3)) AS x) b, (SELECT UNNEST(range(-2, 3)) AS x) c WHERE a.x * a.x + b.x * b.x + c.x * c.x <= 4")
-def sphere_offsets(spark, sf_dir):
-    return spark.createDataFrame(neighbourhoods.sphere_offsets((1.0, 1.0, 1.0), 2.0), "x int, y int, z int")
-
-
 NEAR = "a.i - b.i) ** 2 + (a.j - b.j) ** 2 + (a.k - b.k) ** 2"
 
 
@@ -463,11 +458,11 @@ def bilateral_4d(spark, sf_dir):
 
 
 @query("""WITH o AS (SELECT UNNEST(range(-1, 2)) AS x), f AS (SELECT a.x, b.x AS y, c.x AS z, (a.x + 1) + 3 * (b.x + 1) + 9 * (c.x + 1) + 1 AS pos FROM o a, o b, o c)
-  SELECT m.vox AS center, CAST(f.pos AS INT) AS pos, coalesce(b.v, 0) AS v FROM (SELECT * FROM vol_qty WHERE k = 1) m CROSS JOIN f
+  SELECT m.vox AS center, CAST(f.pos AS INT) AS pos, coalesce(b.v, 0) AS v FROM vol_qty m CROSS JOIN f
   LEFT JOIN vol_qty b ON b.i = greatest(1, least(16, m.i + f.x)) AND b.j = greatest(1, least(16, m.j + f.y)) AND b.k = greatest(1, least(7, m.k + f.z))""")
 def patch_set(spark, sf_dir):
     q = T.vol_qty(spark, sf_dir)
-    return stencils.patch_set(q, (3, 3, 3), q.mask(T.QTY.to_grid(F.col("vox"))[2] == 1)).withColumnRenamed("value", "v")
+    return stencils.patch_set(q, (3, 3, 3)).withColumnRenamed("value", "v")
 
 
 _DESPIKED = """WITH box AS (SELECT a.vox, a.i, a.j, a.k, CAST(a.v AS DOUBLE) AS v, a.v - SUM(b.v) / 27.0::DOUBLE AS r FROM vol_qty a JOIN vol_qty b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND abs(a.k - b.k) <= 1 GROUP BY a.vox, a.i, a.j, a.k, a.v),
@@ -560,11 +555,6 @@ def fill_holes(spark, sf_dir):
     return components.fill_holes(_mask(spark, sf_dir)).data
 
 
-@query(None)
-def automask(spark, sf_dir):
-    return components.automask(T.vec_li(spark, sf_dir)).data
-
-
 # graphs
 
 

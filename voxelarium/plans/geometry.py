@@ -2,48 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions import affine, colours
-from ..operators import aggregates, filters, graphs, joins, neighbourhoods, resampling, stencils
+from ..functions import colours
+from ..operators import aggregates, filters, graphs, joins, resampling
 from ..space import Space
 from . import tables as T
 from .registry import MASK, mask_of, out, query
 
 
-def _table(spark, matrices: dict[str, np.ndarray]):
-    rows = [(name, r + 1, c + 1, float(v)) for name, m in matrices.items() for (r, c), v in np.ndenumerate(np.atleast_2d(np.round(m, 6) + 0.0))]
-    return spark.createDataFrame(rows, "name string, row int, col int, v double")
-
-
-@query("""SELECT name, CAST(row AS INT) AS row, CAST(col AS INT) AS col, CAST(v AS DOUBLE) AS v FROM (VALUES ('sizes', 1, 1, 2), ('sizes', 1, 2, 3), ('sizes', 1, 3, 2.5), ('obliquity', 1, 1, 0), ('obliquity', 1, 2, 0), ('obliquity', 1, 3, 0),
-  ('point', 1, 1, 28), ('point', 1, 2, -14), ('point', 1, 3, -2.5), ('orientation', 1, 1, 0), ('orientation', 1, 2, -1), ('orientation', 2, 1, 1), ('orientation', 2, 2, 1), ('orientation', 3, 1, 2), ('orientation', 3, 2, 1),
-  ('rebuilt', 1, 1, -2), ('rebuilt', 1, 2, 0), ('rebuilt', 1, 3, 0), ('rebuilt', 1, 4, 30), ('rebuilt', 2, 1, 0), ('rebuilt', 2, 2, 3), ('rebuilt', 2, 3, 0), ('rebuilt', 2, 4, -20),
-  ('rebuilt', 3, 1, 0), ('rebuilt', 3, 2, 0), ('rebuilt', 3, 3, 2.5), ('rebuilt', 3, 4, -10), ('rebuilt', 4, 1, 0), ('rebuilt', 4, 2, 0), ('rebuilt', 4, 3, 0), ('rebuilt', 4, 4, 1),
-  ('slice', 1, 1, 1), ('slice', 1, 2, 0), ('slice', 1, 3, 0), ('slice', 2, 1, 0), ('slice', 2, 2, 1), ('slice', 2, 3, 0), ('slice', 3, 1, 0), ('slice', 3, 2, 0), ('slice', 3, 3, 4), ('slice', 4, 1, 0), ('slice', 4, 2, 0), ('slice', 4, 3, 1)) x(name, row, col, v)""")
-def affine_algebra(spark, sf_dir):
-    m = T.WORLD.trans
-    quaternion, sign = affine.quaternion_of(m)
-    rebuilt = affine.affine_of(quaternion, m[:3, 3], affine.voxel_sizes(m), sign)
-    point = affine.apply_affine(m, [[1, 2, 3]])
-    return _table(spark, {"sizes": affine.voxel_sizes(m), "obliquity": affine.obliquity(m), "point": point, "orientation": affine.affine_to_orientation(m), "rebuilt": rebuilt, "slice": affine.slice_to_volume_affine(4, 2)})
-
-
-@query("SELECT * FROM (VALUES ('codes', 'L A S'), ('flipped', 'R A S'), ('permuted', 'S A R'), ('dims', '16 16 7'), ('more', '16 16 7 5'), ('fewer', '16 16 7'), ('aligned', '16 24 9'), ('low', '30.0 -20.0 -10.0'), ('high', '0.0 25.0 5.0')) x(name, value)")
-def grid_facts(spark, sf_dir):
-    """Axis codes, dimensions added and dropped, bounds, and the grid along the world axes."""
-    w, q = T.WORLD, T.vol_qty(spark, sf_dir, T.WORLD)
-    shown = lambda values: " ".join(map(str, values))
-    codes = lambda image: shown(affine.affine_to_axcodes(image.space.trans))
-    low, high = w.bounds().T.tolist()
-    facts = {
-        "codes": codes(q), "flipped": codes(resampling.as_canonical(q)), "permuted": codes(resampling.reorient(q, ("S", "A", "R"))), "dims": shown(w.dims), "more": shown(w.add_dim(5).dims),
-        "fewer": shown(w.add_dim(5).drop_dim().dims), "aligned": shown(affine.output_aligned_space(w).dims), "low": shown(low), "high": shown(high),
-    }
-    return spark.createDataFrame(list(facts.items()), "name string, value string")
-
-
 @query("SELECT vox, round(-2.0 * (i - 1) + 31, 6) AS x, round(3.0 * (j - 1) - 19, 6) AS y, round(2.5 * (k - 1) - 9, 6) AS z FROM vol_qty")
 def grid_to_grid(spark, sf_dir):
     g = T.vol_qty(spark, sf_dir).gridded()
@@ -72,14 +39,6 @@ def map_to_colours(spark, sf_dir):
     return data.select("vox", colours.map_to_colours(F.col("value"), ["#000000", "#550000", "#aa0000", "#ff0000"], low, high, (0, 200)).alias("colour"))
 
 
-@query("""SELECT CAST((2 + a) + (7 + b) * 16 + (2 + c) * 256 AS BIGINT) AS vox, CAST(a + 10 * b + 100 * c AS DOUBLE) AS v FROM (SELECT UNNEST(range(-1, 2)) AS a) a, (SELECT UNNEST(range(-1, 2)) AS b) b, (SELECT UNNEST(range(-1, 2)) AS c) c""")
-def embed_kernel(spark, sf_dir):
-    """A kernel of 27 places set at a voxel of the first axis but one."""
-    offsets = neighbourhoods.cube_offsets(1)
-    placed = stencils.embed_kernel(T.vol_qty(spark, sf_dir), offsets, [a + 10 * b + 100 * c for a, b, c in offsets], (2, 8, 3))
-    return out(placed)
-
-
 @query(f"""WITH {MASK}, o AS (SELECT UNNEST(range(-1, 2)) AS x), f AS (SELECT a.x, b.x AS y, c.x AS z FROM o a, o b, o c WHERE abs(a.x) + abs(b.x) + abs(c.x) IN (1, 2)),
   n AS (SELECT m.vox, count(b.vox) AS n FROM mask m CROSS JOIN f LEFT JOIN mask b ON b.i = greatest(1, least(16, m.i + f.x)) AND b.j = greatest(1, least(16, m.j + f.y)) AND b.k = greatest(1, least(7, m.k + f.z)) GROUP BY m.vox),
   core AS (SELECT mask.* FROM mask JOIN n USING (vox) WHERE n >= 6)
