@@ -50,7 +50,9 @@ def map_values(image: Image, lookup: DataFrame) -> Image:
 def series(image: Image, voxels: DataFrame, fill: int = 0) -> DataFrame:
     """``(pos, vox, t, value)`` for a table ``(pos, vox)``; repeats and order are kept, absent voxels give ``fill``."""
     asked = voxels.withColumn("t", F.explode(F.sequence(F.lit(1), F.lit(int(image.space.dims[3])))))
-    found = asked.join(image.data, ["vox", "t"], "left")
+    # only the voxels asked for go on, below whatever makes the image's rows
+    there = image.data.join(voxels.select("vox").distinct(), "vox", "left_semi")
+    found = asked.join(there, ["vox", "t"], "left")
     return found.select("pos", "vox", "t", F.coalesce("value", F.lit(fill)).alias("value"))
 
 

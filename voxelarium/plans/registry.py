@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import runtime
 from ..image import Image
 from . import tables as T
 
@@ -37,6 +38,7 @@ def out(image: Image, digits: int | None = None) -> DataFrame:
 def mask_of(spark, sf_dir) -> Image:
     """The voxels of an upper part of the value range, so that a mask is neither empty nor full at any scale."""
     image = T.vol_qty(spark, sf_dir)
+    image = image.with_data(runtime.materialize(image.data, "volume"))  # read for its mean, and for every use of the mask
     mean = image.data.agg(F.avg("value").alias("m"))
     return image.with_data(image.data.crossJoin(F.broadcast(mean)).where(F.col("value") > F.col("m") * 1.1).select("vox", "value"))
 
