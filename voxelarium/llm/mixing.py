@@ -3,10 +3,11 @@
 Sources, ordered by code point with null last, weigh 1, 2, 3, repeating. They share the total size by weight;
 no target exceeds ``max_repeat`` times its source's size, and what is cut off goes to the others by weight.
 A source is taken whole as often as its target allows. For the rest of its budget the documents are counted by
-exact size, and a bounded knapsack by dynamic programming says how many of each size to take once more. It decides
-the last ``KNAPSACK_WORDS`` words, or ``SPAN`` times the longest document that fits if that is more; what a budget
-has beyond them is taken in proportion from every size. So a budget within that span gets the best sum there is, and a
-larger one nearly always (few different sizes, most of them taken already, can miss it by less than a document). The
+exact size, and a bounded knapsack by dynamic programming says how many of each size to take once more: the best
+sum there is. It decides the last ``KNAPSACK_WORDS`` words, or ``SPAN`` times the longest document that fits if that is
+more, and what a budget has beyond them is taken in proportion from every size. Where that misses the budget (few sizes, most of them
+taken), what is taken is exchanged for the best sum, which is never more than twice the longest document's number of
+exchanges away (``exchange``). The
 documents of each size are those of the smallest seeded hashes.
 
 Only counts per (source, size) reach the planning step, one source to a task. Hot sizes are dealt into buckets by
@@ -59,6 +60,52 @@ def targets(sizes: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
     )
 
 
+#: Bits of the sums that exchanges may pass, 512 MB.
+MOST_BITS = 1 << 32
+
+
+def exchange(words: list[int], taken: list[int], left: list[int], missing: int) -> list[int]:
+    """How many more (or fewer) documents of each size to take so that the sum grows by ``missing`` at most, as nearly as possible.
+
+    The words have no common factor, and none of what is left fits into ``missing``. Of the ways to the best sum there is one of
+    fewer than twice the longest document's exchanges: put in an order that keeps the sum within a document of the start, two
+    equal sums in between would make what lies between them idle. So what is given back, in number as in words, is bounded by
+    the square of the longest, whatever the budget; sums are bits of one number.
+    """
+    longest = max(words)
+    most = 2 * longest
+    down = min(sum(w * min(t, most) for w, t in zip(words, taken)), longest * longest)
+    if down + missing >= MOST_BITS:  # documents of over 65,000 words without a common factor and of few sizes
+        return [0] * len(words)
+    width = (1 << (down + missing + 1)) - 1
+    reach, steps = 1 << down, []
+
+    def passed(way: int, i: int, many: int) -> None:
+        nonlocal reach
+        steps.append((way, i, many, reach))
+        part = 1
+        while many > 0 and not reach >> (down + missing):
+            part = min(part, many)
+            reach |= (reach >> part * words[i]) if way < 0 else (reach << part * words[i]) & width
+            many -= part
+            part *= 2
+
+    for i, t in enumerate(taken):
+        passed(-1, i, min(t, most))
+    for i, n in enumerate(left):
+        passed(1, i, min(n, most))
+    out, at = [0] * len(words), reach.bit_length() - 1
+    for way, i, many, before in reversed(steps):
+        bits = before.to_bytes(-(-before.bit_length() // 8), "little")
+        for k in range(many + 1):
+            place = at - way * k * words[i]
+            if 0 <= place < 8 * len(bits) and bits[place >> 3] >> (place & 7) & 1:
+                out[i] += way * k
+                at = place
+                break
+    return out
+
+
 def fit_budget(size: np.ndarray, n: np.ndarray, budget: int) -> np.ndarray:
     """How many documents of each size to take so that their words meet ``budget`` as nearly as possible from below."""
     take, budget = np.zeros_like(n), int(budget)
@@ -93,10 +140,20 @@ def fit_budget(size: np.ndarray, n: np.ndarray, budget: int) -> np.ndarray:
             many -= part
             part *= 2
     at = int(np.flatnonzero(by >= 0)[-1])
+    missing = rest - at
     while at:
         i, part, cost = items[by[at]]
         take[i] += part
         at -= cost
+    if missing and budget > span:
+        factor = math.gcd(*words)
+        for w, i in zip(reversed(words), reversed(some)):
+            more = min(int(n[i] - take[i]), missing // w)
+            take[i] += more
+            missing -= more * w
+        taken = [int(take[i]) for i in some]
+        change = exchange([w // factor for w in words], taken, [int(n[i]) - t for i, t in zip(some, taken)], missing // factor)
+        take[some] += np.array(change, np.int64)
     return take
 
 
