@@ -99,7 +99,9 @@ def repeated_lines(
     """``(doc_id, text_hash, line)`` of every line to remove, lines counted from 0 in the text split at line feeds."""
     anchors = materialize(_anchors(documents, window, long_words, id_col, text_col), "anchors")
     earliest = anchors.groupBy("h", "h2").agg(F.min(F.struct(_place().alias("place"), "near")).alias("first"), F.count("*").alias("n"))
-    later = anchors.join(earliest.where("n > 1"), ["h", "h2"]).where(_place() > F.col("first.place"))
+    # written, so that both sides of the join come from a shuffle of their own and the rows of a very common line are split
+    earliest = materialize(earliest.where("n > 1"), "earliest")
+    later = anchors.join(earliest, ["h", "h2"]).where(_place() > F.col("first.place"))
     # how far the match goes: lines equal to those at the earliest place, without a gap
     same = F.zip_with("near", "first.near", lambda a, b: F.coalesce(a == b, F.lit(False)))
     mid = window - 1
@@ -132,6 +134,7 @@ def repeated_lines(
         F.slice("near_line", F.col("o") + mid + 1, F.lit(window)).alias("lines"),
     )
     first = rest.groupBy("window").agg(F.min(_place()).alias("place"), F.count("*").alias("n")).where("n > 1")
+    first = materialize(first, "first-windows")
     among = rest.join(first, "window").where(_place() > F.col("place")).select("doc_id", "text_hash", F.explode("lines").alias("line"))
     return direct.union(among).distinct()
 
