@@ -183,6 +183,8 @@ def resolve_revisits(headers: DataFrame, min_payload: int = 0) -> DataFrame:
     place = F.struct(F.col("page_id").isNull().alias("n"), "page_id", "part", "offset")
     large = headers.where(F.col("payload_bytes") >= min_payload)
     first = large.groupBy("payload_digest", "payload_bytes").agg(F.min(F.struct(place.alias("place"), "url")).alias("first"))
+    # written, so that the join can split the headers of a very common payload
+    first = materialize(first, "first-payloads")
     joined = headers.join(first, ["payload_digest", "payload_bytes"], "left")
     again = F.col("first").isNotNull() & (place > F.col("first.place"))
     return joined.select(
