@@ -50,6 +50,20 @@ def test_recall_on_the_tables(spark, sf_dir):
     assert len(hits) == sum(i % 20 == 0 for i in ids) and np.mean(hits) >= 0.9
 
 
+def test_recall_on_vectors_of_unequal_length(spark):
+    """Plain normal vectors and, far below them, short ones; nothing but the operator's own parameters."""
+    v = np.random.default_rng(8).normal(size=(8000, 64))
+    v[6000:] *= 1e-3
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 160 == 0).toPandas()
+    ids, hits = list(range(8000)), []
+    for q, g in got.groupby("query_id"):
+        g = g.sort_values("rank")
+        assert len(g) == 20 and np.allclose(g.score, v[g.vec_id] @ v[q])
+        hits.append(len(set(g.vec_id) & set(brute(ids, v, q, 20))) / 20)
+    assert len(hits) == 50 and np.mean(hits) >= 0.93
+
+
 def test_keys_and_probes_agree():
     """Every bucket in the order of the summed coordinates; a vector is in the bucket that it probes first."""
     x = np.random.default_rng(3).normal(size=(20, 8))

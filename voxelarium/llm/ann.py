@@ -1,7 +1,9 @@
 """Nearest neighbours by inner product: cross-polytope hashing with multiprobe tables and exact reranking.
 
 The largest inner product is the nearest angle once every vector is set on a sphere: x / M gets one more
-coordinate, sqrt(1 - |x|^2 / M^2) with M the largest norm, and a query gets 0 there. A hash flips signs and applies
+coordinate, sqrt(1 - |x|^2 / M^2) with M the largest norm, and a query gets 0 there. That coordinate tells nothing of a
+vector's direction, so vectors whose norms differ by more than ``RATIO`` lie in ranges of their own, each with its own M, its
+own tables and its own number of buckets, and a query probes every range. A hash flips signs and applies
 the fast Hadamard transform three times, a pseudo-rotation, and gives the signed axis nearest to the result. A table's
 key is made of as many hashes as the table of vectors needs for buckets of about ``OCCUPANCY``; the last hash looks at
 the first few axes only. So keys grow with the logarithm of the table. A query scores every key by the sum of its
@@ -17,7 +19,10 @@ by a hash of the class, and its queries go to all parts. A task holds the vector
 past them, ``CELL_QUERIES`` at a time; only vectors of buckets that a query probes are multiplied with it. Inner
 products are exact, in double precision, and summed one way everywhere; the best of all cells are kept.
 
-To the driver come the number of classes, the dimension and the largest norm.
+Work: of n vectors of equal norm a query is multiplied with some n^0.5, so all queries of a share of the table with n^1.5;
+every further range of norms adds probes of its own.
+
+To the driver come the dimension and, of each range (some 15,000 at most, as doubles go), its classes and largest norm.
 
 Defined results: vectors that are null, zero or hold a null or non-finite component take no part, nor do rows with
 a null id. Shorter vectors count as filled up with zeros. Rows that repeat an id and a vector are one. Ties go to the
@@ -26,6 +31,8 @@ smaller id. Without vectors or queries the result is empty. Only id and vector a
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -36,6 +43,8 @@ from .common import materialize
 TABLES = 16
 #: Vectors to a bucket, which sets the number of hashes in a key.
 OCCUPANCY = 8
+#: The largest norm of a range over its smallest.
+RATIO = 1.1
 #: Buckets that a query probes in a table: at least so many, and this multiple of the root of their number.
 LEAST_PROBES, PROBE_RATE = 8, 0.7
 SEED = 7
@@ -188,22 +197,26 @@ def nearest(
     dim, square = valid.agg(F.max(F.size(vector_col)), F.max(square)).first()
     if dim is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    norm = float(np.sqrt(square))
     zero = F.lit(0.0).cast("float" if kind == "array<float>" else "double")
     # adding 0 makes -0 and 0 one
     filled = plain.withColumn("v", F.transform(F.concat("v", F.array_repeat(zero, F.lit(dim) - F.size("v"))), lambda x: x + zero))
     element = "float" if kind == "array<float>" else "double"
     width = 1 << dim.bit_length()  # a power of two with room for one more coordinate
 
+    length2 = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     place = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
     smallest = filled.select("vec_id", "v").distinct().withColumn("nth", place).where(F.col("nth") <= k + 1)
     classes = smallest.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    classes = materialize(classes.select(F.monotonically_increasing_id().alias("class"), "v", "ids"), "classes")
-    total = classes.count()
-    axes = axes_of(total, width)
-    buckets = int(np.prod([2 * n for n in axes], dtype=object))
-    often = min(buckets, max(probes, -(-least // OCCUPANCY), int(np.ceil(PROBE_RATE * np.sqrt(buckets)))))
-    flips = signs(seed, tables * len(axes), width).reshape(tables, len(axes), 3, width)
+    classes = classes.select(F.monotonically_increasing_id().alias("class"), "v", "ids", F.greatest(length2, F.lit(5e-324)).alias("square"))
+    span = F.floor((F.log(F.lit(max(square, 5e-324))) - F.log("square")) / (2 * math.log(RATIO)))
+    classes = materialize(classes.withColumn("span", F.greatest(F.lit(0), span).cast("int")), "classes")
+    ranges = sorted(classes.groupBy("span").agg(F.count("*").alias("n"), F.max("square").alias("square")).collect())
+    places = {r.span: j for j, r in enumerate(ranges)}
+    axes = [axes_of(r.n, width) for r in ranges]
+    buckets = [int(np.prod([2 * n for n in a], dtype=object)) for a in axes]
+    often = [min(m, max(probes, -(-least // OCCUPANCY), int(np.ceil(PROBE_RATE * np.sqrt(m))))) for m in buckets]
+    deepest = max(map(len, axes))
+    flips = signs(seed, tables * deepest, width).reshape(tables, deepest, 3, width)
     cell = max(1, min(CELL_VECTORS, CELL_BYTES // (8 * dim)))
     per_cell = max(1, cell // OCCUPANCY)
 
@@ -211,13 +224,18 @@ def nearest(
 
     def code(batches):
         for b in batches:
-            x = on_sphere(_matrix(b.column("v"), dim), width, norm)
-            parts = [x[at : at + 1024] for at in range(0, len(x), 1024)]
-            codes = np.concatenate([np.stack([keys_of(part, f, axes) for f in flips], axis=1) for part in parts])
+            every, span = _matrix(b.column("v"), dim), np.asarray(b.column("span"))
+            codes = np.zeros((b.num_rows, tables), np.int64)
+            for r in np.unique(span).tolist():
+                rows, a = np.flatnonzero(span == r), axes[places[r]]
+                for at in range(0, len(rows), 1024):
+                    some = rows[at : at + 1024]
+                    x = on_sphere(every[some], width, float(np.sqrt(ranges[places[r]].square)))
+                    codes[some] = np.stack([keys_of(x, f[: len(a)], a) for f in flips], axis=1)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, tables, dtype=np.int32)), pa.array(codes.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("class"), b.column("first"), b.column("v"), lists], ["class", "first", "v", "codes"])
+            yield pa.RecordBatch.from_arrays([b.column("class"), b.column("first"), b.column("v"), b.column("span"), lists], ["class", "first", "v", "span", "codes"])
 
-    coded = classes.select("class", F.col("ids")[0].alias("first"), "v").mapInArrow(code, f"class long, first long, v array<{element}>, codes array<long>")
+    coded = classes.select("class", F.col("ids")[0].alias("first"), "v", "span").mapInArrow(code, f"class long, first long, v array<{element}>, span int, codes array<long>")
     coded = materialize(coded, "coded")
 
     def ask(batches):
@@ -225,8 +243,9 @@ def nearest(
             for start in range(0, b.num_rows, 64):
                 some = b.slice(start, 64)
                 x = on_sphere(_matrix(some.column("v"), dim), width, None)
-                for t, f in enumerate(flips):
-                    key = probes_of(x, f, axes, often)
+                for t in range(len(ranges) * tables):
+                    a = axes[t // tables]
+                    key = probes_of(x, flips[t % tables][: len(a)], a, often[t // tables])
                     row, flat = np.repeat(np.arange(len(x)), key.shape[1]), key.ravel()
                     new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (flat[1:] // per_cell != flat[:-1] // per_cell)])
                     lists = pa.ListArray.from_arrays(pa.array(np.r_[new, len(flat)].astype(np.int32)), pa.array(flat))
@@ -238,8 +257,10 @@ def nearest(
     questions = coded.join(asked.select("class").distinct(), "class", "left_semi").select("class", "v")
     probing = questions.mapInArrow(ask, f"t int, g long, class long, b array<long>, v array<{element}>")
 
-    coordinates = F.posexplode("codes").alias("t", "key")
-    placed = coded.select("class", "first", "v", coordinates).select("t", F.floor(F.col("key") / per_cell).alias("g"), "class", "first", F.array("key").alias("b"), "v")
+    # the tables of each range have numbers of their own
+    base = F.create_map(*[F.lit(x) for r, j in places.items() for x in (r, j * tables)])[F.col("span")]
+    coordinates = F.posexplode("codes").alias("nth", "key")
+    placed = coded.select("class", "first", "v", "span", coordinates).withColumn("t", (base + F.col("nth")).cast("int")).select("t", F.floor(F.col("key") / per_cell).alias("g"), "class", "first", F.array("key").alias("b"), "v")
     crowded = placed.groupBy("t", "g").count().where(F.col("count") > 2 * cell)
     crowded = materialize(crowded.select("t", "g", F.ceil(F.col("count") / cell).cast("int").alias("cuts")), "crowded")
     cuts = F.coalesce("cuts", F.lit(1))
