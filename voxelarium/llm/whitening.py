@@ -18,7 +18,6 @@ read, so other columns may have any name.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
