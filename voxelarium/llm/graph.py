@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_path, remove_path
+from .common import materialize, new_path, remove_path
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialize(down.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -26,8 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has long columns ``u`` and ``v``, without nulls and loops. Each round is written to the
     shared folder, so a lost executor costs one round at most; rounds grow with the logarithm of the
-    longest chain. A node with very many edges is met by pre-aggregated minima and by joins that Spark
-    can split.
+    longest chain. A node with very many edges is met by pre-aggregated minima, which are written so that
+    both sides of their join come from a shuffle of their own and Spark splits that node's edges.
     """
     spark = edges.sparkSession
 
