@@ -151,6 +151,52 @@ def test_without_labels(spark):
     assert secrets.learn(secrets.candidates(docs.where("doc_id = 2"))) is None
 
 
+def test_gradient_is_the_slope_of_the_loss(monkeypatch):
+    """Against differences of the loss; pieces give the same gradient."""
+    yes, no = samples(10, 4)
+    windows, labels = [*yes, *no, ("", "x1" * 40, "é")], np.array([1.0] * 4 + [0.0] * 5)
+    weight = np.linspace(0.5, 2, 9)
+    p = secrets.first_state(3)[: secrets._SIZE]
+
+    def loss(p):
+        y = 1 / (1 + np.exp(-secrets.network_of(p).outputs(windows)))
+        return -(weight * np.where(labels > 0, np.log(y), np.log(1 - y))).mean()
+
+    g = secrets.gradient(secrets.network_of(p), windows, labels, weight)
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        d = rng.normal(size=p.size) * (np.abs(g) > 0)
+        assert np.isclose((loss(p + 1e-6 * d) - loss(p - 1e-6 * d)) / 2e-6, g @ d, rtol=1e-3, atol=1e-6)
+    monkeypatch.setattr(secrets, "PIECE", 7)
+    assert np.allclose(g, secrets.gradient(secrets.network_of(p), windows, labels, weight))
+
+
+def found_in(spark, windows):
+    rows = [(k, [(kind, 0, len(v), a, v, b)]) for k, (kind, (a, v, b)) in enumerate(windows)]
+    return spark.createDataFrame(rows, secrets._CANDIDATES)
+
+
+def test_every_window_teaches(spark):
+    """More windows of a label than 1,500; each secret stands a second time where one of the others does, no window is left out."""
+    yes, no = samples(11, 1800)
+    found = found_in(spark, [*(("hex", w) for w in yes), *(("net", w) for w in no[:700]), *(("hex", w) for w in yes[:50])])
+    rows = [(r.secret, (r.left, r.value, r.right)) for r in secrets.labelled(found).collect()]
+    assert len(rows) == 2 * 1800 + 700
+    assert {w for secret, w in rows if secret} >= set(yes) and {w for secret, w in rows if not secret} == set(no[:700])
+    around = {(a, b) for a, _, b in no[:700]}
+    assert {v for secret, (a, v, b) in rows if secret and (a, b) in around} == {v for _, v, _ in yes}
+
+
+def test_long_secrets_teach_and_partitions_do_not_show(spark):
+    """Secrets of more than 256 characters; shards of 50 windows; the same network whatever the partitions."""
+    yes, no = samples(12, 120)
+    windows = [*(("hex", (a, v * 8, b)) for a, v, b in yes), *(("net", w) for w in no)]
+    net, again = (secrets.learn(found_in(spark, w).repartition(n), rounds=6, shard=50) for w, n in ((windows, 2), (windows[::-1], 5)))
+    assert np.array_equal(net.chars, again.chars) and net.curve == again.curve and net.thresholds == again.thresholds
+    p, q = net.probabilities([w for _, w in windows[:120]]), net.probabilities(no)
+    assert (p >= net.thresholds[0]).mean() >= 0.95 and (q >= net.thresholds[1]).mean() <= 0.05
+
+
 def test_query(spark, tmp_path):
     yes, no = samples(7, 100)
     texts = [*CASES, *(f"{a}{v}{b}" for a, v, b in (*yes, *no))]
