@@ -277,3 +277,33 @@ def test_pieces_equal_the_library_on_texts_with_special_tokens():
     want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
     assert [ids.tolist() for ids in encoder.encode(texts)] == want
     assert 50256 in want[0]
+
+
+def test_pieces_end_with_matches_and_words_are_remembered_apart():
+    """The library's ids for texts of every kind of border, in slices and groups of any size; marks after a word make no new piece of it."""
+    from tokenizers import Tokenizer
+
+    tokenizer, encoder = Tokenizer.from_file(P.path("byte_bpe_50k.json")), packing.PieceEncoder(P.path("byte_bpe_50k.json"))
+    parts = ["a", "Word", "it's", "'s", "'", "'RE", "12", "!", "#.", "-", " ", "  ", "\n", "\r\n", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "\u1680", "\u2003", "\u200b", "\u2028"]
+    parts += ["\u202f", "\u205f", "\u3000", "\u3001", "\u180e", "\ufeff", "\u0301", "\xd7", "\xf7", "\xf6", "\u024f", "\u0250", "\u6f22", "\U0001f600", "\u0663", "\xaa", "\xb2", "<|endoftext|>", "<|", "\0", "\x7f"]
+    rng = random.Random(21)
+    texts = [None, "", *("".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(4000)), None]
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [ids.tolist() for ids in encoder.encode(texts)] == want
+    column = pa.array(texts, pa.string())
+    assert [ids.tolist() for ids in encoder.encode(column.slice(1000, 50))] == want[1000:1050]
+    encoder = packing.PieceEncoder(P.path("byte_bpe_50k.json"))
+    encoder.encode([f" {w}{mark} (" for w in ("alpha", "b\xf6ta", "gamma") for mark in ("", ".", ",", "!", "'s", "12")])
+    assert {w.decode() for w in encoder.known} == {" alpha", " b\xf6ta", " gamma", ".", ",", "!", "'s", "12", " ("}
+
+
+def test_groups_of_pieces_and_slices_of_texts(monkeypatch):
+    encoder = packing.PieceEncoder(P.path("byte_bpe_50k.json"))
+    texts = [*odd_texts(300, seed=10), None, ""]
+    whole = [ids.tolist() for ids in encoder.encode(texts)]
+    monkeypatch.setattr(packing, "AT_ONCE", 3)
+    monkeypatch.setattr(packing, "TEXTS", 40)
+    batch = pa.record_batch({"doc_id": list(range(len(texts))), "text": texts})
+    parts = list(packing.by_size(batch))
+    assert len(parts) > 20 and sum(p.num_rows for p in parts) == len(texts)
+    assert [ids.tolist() for p in parts for ids in encoder.encode(p.column(1))] == whole
